@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.operators.ordered import HOUR, SLICE, with_slice
-from mediaops.session import scratch
+from mediaops.session import materialise
 
 BLOCK = 4096
 # A task may also have no status at all: the last state.
@@ -226,7 +226,5 @@ def apply_commands(
 ) -> tuple[DataFrame, DataFrame]:
     """(tasks after the commands, outcomes). The outcomes are written once to the shared
     folder, since both results read them."""
-    path = scratch(tasks.sparkSession, "outcomes")
-    replay_commands(tasks, commands, slice_seconds, block).write.parquet(path)
-    outcomes = tasks.sparkSession.read.parquet(path)
+    outcomes = materialise(replay_commands(tasks, commands, slice_seconds, block), "outcomes")
     return tasks_after(tasks, outcomes), outcomes

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.functions.columns import micros
 from mediaops.operators.ordered import (
-    HOUR, SLICE, row_position, trailing_count, with_slice,
+    HOUR, SLICE, neighbour, row_position, running_total, trailing_count, with_slice,
 )
+from mediaops.session import materialise
 
 NEVER = -(1 << 60)
+# A burst with more requests than this goes slice by slice instead of in one list.
+FOLD_ROWS = 50_000
 GLOBAL_LIMIT, USER_LIMIT, UPLOAD_LIMIT = 1000, 100, 10
 MICROS = 1_000_000
 
@@ -53,11 +56,91 @@ def sliding_rate(
 
 
 # ---- windows anchored at the first request after the last one ended ----
-#
-# The chain of windows of a key is cut into slices. Where the chain leaves a slice depends only
-# on the instant it enters at, which lies within one window of the slice's start, so a slice is
+
+def rate_anchored(
+    requests: DataFrame, key: str, limit: int = USER_LIMIT, seconds: int = 1,
+    slice_seconds: int | None = None, fold_rows: int = FOLD_ROWS,
+) -> DataFrame:
+    """Window start, place in the window and whether allowed, where a window opens at the first
+    request after the previous one ended. Every request counts, also a refused one. Requests
+    without a key are not limited and not returned.
+
+    A gap of a window or more always opens a new one, so each burst between gaps stands alone.
+    Bursts of up to ``fold_rows`` requests are folded one list each; longer ones go slice by
+    slice.
+    """
+    width = seconds * MICROS
+    slice_seconds = slice_seconds or max(HOUR, 64 * seconds)
+    sliced = with_slice(
+        requests.filter(F.col(key).isNotNull()).withColumn("_at", micros(F.col("ts"))),
+        "ts", slice_seconds,
+    )
+    order = ["ts", "req_id"]
+    spaced = neighbour(sliced, [key], order, F.col("_at"), "_before")
+    opens = F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= width)
+    bursts = materialise(
+        running_total(spaced, [key], order, opens.cast("long"), "_burst").drop("_before"), "bursts"
+    )
+    burst = [key, "_burst"]
+    large = (
+        bursts.groupBy(*burst).agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > fold_rows).select(*burst)
+    )
+    out = [*requests.columns, "window_start", "place", "allowed"]
+    if large.isEmpty():
+        placed = _fold_bursts(bursts, burst, width, requests.columns)
+    else:
+        large = materialise(large, "large-bursts")
+        placed = _fold_bursts(
+            bursts.join(large, burst, "left_anti"), burst, width, requests.columns
+        ).unionByName(
+            _chain_bursts(bursts.join(large, burst, "left_semi"), burst, width).select(
+                *requests.columns, "opened_at", "place"
+            )
+        )
+    return (
+        placed.withColumn("window_start", F.timestamp_micros("opened_at").cast("timestamp_ntz"))
+        .withColumn("allowed", F.col("place") <= limit)
+        .select(*out)
+    )
+
+
+def _fold_bursts(
+    bursts: DataFrame, burst: list[str], width: int, columns: list[str]
+) -> DataFrame:
+    """Opening instant and place of each request, one list per burst."""
+    item = F.struct("_at", "req_id", F.struct(*columns).alias("row"))
+    groups = bursts.groupBy(*burst).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kind = dict(groups.dtypes)["items"]
+    row_kind = kind[kind.index("row:") + 4 : -2]
+    zero = F.struct(
+        F.lit(NEVER).cast("long").alias("opened_at"),
+        F.lit(0).cast("long").alias("place"),
+        F.array().cast(f"array<struct<row:{row_kind},opened_at:bigint,place:bigint>>").alias("seen"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["_at"] - acc["opened_at"] >= width
+        opened = F.when(fresh, x["_at"]).otherwise(acc["opened_at"])
+        place = F.when(fresh, F.lit(1)).otherwise(acc["place"] + 1).cast("long")
+        return F.struct(
+            opened.alias("opened_at"),
+            place.alias("place"),
+            F.array_append(
+                acc["seen"],
+                F.struct(x["row"].alias("row"), opened.alias("opened_at"), place.alias("place")),
+            ).alias("seen"),
+        )
+
+    return groups.select(
+        F.explode(F.aggregate("items", zero, step, lambda acc: acc["seen"])).alias("x")
+    ).select("x.row.*", "x.opened_at", "x.place")
+
+
+# A long burst is cut into slices. Where the chain of its windows leaves a slice depends only on
+# the instant it enters at, which lies within one window of the slice's start, so a slice is
 # summed up by a short table of (last entry instant of a run, end of the last window). Only
-# these tables meet per key; the instants themselves stay in their (key, slice).
+# these tables meet per burst; the instants themselves stay in their slice.
 
 def _window_ends(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each instant as an opener: index of the next opener, and the chain's last end."""
@@ -71,35 +154,26 @@ def _window_ends(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return follow, end
 
 
-def rate_anchored(
-    requests: DataFrame, key: str, limit: int = USER_LIMIT, seconds: int = 1,
-    slice_seconds: int | None = None,
-) -> DataFrame:
-    """Window start, place in the window and whether allowed, where a window opens at the first
-    request after the previous one ended. Every request counts, also a refused one. Requests
-    without a key are not limited and not returned."""
-    width = seconds * MICROS
-    slice_seconds = slice_seconds or max(HOUR, 64 * seconds)
-    kept = requests.filter(F.col(key).isNotNull())
-    sliced = with_slice(kept, "ts", slice_seconds).withColumn("at", micros(F.col("ts")))
-    instants = sliced.groupBy(key, SLICE, "at").agg(F.count("*").alias("n"))
-    kind = dict(requests.dtypes)[key]
+def _chain_bursts(bursts: DataFrame, burst: list[str], width: int) -> DataFrame:
+    """Opening instant and place of each request of long bursts."""
+    instants = bursts.select(*burst, SLICE, "_at").distinct()
+    kinds = dict(bursts.dtypes)
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in burst)
+
+    def labelled(group: pd.DataFrame, columns: list[str], values: dict) -> pd.DataFrame:
+        out = pd.DataFrame(values)
+        for i, column in enumerate(columns):
+            out.insert(i, column, group[column].iloc[0])
+        return out
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(group["at"].to_numpy())
+        at = np.sort(group["_at"].to_numpy())
         _, end = _window_ends(at, width)
         # The chain enters at the latest at the first instant one window after the first one.
         entries = np.searchsorted(at, at[0] + width, side="left") + 1
         at, end = at[:entries], end[:entries]
         last = np.append(end[1:] != end[:-1], True)
-        out = pd.DataFrame({"upto": at[last], "leaves": end[last]})
-        out.insert(0, SLICE, group[SLICE].iloc[0])
-        out.insert(0, key, group[key].iloc[0])
-        return out
-
-    tables = instants.groupBy(key, SLICE).applyInPandas(
-        summarise, f"`{key}` {kind}, {SLICE} long, upto long, leaves long"
-    )
+        return labelled(group, [*burst, SLICE], {"upto": at[last], "leaves": end[last]})
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([SLICE, "upto"])
@@ -112,32 +186,27 @@ def rate_anchored(
             at = lo + np.searchsorted(upto[lo:hi], free_from, side="left")
             if at < hi:
                 free_from = leaves[at]
-        return pd.DataFrame({key: group[key].iloc[0], SLICE: slices, "free_from": entered})
-
-    entries = tables.groupBy(key).applyInPandas(
-        chain, f"`{key}` {kind}, {SLICE} long, free_from long"
-    )
+        return labelled(group, burst, {SLICE: slices, "free_from": entered})
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        at, free_from = group["at"].to_numpy(), int(group["free_from"].iloc[0])
+        at, free_from = np.sort(group["_at"].to_numpy()), int(group["free_from"].iloc[0])
         follow, _ = _window_ends(at, width)
-        opener = np.full(len(at), free_from - width, dtype="int64")
+        opened = np.full(len(at), free_from - width, dtype="int64")
         i = int(np.searchsorted(at, free_from, side="left"))
         while i < len(at):
-            opener[i:follow[i]] = at[i]
+            opened[i:follow[i]] = at[i]
             i = int(follow[i])
-        return pd.DataFrame({key: group[key], "at": at, "opened_at": opener})
+        return labelled(group, burst, {"_at": at, "opened_at": opened})
 
+    tables = instants.groupBy(*burst, SLICE).applyInPandas(
+        summarise, f"{head}, {SLICE} long, upto long, leaves long"
+    )
+    entries = tables.groupBy(*burst).applyInPandas(chain, f"{head}, {SLICE} long, free_from long")
     windows = (
-        instants.join(entries, [key, SLICE])
-        .groupBy(key, SLICE)
-        .applyInPandas(place, f"`{key}` {kind}, at long, opened_at long")
+        instants.join(entries, [*burst, SLICE])
+        .groupBy(*burst, SLICE)
+        .applyInPandas(place, f"{head}, _at long, opened_at long")
     )
-    placed = sliced.join(windows, [key, "at"])
-    return (
-        row_position(placed, [key, "opened_at"], ["ts", "req_id"], "place")
-        .withColumn("window_start", F.timestamp_micros("opened_at").cast("timestamp_ntz"))
-        .withColumn("allowed", F.col("place") <= limit)
-        .select(*requests.columns, "window_start", "place", "allowed")
+    return row_position(
+        bursts.join(windows, [*burst, "_at"]), [*burst, "opened_at"], ["ts", "req_id"], "place"
     )

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
 from mediaops.operators.ordered import HOUR, SLICE, running_total, with_slice
-from mediaops.session import shared_folder
+from mediaops.session import materialise
 
 # A (user, month) with more calls than this is replayed in parallel passes instead of one list.
 FOLD_ROWS = 50_000
 
+_PLACE = "struct<created_at:timestamp_ntz,id:bigint>"
+_SPAN = f"struct<unit:bigint,after:{_PLACE},until:{_PLACE}>"
+
 
 def remaining(quota: str, used: str) -> Column:
     """What is left, never below 0; the whole quota if nothing was ever recorded."""
@@ -105,10 +108,10 @@ def quota_replay(
     ).withColumn(
         "quota_monthly", F.coalesce("quota_monthly", F.lit(s.DEFAULT_QUOTA_MONTHLY)).cast("long")
     )
-    shared_folder(calls.sparkSession)
-    large = (
+    large = materialise(
         rows.groupBy("user_id", "month").agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > fold_rows).select("user_id", "month").checkpoint()
+        .filter(F.col("_n") > fold_rows).select("user_id", "month"),
+        "large",
     )
     out = [*calls.columns, "accepted"]
     if large.isEmpty():
@@ -169,8 +172,6 @@ def _replay_large(rows: DataFrame) -> DataFrame:
     """
     month, day = ["user_id", "month"], ["user_id", "month", "day"]
     daily = admit(rows, day, F.least("quota_daily", "quota_monthly"))
-    from pyspark.sql import Window
-
     used = (
         daily.groupBy(*day)
         .agg(
@@ -188,11 +189,11 @@ def _replay_large(rows: DataFrame) -> DataFrame:
             ),
         )
     )
-    binding = (
+    binding = materialise(
         used.filter(F.col("left_before") < F.col("quota_daily"))
         .groupBy(*month)
-        .agg(F.min("day").alias("from_day"), F.min_by("left_before", "day").alias("capacity"))
-        .checkpoint()
+        .agg(F.min("day").alias("from_day"), F.min_by("left_before", "day").alias("capacity")),
+        "binding",
     )
     marked = daily.join(binding, month, "left")
     free = marked.filter(F.col("from_day").isNull() | (F.col("day") < F.col("from_day")))
@@ -211,16 +212,23 @@ def admit(rows: DataFrame, keys: list[str], capacity: Column) -> DataFrame:
     log2(capacity) of them, however many rows there are. Each pass yields one small row per key.
     """
     place, tokens = F.struct("created_at", "id"), F.col("total_tokens")
-    items = with_slice(rows.withColumn("_capacity", capacity), "created_at", HOUR).withColumn("_place", place)
-    start = items.groupBy(*keys).agg(F.max("_capacity").cast("long").alias("left"))
-    top = start.agg(F.max("left")).first()[0] or 0
-    state = start.withColumn("after", F.expr("CAST(NULL AS STRUCT<created_at: TIMESTAMP_NTZ, id: BIGINT>)"))
-    state = state.withColumn("done", F.lit(False)).checkpoint()
-    spans = None
-    for k in range(max(int(top).bit_length() - 1, 0), -1, -1):
+    items = materialise(
+        with_slice(rows.withColumn("_capacity", capacity), "created_at", HOUR), "admit"
+    ).withColumn("_place", place)
+    state = materialise(
+        items.groupBy(*keys).agg(
+            F.max("_capacity").cast("long").alias("left"),
+            F.max(F.when(F.lit(False), place)).alias("after"),
+            F.lit(False).alias("done"),
+            F.array().cast(f"array<{_SPAN}>").alias("spans"),
+        ),
+        "admit-state",
+    )
+    top = state.agg(F.max("left")).first()[0] or 0
+    for k in range(int(top).bit_length() - 1, -1, -1):
         unit = 1 << k
-        live = state.filter(~F.col("done") & (F.col("left") >= unit))
-        ahead = items.join(live.drop("done"), keys).filter(
+        live = ~F.col("done") & (F.col("left") >= unit)
+        ahead = items.join(state.filter(live).drop("done", "spans"), keys).filter(
             (F.col("after").isNull() | (F.col("_place") > F.col("after"))) & (tokens < 2 * unit)
         )
         small = tokens < unit
@@ -234,37 +242,26 @@ def admit(rows: DataFrame, keys: list[str], capacity: Column) -> DataFrame:
             .groupBy(*keys)
             .agg(F.min_by(F.struct("_place", left_after.alias("left")), "_place").alias("_end"))
         )
-        span = (
-            live.join(ends, keys, "left")
-            .select(
-                *keys, F.lit(unit).cast("long").alias("unit"), "after",
-                F.col("_end._place").alias("until"), F.col("_end.left").alias("left_after"),
-            )
-            .checkpoint()
-        )
-        spans = span if spans is None else spans.unionByName(span)
-        moved = span.select(*keys, F.lit(True).alias("_live"), "until", "left_after")
-        state = (
-            state.join(moved, keys, "left")
-            .select(
+        until = F.col("_end._place")
+        span = F.struct(F.lit(unit).cast("long").alias("unit"), "after", until.alias("until"))
+        state = materialise(
+            state.join(ends, keys, "left").select(
                 *keys,
-                F.coalesce("left_after", "left").alias("left"),
-                F.coalesce("until", "after").alias("after"),
-                (F.col("done") | (F.col("_live").isNotNull() & F.col("until").isNull())).alias("done"),
-            )
-            .checkpoint()
+                F.coalesce("_end.left", "left").alias("left"),
+                F.coalesce(until, "after").alias("after"),
+                (F.col("done") | (live & until.isNull())).alias("done"),
+                F.when(live, F.array_append("spans", span)).otherwise(F.col("spans")).alias("spans"),
+            ),
+            "admit-state",
         )
-    per_key = spans.groupBy(*keys).agg(
-        F.collect_list(F.struct("unit", "after", "until")).alias("_spans")
-    )
     inside = F.exists(
-        "_spans",
+        "spans",
         lambda x: (x["after"].isNull() | (F.col("_place") > x["after"]))
         & (x["until"].isNull() | (F.col("_place") <= x["until"]))
         & ((tokens < x["unit"]) | x["until"].eqNullSafe(F.col("_place"))),
     )
     return (
-        items.join(per_key, keys, "left")
+        items.join(state.select(*keys, "spans"), keys)
         .withColumn("accepted", F.coalesce((tokens <= 0) | inside, F.lit(False)))
-        .drop("_spans", "_capacity", "_place", SLICE)
+        .drop("spans", "_capacity", "_place", SLICE)
     )

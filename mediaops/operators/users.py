@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
-from mediaops.session import shared_folder
+from mediaops.session import materialise
 
 SECRET_COLUMNS = ("password", "api_secret")
 
@@ -107,51 +107,47 @@ def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -
     Inside the batch each round accepts every open request that is the first open one for both
     its username and its email, then closes the open ones that collide with it. Rounds end
     when none is open; only collisions that form a chain need more than one. Reductions are
-    aggregates, so a popular name never gathers in one task. Each round is cut by a checkpoint.
+    aggregates, so a popular name never gathers in one task. Each round is written out, which
+    keeps the plans short.
     """
-    shared_folder(requests.sparkSession)
     emails = users if strict else users.filter(F.col("status") == 1)
     names_used = users.select("username", F.lit(True).alias("_name_used")).distinct()
     emails_used = emails.select("email", F.lit(True).alias("_email_used")).distinct()
-    judged = (
-        requests.join(names_used, "username", "left").join(emails_used, "email", "left")
-        .withColumn(
-            "code",
-            F.when(F.col("_name_used"), 23003).when(F.col("_email_used"), 23004),
-        )
-        .select(*requests.columns, "code")
-        .checkpoint()
+    judged = materialise(
+        requests.join(names_used, "username", "left")
+        .join(emails_used, "email", "left")
+        .select(*requests.columns, "_name_used", "_email_used"),
+        "registrations",
     )
-    free = judged.filter(F.col("code").isNull()).drop("code")
-    open_, accepted = free, None
+    known_name = F.coalesce("_name_used", F.lit(False))
+    open_ = judged.filter(~known_name & F.col("_email_used").isNull()).select(*requests.columns)
+    accepted = open_.limit(0)
     while not open_.isEmpty():
         names = open_.groupBy("username").agg(F.min("request_id").alias("_first_name"))
         mails = open_.groupBy("email").agg(F.min("request_id").alias("_first_mail"))
         wins = (F.col("request_id") == F.col("_first_name")) & (
             F.col("request_id") == F.col("_first_mail")
         )
-        winners = (
-            open_.join(names, "username").join(mails, "email").filter(wins)
-            .select(*requests.columns).checkpoint()
+        winners = materialise(
+            open_.join(names, "username").join(mails, "email").filter(wins).select(*requests.columns),
+            "accepted",
         )
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        open_ = (
-            open_.join(winners.select("username"), "username", "left_anti")
-            .join(winners.select("email"), "email", "left_anti")
-            .checkpoint()
+        accepted = accepted.unionByName(winners)
+        open_ = materialise(
+            open_.join(winners.select("username"), "username", "left_anti").join(
+                winners.select("email"), "email", "left_anti"
+            ),
+            "open",
         )
-    if accepted is None:
-        return judged
     by_name = accepted.select("username", F.col("request_id").alias("_name_id"))
     accepted_ids = accepted.select("request_id", F.lit(True).alias("_accepted"))
-    decided = (
-        free.join(accepted_ids, "request_id", "left").join(by_name, "username", "left")
+    return (
+        judged.join(accepted_ids, "request_id", "left").join(by_name, "username", "left")
         .withColumn(
             "code",
             F.when(F.col("_accepted"), s.OK)
-            .when(F.col("_name_id") < F.col("request_id"), 23003)
+            .when(F.col("_name_used") | (F.col("_name_id") < F.col("request_id")), 23003)
             .otherwise(23004),
         )
         .select(*requests.columns, "code")
     )
-    return judged.filter(F.col("code").isNotNull()).unionByName(decided)
