@@ -191,3 +191,15 @@ def with_views(*names: str) -> str:
     for name in names:
         add(name)
     return ",\n".join(seen.values())
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture view over one table, read as a file stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    (dep,), sql = VIEWS[name]
+    source = (
+        spark.readStream.schema(table(spark, sf_dir, dep).schema)
+        .option("pathGlobFilter", f"{dep}.parquet").parquet(sf_dir)
+    )
+    source.createOrReplaceTempView(dep)
+    return spark.sql(sql.replace("AS DATETIME)", "AS TIMESTAMP_NTZ)"))

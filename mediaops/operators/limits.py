@@ -15,7 +15,7 @@ from mediaops.session import materialise
 
 NEVER = -(1 << 60)
 # A burst with more requests than this goes slice by slice instead of in one list.
-FOLD_ROWS = 50_000
+FOLD_ROWS = 10_000
 GLOBAL_LIMIT, USER_LIMIT, UPLOAD_LIMIT = 1000, 100, 10
 MICROS = 1_000_000
 

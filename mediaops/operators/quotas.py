@@ -11,7 +11,7 @@ from mediaops.operators.ordered import HOUR, SLICE, running_total, with_slice
 from mediaops.session import materialise
 
 # A (user, month) with more calls than this is replayed in parallel passes instead of one list.
-FOLD_ROWS = 50_000
+FOLD_ROWS = 10_000
 
 _PLACE = "struct<created_at:timestamp_ntz,id:bigint>"
 _SPAN = f"struct<unit:bigint,after:{_PLACE},until:{_PLACE}>"
