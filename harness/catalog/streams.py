@@ -35,7 +35,7 @@ def _run(v, stream, mode="append", ntz=()):
         query = jobs.start(stream, path, scratch(v.spark, "progress"), mode, available_now=True)
     query.awaitTermination()
     v.spark.conf.set("spark.sql.shuffle.partitions", before)
-    out = v.spark.read.schema(stream.schema).parquet(path)
+    out = v.spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
     for column in ntz:
         out = out.withColumn(column, F.col(column).cast("timestamp_ntz"))
     return out
@@ -92,9 +92,9 @@ def _(v):
 
 
 @job("st_stuck_alerts", "fx_task_events", """
-, p AS (SELECT task_id, status, epoch_ms(ts) AS ms, epoch_ms(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, seq)) AS next_ms FROM fx_task_events)
+, p AS (SELECT task_id, status, epoch_us(ts) // 1000 AS ms, epoch_us(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, seq)) // 1000 AS next_ms FROM fx_task_events)
 SELECT task_id, make_timestamp(ms * 1000) AS since FROM p WHERE status = 'PROCESSING'
-  AND (next_ms - ms > 1800000 OR (next_ms IS NULL AND ms + 1800000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM fx_task_events)))""")
+  AND (next_ms - ms > 1800000 OR (next_ms IS NULL AND ms + 1800000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM fx_task_events)))""")
 def _(v):
     return _run(v, state.stuck_alerts(_stream(v, "fx_task_events")), ntz=["since"]).select("task_id", "since")
 
@@ -105,9 +105,10 @@ def _(v):
 SELECT upload_id, coalesce(array_to_string(idx, ','), '') AS chunks, CAST(coalesce(len(idx), 0) AS INT) AS done,
   CASE WHEN total_chunks > 0 THEN CAST(floor(coalesce(len(idx), 0) * 100.0 / total_chunks) AS INT) ELSE 0 END AS progress FROM c""")
 def _(v):
-    sessions = v("fx_chunk_sessions").select("upload_id", "total_chunks")
+    sessions = v("fx_chunk_sessions").select("upload_id", "total_chunks", "created_at")
     acks = _stream(v, "fx_chunk_acks").join(sessions, "upload_id")
-    return _run(v, state.upload_progress(acks), mode="update")
+    done = _run(v, jobs.upload_progress(acks), mode="update")
+    return done.withColumn("chunks", F.array_join("chunks", ","))
 
 
 @job("st_upload_sessions", "fx_chunk_acks", """
@@ -133,11 +134,16 @@ def _letters(v):
     )
 
 
+def _letter_table(v, path):
+    table = v.spark.read.schema("task_id string, retry_count int, error string, sent_at timestamp_ntz").parquet(path)
+    return table.drop("batch_id")
+
+
 def _dead_letter_table(v):
     _small_state(v)
     path = scratch(v.spark, "dead-letters")
     jobs.append_dead_letters(_letters(v), path, scratch(v.spark, "progress"), available_now=True).awaitTermination()
-    return v.spark.read.schema("task_id string, retry_count int, error string, sent_at timestamp_ntz").parquet(path)
+    return _letter_table(v, path)
 
 
 @job("st_dead_letters", "fx_task_events", LETTERS)
@@ -152,7 +158,7 @@ def _(v):
     path = scratch(v.spark, "dead-letters")
     for _ in range(2):
         jobs.append_dead_letters(_letters(v), path, scratch(v.spark, "progress"), available_now=True).awaitTermination()
-    return v.spark.read.schema("task_id string, retry_count int, error string, sent_at timestamp_ntz").parquet(path)
+    return _letter_table(v, path)
 
 
 @job("st_retry_loop", "fx_task_events fx_tasks", """

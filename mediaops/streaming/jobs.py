@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediaops import schemas as s
+from mediaops.functions import columns as fn
 from mediaops.operators import tasks
 from mediaops.sources import topics
 
@@ -120,6 +121,28 @@ def upload_bursts(
     )
 
 
+def upload_progress(
+    acks: DataFrame, hours: int = s.SESSION_HOURS, every: str = "1 hour"
+) -> DataFrame:
+    """Chunk set and whole percent of every upload a batch touched; write in update mode.
+
+    ``acks(upload_id, chunk_index, total_chunks, created_at)``, the last being the session's
+    start. The watermark follows it at the session's lifetime, so the engine forgets a chunk set
+    when its session has expired and drops chunks that come later still.
+    """
+    index = F.col("chunk_index")
+    in_range = (index >= 0) & (index < F.col("total_chunks"))
+    return (
+        with_event_time(acks, "created_at", f"{hours} hours")
+        .groupBy(F.window("created_at", every), "upload_id", "total_chunks")
+        .agg(F.sort_array(F.collect_set(F.when(in_range, index))).alias("chunks"))
+        .select(
+            "upload_id", "chunks", F.size("chunks").alias("done"),
+            fn.percent(F.size("chunks"), F.col("total_chunks")).alias("progress"),
+        )
+    )
+
+
 def append_dead_letters(
     letters: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:

@@ -1,4 +1,4 @@
-"""Per-task and per-upload state kept by the stream engine.
+"""Per-task state kept by the stream engine.
 
 The state of a key travels to Python together with its rows in Arrow batches, so a key costs no
 round trip of its own.
@@ -92,29 +92,3 @@ def stuck_alerts(events: DataFrame, minutes: int = 30, delay: str = "10 minutes"
         watch, "task_id string, since timestamp, alert_at timestamp", "since long", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-
-
-def upload_progress(acks: DataFrame, hours: int = s.SESSION_HOURS) -> DataFrame:
-    """Progress of every upload a batch touched. ``acks(upload_id, chunk_index, total_chunks)``.
-    An upload's chunk set is forgotten when nothing arrived for it for a day."""
-    idle = hours * 3_600_000
-
-    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, total = set(state.get[0]) if state.exists else set(), 0
-        for rows in batches:
-            total = int(rows["total_chunks"].iloc[-1])
-            done.update(int(i) for i in rows["chunk_index"].unique() if 0 <= i < total)
-        state.update((sorted(done),))
-        state.setTimeoutDuration(idle)
-        yield pd.DataFrame({
-            "upload_id": [key[0]], "chunks": [",".join(map(str, sorted(done)))], "done": [len(done)],
-            "progress": [len(done) * 100 // total if total else 0],
-        })
-
-    return use_rocksdb(acks.select("upload_id", "chunk_index", "total_chunks")).groupBy("upload_id").applyInPandasWithState(
-        advance, "upload_id string, chunks string, done int, progress int", "chunks array<int>",
-        "update", GroupStateTimeout.ProcessingTimeTimeout,
-    )
