@@ -1,0 +1 @@
+"""Whole flows put together from the operators."""
