@@ -51,7 +51,7 @@ def _(v):
         v("fx_task_events").select("task_id", "retry_count"),
         v("fx_tasks").withColumn("result", F.lit(None).cast("string")).withColumn("summary", F.lit(None).cast("string"))
         .withColumn("frame_count", F.lit(None).cast("int")),
-        ScriptedClient(), BUCKET, moment("2024-02-01 00:00:00"), delays=(0, 0, 0), parallelism=8,
+        ScriptedClient(), BUCKET, moment("2024-02-01 00:00:00"), delays=(0, 0, 0), parallelism=v.cores,
     )
     return (
         out.tasks.select("task_id", "status", "progress", "retry_count")

@@ -106,7 +106,7 @@ SELECT task_id, id % 7 NOT IN (0, 2) AS ok, CASE id % 7 WHEN 0 THEN 4 WHEN 1 THE
   CASE WHEN id % 7 NOT IN (0, 2) THEN CAST(id AS VARCHAR) || ': ' || CASE WHEN regexp_matches(prompt, '\S') THEN prompt ELSE '请分析这个视频的内容，按照系统提示的JSON格式返回结果。' END END AS result,
   CASE id % 7 WHEN 0 THEN 'AI call failed after 3 retries' WHEN 2 THEN 'AI call failed: code=500, msg=' || CAST(id AS VARCHAR) END AS error FROM fx_tasks""")
 def _(v):
-    done = results.enrich_with_retry(v("fx_tasks"), ScriptedClient(), delays=(0, 0, 0), parallelism=8)
+    done = results.enrich_with_retry(v("fx_tasks"), ScriptedClient(), delays=(0, 0, 0), parallelism=v.cores)
     ok, failed = results.split_outcomes(done)
     return ok.unionByName(failed)
 

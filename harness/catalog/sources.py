@@ -147,16 +147,17 @@ def _stage(v):
 
     def put(batches):
         import pandas as pd
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                name = os.path.join(root, path)
-                os.makedirs(os.path.dirname(name), exist_ok=True)
-                with open(name, "wb") as out:
+                store.create_dir(os.path.dirname(f"{base}/{path}"))
+                with store.open_output_stream(f"{base}/{path}") as out:
                     out.write(content)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows.repartition(8).mapInPandas(put, "n long").agg(F.sum("n")).first()
+    rows.repartition(v.cores).mapInPandas(put, "n long").agg(F.sum("n")).first()
     return root
 
 
@@ -182,7 +183,7 @@ def _(v):
 @job("content_fingerprint")
 def _(v):
     listed = objects.list_objects(v.spark, _stage(v), BUCKET)
-    return objects.content_fingerprint(listed, sample=2048, parallelism=8)
+    return objects.content_fingerprint(listed, sample=2048, parallelism=v.cores)
 
 
 @job("content_digest", "", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")

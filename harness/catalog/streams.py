@@ -4,6 +4,8 @@ The oracle is the batch form. Where a stream holds results back until the waterm
 oracle leaves out what is still open.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from harness import fixtures
@@ -12,29 +14,31 @@ from mediaops.session import scratch
 from mediaops.sources import topics
 from mediaops.streaming import jobs, state
 
-FILES = 8
+@contextmanager
+def _local_state(v):
+    """A local session needs no more state stores than cores; a cluster keeps its setting."""
+    setting = "spark.sql.shuffle.partitions"
+    before = v.spark.conf.get(setting)
+    if v.spark.sparkContext.master.startswith("local"):
+        v.spark.conf.set(setting, str(min(int(before), v.cores)))
+    try:
+        yield
+    finally:
+        v.spark.conf.set(setting, before)
 
 
-def _small_state(v):
-    """One state store per core is plenty for one file."""
-    v.spark.conf.set("spark.sql.shuffle.partitions", str(FILES))
+def _run(v, stream, mode="append", ntz=()):
+    path, progress = scratch(v.spark, "stream"), scratch(v.spark, "progress")
 
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def _run(v, stream, mode="append", ntz=()):
-    before = v.spark.conf.get("spark.sql.shuffle.partitions")
-    _small_state(v)
-    if mode == "update":
-        path = scratch(v.spark, "stream")
-
-        def keep(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-        query = jobs.start_batches(stream, keep, scratch(v.spark, "progress"), mode, available_now=True)
-    else:
-        path = scratch(v.spark, "stream")
-        query = jobs.start(stream, path, scratch(v.spark, "progress"), mode, available_now=True)
-    query.awaitTermination()
-    v.spark.conf.set("spark.sql.shuffle.partitions", before)
+    with _local_state(v):
+        if mode == "update":
+            query = jobs.start_batches(stream, keep, progress, mode, available_now=True)
+        else:
+            query = jobs.start(stream, path, progress, mode, available_now=True)
+        query.awaitTermination()
     out = v.spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
     for column in ntz:
         out = out.withColumn(column, F.col(column).cast("timestamp_ntz"))
@@ -139,10 +143,13 @@ def _letter_table(v, path):
     return table.drop("batch_id")
 
 
-def _dead_letter_table(v):
-    _small_state(v)
+def _dead_letter_table(v, times=1):
     path = scratch(v.spark, "dead-letters")
-    jobs.append_dead_letters(_letters(v), path, scratch(v.spark, "progress"), available_now=True).awaitTermination()
+    for _ in range(times):
+        with _local_state(v):
+            jobs.append_dead_letters(
+                _letters(v), path, scratch(v.spark, "progress"), available_now=True
+            ).awaitTermination()
     return _letter_table(v, path)
 
 
@@ -154,11 +161,7 @@ def _(v):
 @job("snk_dead_letter_table", "fx_task_events", LETTERS)
 def _(v):
     """The same intake run twice from the start: the second run replaces what the first wrote."""
-    _small_state(v)
-    path = scratch(v.spark, "dead-letters")
-    for _ in range(2):
-        jobs.append_dead_letters(_letters(v), path, scratch(v.spark, "progress"), available_now=True).awaitTermination()
-    return _letter_table(v, path)
+    return _dead_letter_table(v, times=2)
 
 
 @job("st_retry_loop", "fx_task_events fx_tasks", """
@@ -166,15 +169,15 @@ SELECT e.task_id, CASE WHEN t.retry_count < t.max_retry THEN 'RETRY' ELSE 'DEAD'
   CASE WHEN t.retry_count < t.max_retry THEN t.retry_count + 1 ELSE t.retry_count END AS retry_count, date_trunc('milliseconds', e.ts) AS sent_at
 FROM fx_task_events e JOIN fx_tasks t ON e.task_id = t.task_id WHERE e.status = 'FAILED'""")
 def _(v):
-    _small_state(v)
     failures = _stream(v, "fx_task_events").filter("status = 'FAILED'").select(
         "task_id", F.lit("broken").alias("error_message"), F.col("ts").alias("sent_at")
     )
     retry_path, dead_path = scratch(v.spark, "retry"), scratch(v.spark, "dead")
-    jobs.retry_loop(
-        failures, v("fx_tasks"), {"format": "text", "path": retry_path}, {"format": "text", "path": dead_path},
-        scratch(v.spark, "progress"), available_now=True,
-    ).awaitTermination()
+    with _local_state(v):
+        jobs.retry_loop(
+            failures, v("fx_tasks"), {"format": "text", "path": retry_path}, {"format": "text", "path": dead_path},
+            scratch(v.spark, "progress"), available_now=True,
+        ).awaitTermination()
     retries = topics.read_task_messages(v.spark, {"format": "text", "path": retry_path}, streaming=False)
     dead = topics.read_dead_letters(v.spark, {"format": "text", "path": dead_path}, streaming=False)
     columns = ["task_id", "route", "retry_count", F.col("sent_at").cast("timestamp_ntz").alias("sent_at")]

@@ -267,7 +267,7 @@ def _outcome(kind):
 SELECT task_id, seq, before AS status_before, status AS status_after, applied FROM st WHERE command = '{kind}'
 UNION ALL SELECT task_id, seq, NULL, NULL, 0 FROM fx_commands WHERE command = '{kind}' AND task_id NOT IN (SELECT task_id FROM fx_tasks)""")
     def _(v):
-        outcomes = commands.replay_commands(*_fold_inputs(v), slice_seconds=86400, block=64)
+        outcomes = commands.replay_commands(*_fold_inputs(v), slice_seconds=86400)
         return outcomes.filter(F.col("command") == kind).select(
             "task_id", "seq", "status_before", "status_after", "applied"
         )
@@ -277,6 +277,15 @@ for _kind in commands.COMMANDS:
     _outcome(_kind)
 
 
+# The same commands with every task of more than 32 sent through blocks and slices.
+@job("replay_large_tasks", "fx_tasks fx_commands", REPLAY + """
+SELECT task_id, seq, command, before AS status_before, status AS status_after, applied FROM st WHERE command IS NOT NULL
+UNION ALL SELECT task_id, seq, command, NULL, NULL, 0 FROM fx_commands WHERE task_id NOT IN (SELECT task_id FROM fx_tasks)""")
+def _(v):
+    outcomes = commands.replay_commands(*_fold_inputs(v), slice_seconds=86400, block=32)
+    return outcomes.select("task_id", "seq", "command", "status_before", "status_after", "applied")
+
+
 @job("apply_commands", "fx_tasks fx_commands", REPLAY + """
 , fin AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rn DESC) AS back FROM st)
 SELECT task_id, status, progress, retry_count, error_message, task_name, result, tokens_used, started_at, completed_at, updated_at FROM fin WHERE back = 1""")

@@ -22,6 +22,10 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def cores(self) -> int:
+        return self.spark.sparkContext.defaultParallelism
+
     def __call__(self, name: str) -> DataFrame:
         if name in fixtures.VIEWS:
             return fixtures.view(self.spark, self.sf_dir, name)

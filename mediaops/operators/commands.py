@@ -1,11 +1,13 @@
 """Guarded task updates replayed as a keyed fold.
 
 Commands of a task take effect in (ts, seq) order, and whether one applies depends on the
-status the earlier ones left. Each command is a small table "status before -> status after",
-and tables compose. So the fold runs in levels: blocks of at most ``BLOCK`` commands, blocks of
-one time slice, slices of one task. Every level first composes upward, then hands the status at
-its start downward. No level gathers more than a bounded list, even if one task holds a large
-part of all commands.
+status the earlier ones left. A task with at most ``BLOCK`` commands is folded as one list.
+
+A task with more is folded in levels. Each command is a small table "status before -> status
+after", and tables compose: blocks of at most ``BLOCK`` commands, blocks of one time slice,
+slices of one task. Every level first composes upward, then hands the status at its start
+downward. No level gathers more than a bounded list, even if one task holds a large part of all
+commands.
 """
 
 from __future__ import annotations
@@ -108,12 +110,40 @@ def _level(df: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
 
 def _hand_down(starts: DataFrame, level: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
     """The items of a level, each with the status before it."""
-    kind = dict(level.dtypes)["items"].removeprefix("array<").removesuffix(">")
-    return (
-        level.drop("leads_to").join(starts, keys)
-        .select(*keys, F.explode(_starts(F.col("items"), F.col("before"), kind)).alias("x"))
-        .select(*keys, *[F.col(f"x.item.{c}").alias(c) for c in item], F.col("x.before").alias("before"))
+    return _explode_starts(level.drop("leads_to").join(starts, keys), keys, item)
+
+
+def _explode_starts(lists: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
+    kind = dict(lists.dtypes)["items"].removeprefix("array<").removesuffix(">")
+    return lists.select(
+        *keys, F.explode(_starts(F.col("items"), F.col("before"), kind)).alias("x")
+    ).select(*keys, *[F.col(f"x.item.{c}").alias(c) for c in item], F.col("x.before").alias("before"))
+
+
+ROW_ITEM = ["ts", "seq", "command", "applies", "leads_to", *PAYLOAD]
+
+
+def _fold_lists(rows: DataFrame) -> DataFrame:
+    """Rows with the status before each, one list per task."""
+    lists = rows.groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.struct(*ROW_ITEM))).alias("items"),
+        F.first("first").alias("before"),
     )
+    return _explode_starts(lists, ["task_id"], ROW_ITEM)
+
+
+def _fold_levels(rows: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """The same through blocks and slices."""
+    order = Window.partitionBy("task_id", SLICE).orderBy("ts", "seq")
+    blocked = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
+    by_block = _level(blocked, ["task_id", SLICE, "block"], ROW_ITEM)
+    by_slice = _level(by_block, ["task_id", SLICE], ["block", "leads_to"])
+    by_task = _level(by_slice, ["task_id"], [SLICE, "leads_to"])
+
+    first = known.select("task_id", F.col("first").alias("before"))
+    slices = _hand_down(first, by_task, ["task_id"], [SLICE])
+    blocks = _hand_down(slices, by_slice, ["task_id", SLICE], ["block"])
+    return _hand_down(blocks, by_block, ["task_id", SLICE, "block"], ROW_ITEM).drop(SLICE, "block")
 
 
 def replay_commands(
@@ -131,20 +161,18 @@ def replay_commands(
         .withColumn("applies", _applies_from())
         .withColumn("leads_to", _leads_to())
     )
-    unknown = rows.filter(F.col("first").isNull())
-    order = Window.partitionBy("task_id", SLICE).orderBy("ts", "seq")
-    blocked = rows.filter(F.col("first").isNotNull()).withColumn(
-        "block", F.floor((F.row_number().over(order) - 1) / block)
+    unknown, found = rows.filter(F.col("first").isNull()), rows.filter(F.col("first").isNotNull())
+    large = materialise(
+        commands.groupBy("task_id").agg(F.count("*").alias("n"))
+        .filter(F.col("n") > block).select("task_id"),
+        "large-tasks",
     )
-    row_item = ["ts", "seq", "command", "applies", "leads_to", *PAYLOAD]
-    by_block = _level(blocked, ["task_id", SLICE, "block"], row_item)
-    by_slice = _level(by_block, ["task_id", SLICE], ["block", "leads_to"])
-    by_task = _level(by_slice, ["task_id"], [SLICE, "leads_to"])
-
-    first = known.select("task_id", F.col("first").alias("before"))
-    slices = _hand_down(first, by_task, ["task_id"], [SLICE])
-    blocks = _hand_down(slices, by_slice, ["task_id", SLICE], ["block"])
-    replayed = _hand_down(blocks, by_block, ["task_id", SLICE, "block"], row_item)
+    if large.isEmpty():
+        replayed = _fold_lists(found)
+    else:
+        replayed = _fold_lists(found.join(large, "task_id", "left_anti")).unionByName(
+            _fold_levels(found.join(large, "task_id", "left_semi"), known, block)
+        )
 
     names = F.array(*[F.lit(x) for x in STATES])
     done = replayed.select(
