@@ -12,21 +12,26 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
+from mediaops.functions.frames import once
+from mediaops.session import materialise
 
 _WITH_CORRUPT = StructType([*s.AI_RESULT.fields, StructField("_corrupt", StringType())])
 
 
 def parse_results(tasks: DataFrame) -> DataFrame:
     """Adds ``doc`` (the parsed document) and ``parsed``; the raw text stays."""
-    text = fn.strip_fence(F.col("result"))
-    parsed = F.from_json(
-        text, _WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    cleaned = once(tasks, "_text", fn.strip_fence(F.col("result")))
+    parsed = once(
+        cleaned, "_doc",
+        F.from_json("_text", _WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
+    )
+    good = (
+        F.col("_text").startswith("{") & F.col("_doc").isNotNull() & F.col("_doc._corrupt").isNull()
     )
-    good = text.startswith("{") & F.col("doc").isNotNull() & F.col("doc._corrupt").isNull()
     return (
-        tasks.withColumn("doc", parsed)
-        .withColumn("parsed", F.coalesce(good, F.lit(False)))
-        .withColumn("doc", F.when(F.col("parsed"), F.col("doc").dropFields("_corrupt")))
+        parsed.withColumn("parsed", F.coalesce(good, F.lit(False)))
+        .withColumn("doc", F.when(F.col("parsed"), F.col("_doc").dropFields("_corrupt")))
+        .drop("_text", "_doc")
     )
 
 
@@ -156,8 +161,10 @@ def enrich_with_retry(
 
 
 def split_outcomes(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(succeeded, failed)"""
-    return enriched.filter("ok"), enriched.filter("NOT ok")
+    """(succeeded, failed). The outcomes are written out first, so reading both results does not
+    call the service twice."""
+    kept = materialise(enriched, "outcomes")
+    return kept.filter("ok"), kept.filter("NOT ok")
 
 
 # ---- content ----

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from mediaops import schemas as s
+from mediaops.functions.frames import once
 
 # Record field -> column. A record's time is in epoch milliseconds.
 FIELDS = {
@@ -45,7 +46,7 @@ def read_topic(
         return (F.timestamp_millis(value) if name == "timestamp" else value).alias(FIELDS[name])
 
     return (
-        _values(spark, options, streaming).select(parsed.alias("r"))
+        once(_values(spark, options, streaming), "r", parsed)
         .select(*[column(f.name) for f in schema.fields], F.col("r._corrupt").alias("corrupt"))
     )
 
