@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.functions.columns import micros
@@ -37,13 +37,19 @@ def rate_global(requests: DataFrame, limit: int = GLOBAL_LIMIT, seconds: int = 1
 def rate_aligned(
     requests: DataFrame, keys: list[str], limit: int = USER_LIMIT, seconds: int = 1
 ) -> DataFrame:
-    """Place of each request in its key's clock-aligned window, and whether it is allowed."""
-    sliced = with_slice(requests.withColumn("bucket", _bucket(seconds)), "ts", min(seconds, HOUR))
-    return (
-        row_position(sliced, [*keys, "bucket"], ["ts", "req_id"], "place")
-        .withColumn("allowed", F.col("place") <= limit)
-        .drop(SLICE, "bucket")
-    )
+    """Place of each request in its key's clock-aligned window, and whether it is allowed.
+
+    Up to an hour a window is no larger than a slice would be, so it is numbered directly;
+    longer ones are numbered slice by slice.
+    """
+    bucketed = requests.withColumn("bucket", _bucket(seconds))
+    order = ["ts", "req_id"]
+    if seconds <= HOUR:
+        place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*order))
+        placed = bucketed.withColumn("place", place.cast("long"))
+    else:
+        placed = row_position(with_slice(bucketed, "ts"), [*keys, "bucket"], order, "place").drop(SLICE)
+    return placed.withColumn("allowed", F.col("place") <= limit).drop("bucket")
 
 
 def sliding_rate(

@@ -180,7 +180,9 @@ def retry_loop(
 ) -> StreamingQuery:
     """Failures (task_id, error_message, sent_at) to the retry topic or the dead-letter topic.
 
-    Each batch is met with the task table once and kept while both topics are written.
+    Each batch is met with the task table once and kept while both topics are written. A batch
+    that is run again sends its records again; ``dedup_messages`` and ``append_dead_letters``
+    take each (task_id, retry_count) once.
     """
     state = task_table.select("task_id", "upload_id", "user_id", "video_url", "retry_count", "max_retry")
 

@@ -1,7 +1,8 @@
 """Per-task state kept by the stream engine.
 
 The state of a key travels to Python together with its rows in Arrow batches, so a key costs no
-round trip of its own.
+round trip of its own. A key's rows of one micro-batch are sorted together; the source's
+``maxOffsetsPerTrigger`` (or ``maxFilesPerTrigger``) bounds how many that can be.
 """
 
 from __future__ import annotations
