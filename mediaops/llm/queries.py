@@ -78,3 +78,21 @@ SELECT doc_id, size,
     lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
   'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
 FROM placed, lookup"""
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import quality
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.judge(docs, model).drop("text")
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import langid
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
