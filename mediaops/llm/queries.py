@@ -96,3 +96,37 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import mixing
+
+    mixed = mixing.replicate(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"))
+    return mixed.select("doc_id", "copy", "repeats", "mix_key", "source", "lang", "n_chars", "text")
+
+
+ORACLES["op4_mixture"] = """WITH RECURSIVE sizes AS (
+  SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1) AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, 1.0::DOUBLE / sum(1.0::DOUBLE) OVER () * sum(size) OVER () / size::DOUBLE AS rate FROM sizes),
+parted AS (SELECT source, ceil(rate / 500)::INT AS parts, rate / ceil(rate / 500)::INT AS mean FROM rates),
+cdf AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM parted
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 10 * sqrt(mean)) + 20),
+drawn AS (
+  SELECT doc_id, part, source,
+    ('0x' || substr(md5('20|n|' || doc_id || '|' || part), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents JOIN parted USING (source), LATERAL (SELECT unnest(range(1, parts + 1)) AS part)),
+repeated AS (SELECT doc_id, count(*)::INT AS repeats FROM drawn JOIN cdf ON drawn.source = cdf.source AND c <= u GROUP BY doc_id)
+SELECT doc_id, copy::INT AS copy, repeats, ('0x' || substr(md5('20|o|' || doc_id || '|' || copy), 1, 15))::BIGINT AS mix_key,
+  source, lang, n_chars, text
+FROM documents JOIN repeated USING (doc_id), LATERAL (SELECT unnest(range(0, repeats)) AS copy)"""
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), urls.fit(spark)).drop("url")
