@@ -130,3 +130,11 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaops.llm import urls
 
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), urls.fit(spark)).drop("url")
+
+
+@query
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import html
+
+    pages = html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
