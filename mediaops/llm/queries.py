@@ -138,3 +138,39 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _license_oracle() -> str:
+    """The same windows, with every template tried in every window instead of those the bands retrieve."""
+    from mediaops.llm import licenses
+
+    shingles, n = [], licenses.SHINGLE
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.template_words(text)
+        distinct = {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)}
+        width = 1
+        while width < len(words) - n + 1:
+            width *= 2
+        shingles += [f"('{name}', {len(distinct)}, {width}, '{s}')" for s in sorted(distinct)]
+    return f"""WITH known(license, m, width, s) AS (VALUES {", ".join(shingles)}),
+words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, '{licenses._UPPER}', '{licenses._LOWER}'), '[^a-z0-9]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, w, unnest(range(0, len(w) - {n - 1})) AS pos FROM words),
+hits AS (SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS s FROM runs),
+placed AS (
+  SELECT doc_id, pos, hits.s, license, m, width, unnest([pos // width, pos // width - 1]) AS k FROM hits JOIN known ON hits.s = known.s),
+held AS (
+  SELECT doc_id, license, m, count(DISTINCT s) AS n, min(pos) AS first_word FROM placed GROUP BY doc_id, license, m, width, k
+  HAVING count(DISTINCT s) >= {licenses.CONTAINMENT} * m)
+SELECT doc_id, license, max(n::DOUBLE / m) AS containment, min(first_word)::INT AS first_word FROM held GROUP BY doc_id, license"""
+
+
+ORACLES["op6_licenses"] = _license_oracle()
