@@ -174,3 +174,11 @@ SELECT doc_id, license, max(n::DOUBLE / m) AS containment, min(first_word)::INT
 
 
 ORACLES["op6_licenses"] = _license_oracle()
+
+
+@query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
