@@ -55,3 +55,12 @@ def word_pieces(data: bytes):
         end = hit.start() if hit else len(data)
         yield data[at:end].split()
         at = end
+
+
+def shielded(df: DataFrame, names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with its columns called ``names`` (blank-separated) renamed, and what brings all its columns, under
+    their own names and without others, back after a pass that adds columns of those names."""
+    taken = set(names.split())
+    moved = {c: f"__own_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    back = [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+    return df.withColumnsRenamed(moved) if moved else df, lambda out: out.select(back)
