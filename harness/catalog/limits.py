@@ -43,7 +43,8 @@ ANCHORED = """
   SELECT r.api_key, r.rn, r.req_id, CASE WHEN r.ts >= st.window_start + INTERVAL 1 DAY THEN r.ts ELSE st.window_start END,
     CASE WHEN r.ts >= st.window_start + INTERVAL 1 DAY THEN 1 ELSE st.place + 1 END
   FROM st JOIN r ON r.api_key = st.api_key AND r.rn = st.rn + 1)
-SELECT req_id, api_key, window_start, place, place <= 4 AS allowed FROM st"""
+SELECT req_id, api_key, window_start, place, place <= 4 AS allowed FROM st
+UNION ALL SELECT req_id, api_key, NULL, NULL, true FROM fx_requests WHERE api_key IS NULL"""
 
 
 @job("rate_user_anchored", "fx_requests", ANCHORED)
@@ -53,13 +54,11 @@ def _(v):
     ).select("req_id", "api_key", "window_start", "place", "allowed")
 
 
-# The same requests with every burst above the average size sent slice by slice.
+# The same requests in finer slices.
 @job("rate_user_anchored_long_bursts", "fx_requests", ANCHORED)
 def _(v):
-    requests = v("fx_requests")
-    sizes = requests.groupBy("user_id").count().agg(F.avg("count")).first()[0]
     return limits.rate_anchored(
-        requests, "api_key", limit=4, seconds=DAY, slice_seconds=5 * DAY, fold_rows=int(sizes) // 2
+        v("fx_requests"), "api_key", limit=4, seconds=DAY, slice_seconds=2 * DAY
     ).select("req_id", "api_key", "window_start", "place", "allowed")
 
 

@@ -114,8 +114,10 @@ def _(v):
 @job("verify_content", "fx_upload_requests", """
 SELECT CAST(r.request_id AS VARCHAR) AS upload_id, r.file_hash, md5(d.text) AS actual_hash,
   CASE WHEN d.doc_id IS NULL THEN 'NO_CONTENT' WHEN r.file_hash IS NULL THEN 'NOT_DECLARED' WHEN lower(r.file_hash) = md5(d.text) THEN 'MATCH' ELSE 'MISMATCH' END AS outcome
-FROM fx_upload_requests r LEFT JOIN documents d ON r.request_id + 3 = d.doc_id + 3 AND d.lang <> 'de'""")
+FROM fx_upload_requests r LEFT JOIN documents d ON r.request_id = d.doc_id AND d.doc_id % 50 <> 0""")
 def _(v):
     sessions = v("fx_upload_requests").select(F.col("request_id").cast("string").alias("upload_id"), "file_hash")
-    content = v("documents").filter("lang <> 'de'").select(F.col("doc_id").cast("string").alias("upload_id"), "text")
+    # some contents lie under a key that no session has
+    kept_under = F.concat(F.when(F.col("doc_id") % 50 == 0, "moved_").otherwise(""), F.col("doc_id").cast("string"))
+    content = v("documents").select(kept_under.alias("upload_id"), "text")
     return results.verify_content(content, sessions, F.md5("text"))

@@ -177,10 +177,17 @@ def _(v):
     return listed.select("path", "length", "kind", "upload_id", "chunk_index", "day")
 
 
-# Few documents exceed two samples of 2 KiB, so all three shapes of the sample occur. The last 8
-# bytes are the size as a double, which the oracle's SQL cannot build: rows only here, and an
-# exact check in the tests.
-@job("content_fingerprint")
+# Few documents exceed two samples of 2 KiB, so all three shapes of the sample occur. The last 8 bytes are the size
+# as a little-endian double: exponent and fraction are put together as an integer.
+@job("content_fingerprint", "fx_uploads", STAGED + """
+, sized AS (SELECT path, CAST(length AS BIGINT) AS length, hex(encode(text)) AS h, least(2048, length) AS take, length(bin(length)) - 1 AS e FROM staged)
+, sampled AS (SELECT path, length,
+    substr(h, 1, 2 * take) || CASE WHEN length > 2 * take THEN substr(h, (length - take) // 2 * 2 + 1, 2 * take) ELSE '' END ||
+      CASE WHEN length > take THEN substr(h, 2 * (length - take) + 1, 2 * take) ELSE '' END AS parts,
+    CASE WHEN length = 0 THEN repeat('0', 16) ELSE printf('%016x', (1023 + e)::BIGINT * 4503599627370496 + (length - (1::BIGINT << e)) * (1::BIGINT << (52 - e))) END AS x
+  FROM sized)
+SELECT path, length, sha256(unhex(parts || substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2)
+  || substr(x, 3, 2) || substr(x, 1, 2))) AS fingerprint FROM sampled""")
 def _(v):
     listed = objects.list_objects(v.spark, _stage(v), BUCKET)
     return objects.content_fingerprint(listed, sample=2048, parallelism=v.cores)

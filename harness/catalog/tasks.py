@@ -160,9 +160,9 @@ def _(v):
 
 @job("backlog_order", "fx_tasks", """
 SELECT task_id, CAST(id % 3 + 4 AS INT) AS priority, created_at AS sent_at FROM fx_tasks WHERE status IN ('PENDING', 'QUEUED', 'RETRYING')
-ORDER BY 2 DESC, 3, 1 LIMIT 100""")
+ORDER BY 2 DESC, 3, 1""")
 def _(v):
-    return tasks.backlog_order(_waiting(v)).limit(100).select("task_id", "priority", "sent_at")
+    return tasks.backlog_order(_waiting(v)).select("task_id", "priority", "sent_at")
 
 
 @job("stuck_tasks", "fx_tasks", f"""

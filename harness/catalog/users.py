@@ -9,8 +9,8 @@ from mediaops.operators import users
 
 
 @job("validate_registrations", "fx_registrations", r"""
-, j AS (SELECT request_id, CASE WHEN NOT (length(username) BETWEEN 2 AND 64 AND regexp_full_match(username, '[a-zA-Z0-9_]+')) THEN 'username'
-  WHEN NOT (length(email) <= 128 AND regexp_full_match(email, '[^@\s]+@[^@\s]+')) THEN 'email' WHEN NOT length(password) BETWEEN 6 AND 32 THEN 'password' END AS field FROM fx_registrations)
+, j AS (SELECT request_id, CASE WHEN username IS NULL OR NOT (length(username) BETWEEN 2 AND 64 AND regexp_full_match(username, '[a-zA-Z0-9_]+')) THEN 'username'
+  WHEN email IS NULL OR NOT (length(email) <= 128 AND regexp_full_match(email, '[^@\s]+@[^@\s]+')) THEN 'email' WHEN NOT length(password) BETWEEN 6 AND 32 THEN 'password' END AS field FROM fx_registrations)
 SELECT request_id, CASE WHEN field IS NULL THEN 0 ELSE 10001 END AS code, field FROM j""")
 def _(v):
     return rules.judge(v("fx_registrations"), rules.user_rules()).select("request_id", "code", "field")
@@ -82,7 +82,7 @@ def _(v):
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, 0 AS code, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails
   UNION ALL
   SELECT rn, request_id, code, CASE WHEN code = 0 THEN list_append(names, username) ELSE names END, CASE WHEN code = 0 THEN list_append(mails, email) ELSE mails END FROM (
-    SELECT r.*, st.names, st.mails, CASE WHEN r.name_used OR list_contains(st.names, r.username) THEN 23003 WHEN r.mail_used OR list_contains(st.mails, r.email) THEN 23004 ELSE 0 END AS code
+    SELECT r.*, st.names, st.mails, CASE WHEN r.username IS NULL OR r.email IS NULL THEN 10001 WHEN r.name_used OR list_contains(st.names, r.username) THEN 23003 WHEN r.mail_used OR list_contains(st.mails, r.email) THEN 23004 ELSE 0 END AS code
     FROM st JOIN r ON r.rn = st.rn + 1) x)
 SELECT request_id, code FROM st WHERE request_id IS NOT NULL""")
 def _(v):

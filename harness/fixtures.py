@@ -150,8 +150,8 @@ FROM customer
 
 _view("fx_registrations", "customer", """
 SELECT c_custkey AS request_id,
-  CASE WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 47 = 0 THEN 'a' ELSE 'new_' || CAST((c_custkey * 31) % 397 AS STRING) END AS username,
-  CASE WHEN c_custkey % 6 = 0 THEN lower(c_name) || '@example.com' WHEN c_custkey % 53 = 0 THEN 'no mail' ELSE 'm' || CAST((c_custkey * 17) % 409 AS STRING) || '@example.com' END AS email,
+  CASE WHEN c_custkey % 61 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 47 = 0 THEN 'a' ELSE 'new_' || CAST((c_custkey * 31) % 397 AS STRING) END AS username,
+  CASE WHEN c_custkey % 67 = 0 THEN NULL WHEN c_custkey % 6 = 0 THEN lower(c_name) || '@example.com' WHEN c_custkey % 53 = 0 THEN 'no mail' ELSE 'm' || CAST((c_custkey * 17) % 409 AS STRING) || '@example.com' END AS email,
   CASE WHEN c_custkey % 59 = 0 THEN 'short' ELSE md5(c_name) END AS password
 FROM customer
 """)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.functions.columns import micros
@@ -14,8 +14,6 @@ from mediaops.operators.ordered import (
 from mediaops.session import materialise
 
 NEVER = -(1 << 60)
-# A burst with more requests than this goes slice by slice instead of in one list.
-FOLD_ROWS = 10_000
 GLOBAL_LIMIT, USER_LIMIT, UPLOAD_LIMIT = 1000, 100, 10
 MICROS = 1_000_000
 
@@ -34,46 +32,47 @@ def rate_global(requests: DataFrame, limit: int = GLOBAL_LIMIT, seconds: int = 1
     )
 
 
+def _threshold(limit: int | str) -> Column:
+    """A number for all, or the column that holds each request's own limit."""
+    return F.col(limit) if isinstance(limit, str) else F.lit(limit)
+
+
 def rate_aligned(
-    requests: DataFrame, keys: list[str], limit: int = USER_LIMIT, seconds: int = 1
+    requests: DataFrame, keys: list[str], limit: int | str = USER_LIMIT, seconds: int = 1,
+    slice_seconds: int = HOUR,
 ) -> DataFrame:
     """Place of each request in its key's clock-aligned window, and whether it is allowed.
 
-    Up to an hour a window is no larger than a slice would be, so it is numbered directly;
-    longer ones are numbered slice by slice.
+    Windows are numbered slice by slice. Requests without a key or a time share a window.
+    ``limit`` may name a column.
     """
-    bucketed = requests.withColumn("bucket", _bucket(seconds))
-    order = ["ts", "req_id"]
-    if seconds <= HOUR:
-        place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*order))
-        placed = bucketed.withColumn("place", place.cast("long"))
-    else:
-        placed = row_position(with_slice(bucketed, "ts"), [*keys, "bucket"], order, "place").drop(SLICE)
-    return placed.withColumn("allowed", F.col("place") <= limit).drop("bucket")
+    bucketed = with_slice(requests.withColumn("bucket", _bucket(seconds)), "ts", slice_seconds)
+    placed = row_position(bucketed, [*keys, "bucket"], ["ts", "req_id"], "place")
+    return placed.withColumn("allowed", F.col("place") <= _threshold(limit)).drop("bucket", SLICE)
 
 
 def sliding_rate(
-    requests: DataFrame, keys: list[str], limit: int = USER_LIMIT, seconds: int = 1
+    requests: DataFrame, keys: list[str], limit: int | str = USER_LIMIT, seconds: int = 1
 ) -> DataFrame:
-    """Requests of the key in the trailing window, and whether that is over the limit."""
+    """Requests of the key in the trailing window, and whether that is over the limit, which may
+    be a column's name."""
     return trailing_count(requests, keys, "ts", seconds, "in_window").withColumn(
-        "over_limit", F.col("in_window") > limit
+        "over_limit", F.col("in_window") > _threshold(limit)
     )
 
 
 # ---- windows anchored at the first request after the last one ended ----
 
 def rate_anchored(
-    requests: DataFrame, key: str, limit: int = USER_LIMIT, seconds: int = 1,
-    slice_seconds: int | None = None, fold_rows: int = FOLD_ROWS,
+    requests: DataFrame, key: str, limit: int | str = USER_LIMIT, seconds: int = 1,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Window start, place in the window and whether allowed, where a window opens at the first
     request after the previous one ended. Every request counts, also a refused one. Requests
-    without a key are not limited and not returned.
+    without a key are not limited: they are allowed, with no window and no place.
 
-    A gap of a window or more always opens a new one, so each burst between gaps stands alone.
-    Bursts of up to ``fold_rows`` requests are folded one list each; longer ones go slice by
-    slice.
+    A gap of a window or more always opens a new one, so each burst between gaps stands alone
+    and is worked slice by slice.
     """
     width = seconds * MICROS
     slice_seconds = slice_seconds or max(HOUR, 64 * seconds)
@@ -87,63 +86,20 @@ def rate_anchored(
     bursts = materialise(
         running_total(spaced, [key], order, opens.cast("long"), "_burst").drop("_before"), "bursts"
     )
-    burst = [key, "_burst"]
-    large = (
-        bursts.groupBy(*burst).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > fold_rows).select(*burst)
+    placed = (
+        _chain_bursts(bursts, [key, "_burst"], width)
+        .withColumn("window_start", F.timestamp_micros("opened_at").cast("timestamp_ntz"))
+        .withColumn("allowed", F.col("place") <= _threshold(limit))
+        .select(*requests.columns, "window_start", "place", "allowed")
     )
-    out = [*requests.columns, "window_start", "place", "allowed"]
-    if large.isEmpty():
-        placed = _fold_bursts(bursts, burst, width, requests.columns)
-    else:
-        large = materialise(large, "large-bursts")
-        placed = _fold_bursts(
-            bursts.join(large, burst, "left_anti"), burst, width, requests.columns
-        ).unionByName(
-            _chain_bursts(bursts.join(large, burst, "left_semi"), burst, width).select(
-                *requests.columns, "opened_at", "place"
-            )
-        )
-    return (
-        placed.withColumn("window_start", F.timestamp_micros("opened_at").cast("timestamp_ntz"))
-        .withColumn("allowed", F.col("place") <= limit)
-        .select(*out)
+    keyless = requests.filter(F.col(key).isNull()).select(
+        *requests.columns, F.lit(None).cast("timestamp_ntz").alias("window_start"),
+        F.lit(None).cast("long").alias("place"), F.lit(True).alias("allowed"),
     )
+    return placed.unionByName(keyless)
 
 
-def _fold_bursts(
-    bursts: DataFrame, burst: list[str], width: int, columns: list[str]
-) -> DataFrame:
-    """Opening instant and place of each request, one list per burst."""
-    item = F.struct("_at", "req_id", F.struct(*columns).alias("row"))
-    groups = bursts.groupBy(*burst).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = dict(groups.dtypes)["items"]
-    row_kind = kind[kind.index("row:") + 4 : -2]
-    zero = F.struct(
-        F.lit(NEVER).cast("long").alias("opened_at"),
-        F.lit(0).cast("long").alias("place"),
-        F.array().cast(f"array<struct<row:{row_kind},opened_at:bigint,place:bigint>>").alias("seen"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["_at"] - acc["opened_at"] >= width
-        opened = F.when(fresh, x["_at"]).otherwise(acc["opened_at"])
-        place = F.when(fresh, F.lit(1)).otherwise(acc["place"] + 1).cast("long")
-        return F.struct(
-            opened.alias("opened_at"),
-            place.alias("place"),
-            F.array_append(
-                acc["seen"],
-                F.struct(x["row"].alias("row"), opened.alias("opened_at"), place.alias("place")),
-            ).alias("seen"),
-        )
-
-    return groups.select(
-        F.explode(F.aggregate("items", zero, step, lambda acc: acc["seen"])).alias("x")
-    ).select("x.row.*", "x.opened_at", "x.place")
-
-
-# A long burst is cut into slices. Where the chain of its windows leaves a slice depends only on
+# A burst is cut into slices. Where the chain of its windows leaves a slice depends only on
 # the instant it enters at, which lies within one window of the slice's start, so a slice is
 # summed up by a short table of (last entry instant of a run, end of the last window). Only
 # these tables meet per burst; the instants themselves stay in their slice.
@@ -161,7 +117,7 @@ def _window_ends(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chain_bursts(bursts: DataFrame, burst: list[str], width: int) -> DataFrame:
-    """Opening instant and place of each request of long bursts."""
+    """Opening instant and place of each request of its burst."""
     instants = bursts.select(*burst, SLICE, "_at").distinct()
     kinds = dict(bursts.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in burst)

@@ -3,7 +3,8 @@
 A plain window sends all rows of a key to one task. Here each key is cut into time slices, so
 the row-level window runs per (key, slice); one small row per slice carries the last value or
 the total over to the later slices. The carry is joined back on (key, slice), the partitioning
-the window already uses, so the detail rows are shuffled once.
+the window already uses, so the detail rows are shuffled once. Keys and slice are compared as one
+struct, in which nulls are equal: rows without a key or a time are a key and a slice of their own.
 """
 
 from __future__ import annotations
@@ -21,8 +22,16 @@ def with_slice(df: DataFrame, ts: str, seconds: int = HOUR) -> DataFrame:
     return df.withColumn(SLICE, F.floor(micros(F.col(ts)) / (seconds * 1_000_000)))
 
 
-def _carry_join(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(carry, [*keys, SLICE], "left")
+PART = "_part"
+
+
+def _parted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn(PART, F.struct(*keys, SLICE))
+
+
+def _over_parts(keys: list[str]):
+    """All slices of a key, over rows that stand for a part."""
+    return Window.partitionBy(F.struct(*(F.col(f"{PART}.{k}") for k in keys)))
 
 
 def neighbour(
@@ -30,29 +39,29 @@ def neighbour(
     forward: bool = False,
 ) -> DataFrame:
     """Adds the value of the previous row of the key (or of the next one). Needs with_slice."""
-    rows = df.withColumn("_value", value)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    rows = _parted(df.withColumn("_value", value), keys)
+    local = Window.partitionBy(PART).orderBy(*order)
     position = F.struct(*order)
     if forward:
         edge = F.min_by("_value", position)
-        over = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc())
+        over = _over_parts(keys).orderBy(F.col(f"{PART}.{SLICE}").desc())
         near = F.lead("_value").over(local)
         at_edge = F.lead(F.lit(True)).over(local).isNull()
     else:
         edge = F.max_by("_value", position)
-        over = Window.partitionBy(*keys).orderBy(SLICE)
+        over = _over_parts(keys).orderBy(f"{PART}.{SLICE}")
         near = F.lag("_value").over(local)
         at_edge = F.lag(F.lit(True)).over(local).isNull()
     carry = (
-        rows.groupBy(*keys, SLICE).agg(edge.alias("_edge"))
+        rows.groupBy(PART).agg(edge.alias("_edge"))
         .withColumn("_carried", F.lag("_edge").over(over))
         .drop("_edge")
     )
     placed = rows.withColumn("_near", near).withColumn("_at_edge", at_edge)
     return (
-        _carry_join(placed, carry, keys)
+        placed.join(carry, PART, "left")
         .withColumn(out, F.when(F.col("_at_edge"), F.col("_carried")).otherwise(F.col("_near")))
-        .drop("_value", "_near", "_at_edge", "_carried")
+        .drop(PART, "_value", "_near", "_at_edge", "_carried")
     )
 
 
@@ -60,21 +69,21 @@ def running_total(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str
 ) -> DataFrame:
     """Adds the sum of the value over the key's rows up to and including this one."""
-    rows = df.withColumn("_value", value)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(
+    rows = _parted(df.withColumn("_value", value), keys)
+    local = Window.partitionBy(PART).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = _over_parts(keys).orderBy(f"{PART}.{SLICE}").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, SLICE).agg(F.sum("_value").alias("_sum"))
+        rows.groupBy(PART).agg(F.sum("_value").alias("_sum"))
         .withColumn("_carried", F.sum("_sum").over(before))
         .drop("_sum")
     )
     placed = rows.withColumn("_local", F.sum("_value").over(local))
     return (
-        _carry_join(placed, carry, keys)
+        placed.join(carry, PART, "left")
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0)))
-        .drop("_value", "_local", "_carried")
+        .drop(PART, "_value", "_local", "_carried")
     )
 
 
@@ -87,7 +96,7 @@ def trailing_count(
     df: DataFrame, keys: list[str], ts: str, window_seconds: int, out: str,
     slice_seconds: int = HOUR,
 ) -> DataFrame:
-    """Adds the number of the key's rows in (ts - window, ts].
+    """Adds the number of the key's rows in (ts - window, ts]; 0 for rows without a time.
 
     Counts per instant are built first. Each lands in its own slice and, if it lies within one
     window of the end, also in the next slice as context; slices are at least one window long,
@@ -106,6 +115,11 @@ def trailing_count(
     counted = (
         spread.withColumn(out, F.sum("_n").over(w))
         .filter(F.col("_in") == F.col("_home"))
-        .select(*keys, "_at", out)
+        .select(F.struct(*keys, "_at").alias(PART), out)
+    )
+    instants = df.withColumn("_at", at)
+    return (
+        instants.withColumn(PART, F.struct(*keys, "_at")).join(counted, PART, "left")
+        .withColumn(out, F.coalesce(out, F.lit(0)))
+        .drop(PART, "_at")
     )
-    return df.withColumn("_at", at).join(counted, [*keys, "_at"]).drop("_at")

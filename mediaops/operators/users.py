@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
+from mediaops.functions.rules import PARAM
 from mediaops.session import materialise
 
 SECRET_COLUMNS = ("password", "api_secret")
@@ -101,7 +102,7 @@ def user_admin_update(users: DataFrame, changes: DataFrame) -> DataFrame:
 def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -> DataFrame:
     """Outcome of each registration, as if they came one by one in request order.
 
-    A username in use gives 23003. An email in use gives 23004: any user's if strict, else
+    A request without a username or an email gives the parameter code and takes nothing. A username in use gives 23003. An email in use gives 23004: any user's if strict, else
     only an enabled user's. An accepted request takes its username and email.
 
     Inside the batch each round accepts every open request that is the first open one for both
@@ -120,7 +121,8 @@ def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -
         "registrations",
     )
     known_name = F.coalesce("_name_used", F.lit(False))
-    open_ = judged.filter(~known_name & F.col("_email_used").isNull()).select(*requests.columns)
+    named = F.col("username").isNotNull() & F.col("email").isNotNull()
+    open_ = judged.filter(named & ~known_name & F.col("_email_used").isNull()).select(*requests.columns)
     accepted = open_.limit(0)
     while not open_.isEmpty():
         names = open_.groupBy("username").agg(F.min("request_id").alias("_first_name"))
@@ -145,7 +147,8 @@ def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -
         judged.join(accepted_ids, "request_id", "left").join(by_name, "username", "left")
         .withColumn(
             "code",
-            F.when(F.col("_accepted"), s.OK)
+            F.when(~named, PARAM)
+            .when(F.col("_accepted"), s.OK)
             .when(F.col("_name_used") | (F.col("_name_id") < F.col("request_id")), 23003)
             .otherwise(23004),
         )

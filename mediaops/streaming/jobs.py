@@ -6,6 +6,7 @@ timestamp first, because watermarks need one.
 
 from __future__ import annotations
 
+import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -148,28 +149,32 @@ def append_dead_letters(
 ) -> StreamingQuery:
     """Durable dead-letter table, one row per (task_id, retry_count).
 
-    A batch owns the folder ``batch_id=n`` and replaces it when it is run again, so a replay
-    changes nothing. Letters already in earlier folders are left out by an anti join on the two
-    key columns.
+    A batch owns the folder ``run=r/batch_id=n``, where r stands for the checkpoint, and replaces
+    it when it is run again, so a replay changes nothing and a new checkpoint never touches what
+    other runs have stored. Letters already stored by other runs or earlier batches are left
+    out by an anti join on the two key columns.
     """
     spark = letters.sparkSession
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    kept_schema = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
+    spark.createDataFrame([], kept_schema).write.mode("overwrite").parquet(f"{path}/run={run}/batch_id=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.filter(F.col("task_id").isNotNull())
         first = kept.groupBy("task_id", "retry_count").agg(
             F.min_by(F.struct("error", "sent_at"), F.struct("sent_at", "error")).alias("x")
         ).select("task_id", "retry_count", "x.*")
-        if batch_id > 0:
-            known = spark.read.schema(
-                "task_id string, retry_count int, batch_id long"
-            ).option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
-            seen = known.select("task_id", F.col("retry_count").alias("_r"))
-            first = first.join(
-                seen,
-                (first["task_id"] == seen["task_id"]) & first["retry_count"].eqNullSafe(seen["_r"]),
-                "left_anti",
-            )
-        first.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stored = spark.read.schema(
+            "task_id string, retry_count int, run string, batch_id long"
+        ).option("basePath", path).parquet(path)
+        known = stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
+        seen = known.select("task_id", F.col("retry_count").alias("_r"))
+        fresh = first.join(
+            seen,
+            (first["task_id"] == seen["task_id"]) & first["retry_count"].eqNullSafe(seen["_r"]),
+            "left_anti",
+        )
+        fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     return start_batches(letters, handle, checkpoint, available_now=available_now)
 

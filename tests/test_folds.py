@@ -131,8 +131,8 @@ def test_anchored_windows(spark, marks):
     rows = [(i, key, T0 + datetime.timedelta(milliseconds=250 * at)) for i, (key, at) in enumerate(marks)]
     want = _anchored(rows, datetime.timedelta(seconds=1))
     frame = spark.createDataFrame(rows, "req_id long, api_key string, ts timestamp_ntz")
-    for fold_rows in (10_000, 3):
-        done = limits.rate_anchored(frame, "api_key", limit=2, seconds=1, slice_seconds=4, fold_rows=fold_rows)
+    for slice_seconds in (4, 64):
+        done = limits.rate_anchored(frame, "api_key", limit=2, seconds=1, slice_seconds=slice_seconds)
         assert {r.req_id: (r.window_start, r.place) for r in done.collect()} == want
 
 
