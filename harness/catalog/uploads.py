@@ -68,10 +68,10 @@ def _(v):
 
 
 @job("chunk_set_ops", "fx_uploads", """
-, p AS (SELECT upload_id, CAST(id % 6 AS INT) AS i, CAST(uploaded_chunks AS INT[]) AS c FROM fx_uploads)
+, p AS (SELECT upload_id, CAST(id % 6 AS INT) AS i, CAST(uploaded_chunks AS INT[]) AS c, status <> 0 AS shut FROM fx_uploads)
 SELECT upload_id, i AS chunk_index, list_contains(c, i) AS already,
-  array_to_string(CASE WHEN list_contains(c, i) THEN c ELSE list_append(c, i) END, ',') AS chunks_after,
-  CAST(len(c) + CASE WHEN list_contains(c, i) THEN 0 ELSE 1 END AS INT) AS count_after FROM p""")
+  array_to_string(CASE WHEN shut OR list_contains(c, i) THEN c ELSE list_append(c, i) END, ',') AS chunks_after,
+  CAST(len(c) + CASE WHEN shut OR list_contains(c, i) THEN 0 ELSE 1 END AS INT) AS count_after FROM p""")
 def _(v):
     indexed = v("fx_uploads").withColumn("chunk_index", (F.col("id") % 6).cast("int"))
     return uploads.chunk_set_ops(indexed).select(
@@ -203,9 +203,11 @@ def _(v):
 
 
 @job("expire_sessions", "fx_uploads", """
-SELECT upload_id, CASE WHEN status = 0 AND expired_at < TIMESTAMP '2024-01-02 06:00:00' THEN 3 ELSE status END AS status FROM fx_uploads""")
+SELECT upload_id, CASE WHEN status = 0 AND expired_at < TIMESTAMP '2024-01-02 06:00:00' THEN 3 ELSE status END AS status,
+  CASE WHEN status = 0 AND expired_at < TIMESTAMP '2024-01-02 06:00:00' THEN TIMESTAMP '2024-01-02 06:00:00' ELSE created_at END AS updated_at FROM fx_uploads""")
 def _(v):
-    return uploads.expire_sessions(v("fx_uploads"), moment("2024-01-02 06:00:00")).select("upload_id", "status")
+    sessions = v("fx_uploads").withColumn("updated_at", F.col("created_at"))
+    return uploads.expire_sessions(sessions, moment("2024-01-02 06:00:00")).select("upload_id", "status", "updated_at")
 
 
 @job("session_status_update", ACKS, CHUNKS + """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from harness.registry import job
+from harness.registry import job, moment
 from mediaops import schemas as s
 from mediaops.functions import rules
 from mediaops.operators import users
@@ -68,12 +68,14 @@ def _(v):
 
 
 @job("user_admin_update", "fx_users", """
-SELECT id, CASE WHEN id % 9 = 0 THEN 0 ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 500 ELSE rate_limit END AS rate_limit FROM fx_users""")
+SELECT id, CASE WHEN id % 9 = 0 THEN 0 ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 500 ELSE rate_limit END AS rate_limit,
+  CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM fx_users""")
 def _(v):
     changes = v("fx_users").select(
         "id", (F.col("id") % 9 == 0).alias("disable"), F.when(F.col("id") % 4 == 0, 500).alias("rate_limit")
     )
-    return users.user_admin_update(v("fx_users"), changes).select("id", "status", "rate_limit")
+    known = v("fx_users").withColumn("updated_at", moment("2024-01-01 00:00:00"))
+    return users.user_admin_update(known, changes, moment("2024-03-01 00:00:00")).select("id", "status", "rate_limit", "updated_at")
 
 
 @job("register_batch", "fx_registrations fx_users", """

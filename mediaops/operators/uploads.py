@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
+from mediaops.functions.frames import touched
 
 INSTANT, RESUME, NEW = "INSTANT", "RESUME", "NEW"
 
@@ -27,9 +28,9 @@ def valid_sessions(keys: DataFrame, sessions: DataFrame, as_of: Column) -> DataF
 
 
 def expire_sessions(sessions: DataFrame, as_of: Column) -> DataFrame:
-    """Sessions with those still uploading past their expiry set to expired."""
+    """Sessions with those still uploading past their expiry set to expired, and when that was."""
     due = (F.col("status") == s.UPLOADING) & (F.col("expired_at") < as_of)
-    return sessions.withColumn(
+    return touched(sessions, due, as_of).withColumn(
         "status", F.when(due, s.EXPIRED).otherwise(F.col("status"))
     )
 
@@ -190,12 +191,13 @@ def compose_manifest(acks: DataFrame, sessions: DataFrame, day: Column) -> DataF
 
 
 def chunk_set_ops(sessions: DataFrame) -> DataFrame:
-    """Parses the JSON chunk list and adds ``chunk_index`` if absent."""
+    """Parses the JSON chunk list and adds ``chunk_index`` if absent, while the session is uploading."""
     chunks, index = fn.chunk_list(F.col("uploaded_chunks")), F.col("chunk_index")
+    added = F.when(F.col("status") == s.UPLOADING, fn.add_chunk(F.col("chunks"), index))
     return (
         sessions.withColumn("chunks", chunks)
         .withColumn("already", F.array_contains("chunks", index))
-        .withColumn("chunks_after", fn.add_chunk(F.col("chunks"), index))
+        .withColumn("chunks_after", F.coalesce(added, F.col("chunks")))
         .withColumn("count_after", F.size("chunks_after"))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
+from mediaops.functions.frames import touched
 from mediaops.functions.rules import PARAM
 from mediaops.session import materialise
 
@@ -88,11 +89,12 @@ def error_mix(requests: DataFrame) -> DataFrame:
     return error_dimension(per_code).groupBy("family", "http_status").agg(F.sum("n").alias("n"))
 
 
-def user_admin_update(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Bulk disable and rate-limit change by id; ``changes(id, disable, rate_limit)``."""
+def user_admin_update(users: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """Bulk disable and rate-limit change by id, and when that was; ``changes(id, disable, rate_limit)``."""
     new = changes.select("id", "disable", F.col("rate_limit").alias("_rate"))
+    changed = F.coalesce("disable", F.lit(False)) | F.col("_rate").isNotNull()
     return (
-        users.join(new, "id", "left")
+        touched(users.join(new, "id", "left"), changed, as_of)
         .withColumn("status", F.when(F.col("disable"), 0).otherwise(F.col("status")))
         .withColumn("rate_limit", F.coalesce("_rate", "rate_limit"))
         .drop("disable", "_rate")
