@@ -14,17 +14,18 @@ from mediaops.plans import task_flow, upload_flow
   WHEN NOT regexp_matches(file_name, '\S') OR length(file_name) > 255 OR file_size < 1 OR file_size > 5368709120
     OR coalesce(NOT regexp_full_match(file_hash, '[a-fA-F0-9]{32,64}'), false) OR coalesce(chunk_size < 1048576 OR chunk_size > 52428800, false) OR length(prompt) > 2000 THEN 10001
   WHEN list_last(string_split(lower(file_name), '.')) NOT IN ('mp4','avi','mov','mkv','wmv','flv') THEN 20005 ELSE 0 END AS code FROM fx_upload_requests)
-, m AS (SELECT j.request_id, j.user_id, j.code, j.file_size, coalesce(j.chunk_size, 5242880) AS chunk, j.created_at, r.upload_id AS matched,
+, m AS (SELECT j.request_id, j.user_id, j.code, j.file_size, coalesce(j.chunk_size, 5242880) AS chunk, j.created_at, r.upload_id AS matched, r.chunk_size AS old_chunk, r.total_chunks AS old_total, r.uploaded_chunks AS old_chunks,
     CASE WHEN j.code <> 0 THEN NULL WHEN r.upload_id IS NOT NULL AND r.status = 2 THEN 'INSTANT' WHEN r.upload_id IS NOT NULL THEN 'RESUME' ELSE 'NEW' END AS decision
   FROM judged j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY status DESC) AS pick FROM ranked WHERE rn = 1 AND status IN (0, 2)) r
   ON j.file_hash = r.file_hash AND r.pick = 1 AND j.code = 0)
-SELECT request_id, user_id, code, decision, matched AS matched_upload_id, CASE WHEN decision = 'NEW' THEN chunk END AS chunk_size,
-  CASE WHEN decision = 'NEW' THEN CAST((file_size + chunk - 1) // chunk AS INT) END AS total_chunks,
+SELECT request_id, user_id, code, decision, matched AS matched_upload_id, CASE WHEN decision = 'NEW' THEN chunk WHEN decision = 'RESUME' THEN old_chunk END AS chunk_size,
+  CASE WHEN decision = 'NEW' THEN CAST((file_size + chunk - 1) // chunk AS INT) WHEN decision = 'RESUME' THEN old_total END AS total_chunks,
+  CASE WHEN decision = 'RESUME' THEN array_to_string(CAST(old_chunks AS INT[]), ',') END AS uploaded_chunks,
   CASE WHEN decision = 'NEW' THEN created_at + INTERVAL 24 HOUR END AS expired_at FROM m""")
 def _(v):
     return upload_flow.init_uploads(v("fx_upload_requests"), v("fx_uploads"), resume=True).drop(
         "field", "last_chunk_bytes"
-    )
+    ).withColumn("uploaded_chunks", F.array_join("uploaded_chunks", ","))
 
 
 @job("flow_upload_complete", ACKS, CHUNKS + """

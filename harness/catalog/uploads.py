@@ -134,12 +134,15 @@ def _(v):
 
 @job("resume_match", "fx_uploads fx_upload_requests", FIRST_MERGED + """
 SELECT r.request_id, r.user_id, CASE WHEN m.upload_id IS NOT NULL THEN 'INSTANT' WHEN o.upload_id IS NOT NULL THEN 'RESUME' ELSE 'NEW' END AS decision,
-  coalesce(m.upload_id, o.upload_id) AS matched_upload_id, coalesce(m.user_id, o.user_id) AS owner_id
+  coalesce(m.upload_id, o.upload_id) AS matched_upload_id, coalesce(m.user_id, o.user_id) AS owner_id,
+  CASE WHEN m.upload_id IS NULL THEN o.chunk_size END AS resume_chunk_size, CASE WHEN m.upload_id IS NULL THEN o.total_chunks END AS resume_total_chunks,
+  CASE WHEN m.upload_id IS NULL THEN array_to_string(CAST(o.uploaded_chunks AS INT[]), ',') END AS resume_chunks
 FROM fx_upload_requests r LEFT JOIN ranked m ON r.file_hash = m.file_hash AND m.rn = 1 AND m.status = 2
 LEFT JOIN ranked o ON r.file_hash = o.file_hash AND o.rn = 1 AND o.status = 0""")
 def _(v):
     return uploads.match_uploads(v("fx_upload_requests"), v("fx_uploads"), resume=True).select(
-        "request_id", "user_id", "decision", "matched_upload_id", "owner_id"
+        "request_id", "user_id", "decision", "matched_upload_id", "owner_id", "resume_chunk_size", "resume_total_chunks",
+        F.array_join("resume_chunks", ",").alias("resume_chunks"),
     )
 
 

@@ -70,7 +70,8 @@ def _first_per_hash(sessions: DataFrame, status: int) -> DataFrame:
 
 def match_uploads(requests: DataFrame, sessions: DataFrame, resume: bool = False) -> DataFrame:
     """Decision per request: INSTANT (same content already merged, whoever owns it), RESUME
-    (same content still uploading; only if asked for) or NEW.
+    (same content still uploading; only if asked for) or NEW. If asked for, a RESUME row also
+    says how to go on: the chunk size, the number of chunks and the chunks already there.
 
     Requests without a hash get a key of their own, so they spread instead of meeting in one
     partition.
@@ -81,20 +82,28 @@ def match_uploads(requests: DataFrame, sessions: DataFrame, resume: bool = False
         return _first_per_hash(sessions, status).select(
             F.col("file_hash").alias("_key"),
             F.col("upload_id").alias(f"{name}_upload"), F.col("user_id").alias(f"{name}_owner"),
+            *([F.col(c).alias(f"open_{c}") for c in ("chunk_size", "total_chunks", "uploaded_chunks")] if name == "open" else []),
         )
 
     matched = requests.withColumn("_key", key).join(side(s.MERGED, "merged"), "_key", "left")
     upload, owner = F.col("merged_upload"), F.col("merged_owner")
-    decision = F.when(upload.isNotNull(), INSTANT)
+    decision, plan = F.when(upload.isNotNull(), INSTANT), []
     if resume:
         matched = matched.join(side(s.UPLOADING, "open"), "_key", "left")
         decision = decision.when(F.col("open_upload").isNotNull(), RESUME)
+        goes_on = upload.isNull() & F.col("open_upload").isNotNull()
+        plan = [
+            F.when(goes_on, F.col("open_chunk_size")).alias("resume_chunk_size"),
+            F.when(goes_on, F.col("open_total_chunks")).alias("resume_total_chunks"),
+            F.when(goes_on, fn.chunk_list(F.col("open_uploaded_chunks"))).alias("resume_chunks"),
+        ]
         upload, owner = F.coalesce(upload, "open_upload"), F.coalesce(owner, "open_owner")
     return matched.select(
         *[requests[c] for c in requests.columns],
         decision.otherwise(NEW).alias("decision"),
         upload.alias("matched_upload_id"),
         owner.alias("owner_id"),
+        *plan,
     )
 
 

@@ -13,8 +13,9 @@ from mediaops.operators import uploads
 def init_uploads(
     requests: DataFrame, sessions: DataFrame, resume: bool = False, checks: list[rules.Rule] | None = None
 ) -> DataFrame:
-    """The answer to every upload request: code and field if refused, else the decision, and
-    for new uploads the chunk plan. One pass over the requests.
+    """The answer to every upload request: code and field if refused, else the decision, for new
+    uploads the chunk plan, for resumed ones that of the session with the chunks it has. One pass
+    over the requests.
 
     A refused request is matched under no hash, so it costs the join nothing.
     """
@@ -24,14 +25,16 @@ def init_uploads(
     matched = uploads.match_uploads(hashed, sessions, resume)
     planned = uploads.chunk_plan(matched)
     fresh = accepted & (F.col("decision") == uploads.NEW)
+    goes_on = [c for c in ("chunk_size", "total_chunks") if resume]
     return planned.select(
         "request_id", "user_id", "code", "field",
         F.when(accepted, F.col("decision")).alias("decision"),
         "matched_upload_id",
         *[
-            F.when(fresh, F.col(c)).alias(c)
+            (F.when(fresh, F.col(c)).otherwise(F.col(f"resume_{c}")) if c in goes_on else F.when(fresh, F.col(c))).alias(c)
             for c in ("chunk_size", "total_chunks", "last_chunk_bytes", "expired_at")
         ],
+        (F.col("resume_chunks") if resume else F.lit(None).cast("array<int>")).alias("uploaded_chunks"),
     )
 
 
