@@ -6,6 +6,8 @@ from harness.registry import job, moment
 from mediaops import schemas as s
 from mediaops.functions import rules
 from mediaops.operators import commands, events, tasks
+from mediaops.session import scratch
+from mediaops.sources import tables
 
 AS_OF = "1999-06-01 12:00:00"
 FINAL = "('COMPLETED', 'CANCELLED', 'DEAD')"
@@ -217,7 +219,15 @@ def _(v):
         F.concat(F.lit("task_"), (F.col("user_id") * 101).cast("string")).alias("task_id"),
         F.col("seq").alias("version"), "status", "retry_count",
     )
-    return tasks.upsert_snapshot(base, changes, ["task_id"], moment(AS_OF))
+    path = scratch(v.spark, "snapshots")
+    tables.write_snapshot(base, path, 0)
+    # two batches, then the second one again
+    handle = tables.snapshot_batches(path, ["task_id"], moment(AS_OF), 1)
+    late = F.col("version") % 2 == 0
+    for number, part in ((0, ~late), (1, late), (1, late)):
+        newest = changes.groupBy("task_id").agg(F.max("version").alias("version"))
+        handle(changes.join(newest, ["task_id", "version"]).filter(part), number)
+    return tables.read_snapshot(v.spark, path)
 
 
 # ---- the fold of commands ----

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,3 +60,31 @@ def write_by_date(df: DataFrame, path: str, ts: str, mode: str = "overwrite") ->
     )
     days = ("year", "month", "day")
     dated.hint("rebalance", *days).write.mode(mode).partitionBy(*days).parquet(path)
+
+
+def write_snapshot(df: DataFrame, path: str, version: int) -> None:
+    """One version of a table in a folder of its own; writing a version again replaces it alone."""
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def read_snapshot(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The newest version, or the newest one below a number. Versions are found by folder names."""
+    versions = spark.read.option("basePath", path).parquet(path).select("version")
+    if below is not None:
+        versions = versions.filter(F.col("version") < below)
+    newest = versions.agg(F.max("version")).first()[0]
+    if newest is None:
+        raise ValueError(f"no version below {below} in {path}")
+    return spark.read.parquet(f"{path}/version={newest}")
+
+
+def snapshot_batches(path: str, keys: list[str], as_of: Column, first: int, version: str = "version"):
+    """For ``foreachBatch``: batch n makes version ``first + n`` from the newest one below it and the
+    batch's changes, so a batch that is run again gives the same version."""
+    from mediaops.operators.tasks import upsert_snapshot
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        base = read_snapshot(batch.sparkSession, path, first + batch_id)
+        write_snapshot(upsert_snapshot(base, batch, keys, as_of, version), path, first + batch_id)
+
+    return handle
