@@ -28,30 +28,41 @@ CROWDED = 64
 _SLICE = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
-    """The fingerprint of one text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int = SHINGLE):
+    """Arrays of the hashes of a text's word shingles, repeats included, in pieces; a text of fewer words is one
+    shingle, one without words yields nothing."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    ones, n, tail = np.zeros(64, np.int64), 0, []
+    some, tail = False, []
     for piece in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
         run = tail + piece
         tail = run[max(0, len(run) - words + 1):]
         for at in range(0, len(run) - words + 1, _SLICE):
             part = run[at:at + _SLICE + words - 1]
             shingles = map(b" ".join, zip(*(part[k:] for k in range(words))))
-            hashes = np.fromiter([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.uint32)
-            n += len(hashes)
-    if not n:
-        if not tail:
-            return 0
-        digest = xxh64_intdigest(b" ".join(tail), SEED)
-        return digest - (digest >> 63 << 64)
+            yield np.fromiter([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+            some = True
+    if tail and not some:
+        yield np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
+
+
+def bits_of(hashes) -> int:
+    """The fingerprint of the shingles whose hashes the arrays hold, as a signed 64-bit number; 0 for none."""
+    import numpy as np
+
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        n += len(part)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
+    """The fingerprint of one text as a signed 64-bit number."""
+    return bits_of(shingle_hashes(text, words))
+
+
 def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int = SHINGLE) -> DataFrame:
     """Adds the fingerprint of every whole text: a bit is 1 if it is set in over half the hashes of the word
     shingles, repeats included. A null or blank text has fingerprint 0; one shorter than a shingle is its own
@@ -65,6 +76,24 @@ def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words:
     return add_columns(df, [text], f"`{out}` long", run)
 
 
+def add_sketches(df: DataFrame, words: int) -> DataFrame:
+    """Adds ``fp`` and the min-hash sketch ``marks, bands`` (null for a text without words) of the column ``text``."""
+    from mediaops.llm.resemblance import sketch_of
+
+    def run(texts):
+        import pyarrow as pa
+
+        prints, sketches = [], []
+        for text in texts:
+            hashes = list(shingle_hashes(text.as_py(), words))
+            prints.append(bits_of(hashes))
+            sketches.append(sketch_of(hashes) or (None, None))
+        longs = pa.list_(pa.int64())
+        return [pa.array(prints, pa.int64()), pa.array([m for m, _ in sketches], longs), pa.array([b for _, b in sketches], longs)]
+
+    return add_columns(df, ["text"], "fp long, marks array<long>, bands array<long>", run)
+
+
 def links(nodes: DataFrame, crowded_at: int = CROWDED) -> DataFrame:
     """Edges ``a, b`` that connect the different fingerprints ``fp`` at most two bits apart.
 
@@ -89,17 +118,24 @@ def links(nodes: DataFrame, crowded_at: int = CROWDED) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _labelled(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key, h, fp, root, component_id`` of every row; ``h`` tells texts of one key apart."""
-    named = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = materialise(add_fingerprints(named.withColumn("h", F.xxhash64("text")), "text", "fp", words)
-                       .select("key", "h", "fp"), "prints")
+def _labelled(df: DataFrame, key: str, text: str, words: int, alike: float | None = None) -> DataFrame:
+    """``key, h, fp, root, component_id`` of every row; ``h`` tells texts of one key apart. With ``alike``, texts whose
+    shingle sets are at least so similar are linked too."""
+    named = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    added = add_fingerprints(named, "text", "fp", words) if alike is None else add_sketches(named, words)
+    rows = materialise(added.drop("text"), "prints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("key").alias("first")), "nodes")
-    roots = connected_components(links(nodes))
+    edges = links(nodes)
+    if alike is not None:
+        from mediaops.llm.resemblance import resemblance_links
+
+        edges = materialise(edges, "links")
+        edges = edges.unionByName(resemblance_links(rows, named.select("h", "text"), edges, words, alike))
+    roots = connected_components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = materialise(rooted.join(names, "root").select("fp", "root", "component_id"), "labels")
-    return rows.join(labels, "fp")
+    return rows.select("key", "h", "fp").join(labels, "fp")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
@@ -111,10 +147,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return _labelled(df, key, text, words).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, alike: float | None = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies, columns as in ``df``: of each component the row with the smallest
-    key stays; rows without a key stay only where no member has one. Shingles of five words by default."""
-    found = _labelled(df, key, text, words)
+    key stays; rows without a key stay only where no member has one. Shingles of five words by default. Texts are
+    linked by fingerprints at most two bits apart, or by shingle sets at least ``alike`` (see ``resemblance``)."""
+    found = _labelled(df, key, text, words, alike)
     order = F.struct(F.col("key").isNull().alias("no"), "key", "h")
     chosen = found.groupBy("root").agg(F.min(order).alias("c")).select(
         F.col("c.key").alias("__chosen_key"), F.col("c.h").alias("__chosen_h"))

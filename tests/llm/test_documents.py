@@ -96,6 +96,41 @@ def test_keep_one_keeps_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6]
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_keep_one_connects_all_texts_that_are_alike(spark, monkeypatch, block):
+    from mediaops.llm import resemblance
+
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    monkeypatch.setattr(resemblance, "PART", block)
+    rng, rows, key = random.Random(3), [], 0
+    for family in range(12):
+        base = [f"{family}w{rng.randrange(500)}" for _ in range(rng.choice([8, 60, 300]))]
+        for _ in range(12):
+            words, key = list(base), key + 1
+            for at in rng.sample(range(len(words)), len(words) // rng.choice([30, 45, 60, 100]) or rng.randint(0, 1)):
+                words[at] = f"x{rng.random()}"
+            base = words if rng.random() < 0.3 else base
+            rows += [(key, " ".join(words))] * rng.randint(1, 2)
+    rows += [(key + 1, "short text"), (key + 2, "Short  text"), (key + 3, "another one"), (key + 4, None), (key + 5, " ")]
+    sets = {k: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(sets, near)
+    assert 12 < len(set(want.values())) < len(want)
+    got = simhash.keep_one(frame(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_sketches_estimate_similarity():
+    from mediaops.llm import resemblance
+
+    words = [f"w{i}" for i in range(2000)]
+    one, other = " ".join(words[:1800]), " ".join(words[200:])
+    a, b = (resemblance.sketch_of(simhash.shingle_hashes(t, 5)) for t in (one, other))
+    assert abs(resemblance.similarity(one, other, 5) - 0.8) < 0.01 and resemblance.similarity("", "", 5) == 0
+    assert set(a[1]) & set(b[1]) and 5 < sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a[0], b[0])) < 35
+    assert resemblance.sketch_of(simhash.shingle_hashes(" ", 5)) is None
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 180)]
     hub = [(1, i) for i in range(200, 260)] + [(300, 300), (5, 6), (6, 5)]
