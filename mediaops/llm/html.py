@@ -26,10 +26,16 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 DROPPED = frozenset("""script style noscript template nav aside footer form button select input textarea iframe object embed svg canvas
     dialog menu head title noembed noframes audio video map fieldset""".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id that name what is not content wherever it stands.
+#: Words of class and id that name what is not content, unless it wraps the page's text.
 ALWAYS_OUT = frozenset("""ad ads adv advert adverts advertisement advertisements adsense adbox adslot sponsor sponsors sponsored promo promos
     promotion comment comments commentlist disqus reply replies respond nav navbar navigation menu menus breadcrumb breadcrumbs pagination
     pager cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay paywall hidden skip""".split())
+#: Of these, words of what readers write. It can be most of a page and yet not its text.
+DISCUSSION = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A class with one of these words tells a state or a look (has-menu, nav-open, ad-free), not what an element is.
+STATES = frozenset("has no not non with without free open opened overflow".split())
+#: Words that name an element only alone or beside the given ones: not overflow-hidden, md:hidden or skip-ink.
+ALONE = {"hidden": frozenset("is js u visually".split()), "skip": frozenset("to link links nav navigation content main".split())}
 #: Those that count unless the element holds most of the page's text.
 OFTEN_OUT = frozenset("""header masthead footer sidebar sidebars aside widget widgets banner notice notices notification alert share sharing
     social related recommended recommendations toolbar copyright legal disclaimer outbrain taboola form login search topbar bottombar""".split())
@@ -147,6 +153,16 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
 
 
+def _named(value: str) -> set[str]:
+    """The words of class and id that say what an element is."""
+    named = set()
+    for name in value.split():
+        words = _words(name)
+        if not words & STATES:
+            named |= {w for w in words if w not in ALONE or words - {w} <= ALONE[w]}
+    return named
+
+
 def _walk(root: Node):
     """Nodes before their children, without recursion."""
     stack = [root]
@@ -159,6 +175,13 @@ def _walk(root: Node):
 def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> None:
     """Sets ``out`` on what cannot be content."""
     whole, inside = max(1, size[root]), set()
+    titled = set()  # what holds a main heading or <main>
+    for node in order:
+        if node.tag in ("h1", "main"):
+            up = node
+            while up and up not in titled:
+                titled.add(up)
+                up = up.parent
     for node in order:
         if node.parent in inside or node.tag in ("article", "main"):
             inside.add(node)
@@ -172,12 +195,14 @@ def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> None:
         if not node.attrs or node.tag in ("html", "body", "main"):
             continue
         attrs = _attributes(node.attrs)
-        role, words = attrs.get("role", "").lower(), _words(attrs.get("class", "") + " " + attrs.get("id", ""))
+        role, words = attrs.get("role", "").lower(), _named(attrs.get("class", "") + " " + attrs.get("id", ""))
         style = attrs.get("style", "").replace(" ", "").lower()
         large = 2 * size[node] > whole
+        # what holds most of the text is the page itself, whatever it is called; a discussion only with the title or nearly all
+        wraps = large and (not words & DISCUSSION or node in titled or 10 * size[node] > 9 * whole)
         node.out = ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style
                     or "visibility:hidden" in style or role in DROPPED_ROLES
-                    or (node.tag != "article" or not large) and bool(words & ALWAYS_OUT) and node.tag not in ("a", "span", "b", "i", "em", "strong")
+                    or not wraps and bool(words & ALWAYS_OUT) and node.tag not in ("a", "span", "b", "i", "em", "strong")
                     or bool(words & OFTEN_OUT) and not large and not (node in inside and words & {"header"}))
 
 

@@ -28,6 +28,30 @@ def test_main_blocks(page, blocks):
     assert html.main_blocks(page) == blocks
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} has words, and commas, and a plain end.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+@pytest.mark.parametrize("name", ["overflow-hidden", "nav-open", "content ad-free", "has-menu", "hidden md:block", "modal", "content ad", "paywall", "skip",
+                                  "page subscribe", "comments", "no-comments", "overlay"])
+def test_wrappers_of_the_text_stay(tag, name):
+    page = f"<body><div class=nav><a href=/>Home</a></div><{tag} id=app class='{name}'>{ARTICLE}</{tag}><div class='promo'><p>Buy, now</p></div></body>"
+    assert html.main_blocks(page) == [f"Paragraph {i} has words, and commas, and a plain end." for i in range(8)]
+
+
+def test_small_parts_go_by_name_and_not_by_look():
+    inner = "<div class='overflow-hidden'><p>kept, a</p></div><div class='md:hidden'><p>kept, b</p></div>"
+    gone = "".join(f"<div class='{n}'><p>gone, gone</p></div>" for n in ("hidden", "is-hidden", "skip-link", "ad", "navMenu", "post-comments"))
+    blocks = html.main_blocks(f"<body><article>{ARTICLE}{inner}{gone}</article></body>")
+    assert blocks[8:] == ["kept, a", "kept, b"]
+
+
+def test_a_long_discussion_is_not_the_text():
+    talk = "<div id=comments>" + "<div><p>I think so, too, and more, much more, of it, really.</p></div>" * 30 + "</div>"
+    blocks = html.main_blocks(f"<body><div class=post><h1>T</h1>{ARTICLE}</div>{talk}</body>")
+    assert len(blocks) == 9 and blocks[0] == "T"
+
+
 def test_siblings_of_the_best_container_stay():
     part = "<div><p>" + "word, " * 30 + "</p><p>" + "more, " * 30 + "</p></div>"
     blocks = html.main_blocks("<body>" + part * 2 + "<div><a href=/>x</a></div></body>")
