@@ -50,7 +50,7 @@ _BEGINS = {begin: [k for k, (begins, _) in ENDS.items() if begin in begins] for
 LEVELS = 5
 #: A sibling of the best container stays with this part of its score.
 SIBLING_SHARE = 0.2
-#: A list with more than this part of its text in links, and several links, is a menu.
+#: Outside an article, a list with more than this part of its text in links, and several links, is a menu.
 LINK_LIST = 0.5
 
 _TAG = r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*)(?:>|\Z))"""
@@ -172,8 +172,8 @@ def _walk(root: Node):
         stack.extend(p for p in reversed(node.parts) if type(p) is Node)
 
 
-def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> None:
-    """Sets ``out`` on what cannot be content."""
+def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> set[Node]:
+    """Sets ``out`` on what cannot be content. Returns what the page itself calls its articles, with all in them."""
     whole, inside = max(1, size[root]), set()
     titled = set()  # what holds a main heading or <main>
     for node in order:
@@ -204,6 +204,7 @@ def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> None:
                     or "visibility:hidden" in style or role in DROPPED_ROLES
                     or not wraps and bool(words & ALWAYS_OUT) and node.tag not in ("a", "span", "b", "i", "em", "strong")
                     or bool(words & OFTEN_OUT) and not large and not (node in inside and words & {"header"}))
+    return inside
 
 
 def main_blocks(source: str) -> list[str]:
@@ -217,7 +218,7 @@ def main_blocks(source: str) -> list[str]:
             continue
         size[node] = sum(size[p] if type(p) is Node else len(p.strip()) for p in node.parts)
         links[node] = size[node] if node.tag == "a" else sum(links[p] for p in node.parts if type(p) is Node)
-    _mark(root, order, size)
+    inside = _mark(root, order, size)
     out = {node for node in order if node.out}
     for node in order:
         if node.parent in out:
@@ -255,14 +256,17 @@ def main_blocks(source: str) -> list[str]:
             break
         up = up.parent
     kept = {top}
-    if top.parent and top.tag not in ("article", "main", "body"):
-        least = max(score.get(top, 0) * SIBLING_SHARE, 1)
+    if top.parent and top.tag not in ("main", "body"):
+        least, plain = max(score.get(top, 0) * SIBLING_SHARE, 1), SIBLING_SHARE * (size[top] - links[top])
         for node in (p for p in top.parent.parts if type(p) is Node and p not in out):
-            if score.get(node, 0) >= least or node.tag in ("p", "h1", "h2", "h3") and density(node) < 0.25 and size[node]:
+            if top.tag == "article":  # beside an article stand only others; what is deep in them scores elsewhere
+                if node.tag == "article" and (score.get(node, 0) >= least or size[node] - links[node] >= max(plain, 1)):
+                    kept.add(node)
+            elif score.get(node, 0) >= least or node.tag in ("p", "h1", "h2", "h3") and density(node) < 0.25 and size[node]:
                 kept.add(node)
     blocks: list[list[str]] = [[]]
     for node in (p for p in (top.parent.parts if len(kept) > 1 else [top]) if type(p) is Node and p in kept):
-        _collect(node, out, links, size, blocks)
+        _collect(node, out, inside, links, size, blocks)
         blocks.append([])
     texts = (" ".join("".join(parts).split()) for parts in blocks)
     return [text for text in texts if text]
@@ -279,8 +283,9 @@ def _text(node: Node, out: set) -> str:
     return " ".join("".join(parts).split())
 
 
-def _collect(top: Node, out: set, links: dict, size: dict, blocks: list[list[str]]) -> None:
-    """Appends the text of a subtree; every block element begins and ends a block."""
+def _collect(top: Node, out: set, inside: set, links: dict, size: dict, blocks: list[list[str]]) -> None:
+    """Appends the text of a subtree; every block element begins and ends a block. Lists of links are menus, but not
+    ``inside`` of an article."""
     stack: list = [(top, False)]
     while stack:
         x, done = stack.pop()
@@ -290,7 +295,7 @@ def _collect(top: Node, out: set, links: dict, size: dict, blocks: list[list[str
             blocks[-1].append(x)
         elif x.tag == "br":
             blocks[-1].append(" ")
-        elif x not in out and not (x is not top and x.tag in ("ul", "ol", "table", "dl") and size[x] and links[x] > LINK_LIST * size[x]
+        elif x not in out and not (x is not top and x not in inside and x.tag in ("ul", "ol", "table", "dl") and size[x] and links[x] > LINK_LIST * size[x]
                                    and sum(n.tag == "a" for n in _walk(x)) >= 3):
             if x.tag in BLOCKS:
                 blocks.append([])

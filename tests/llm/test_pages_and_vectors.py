@@ -58,6 +58,22 @@ def test_siblings_of_the_best_container_stay():
     assert [b.split(",")[0] for b in blocks[:4]] == ["word", "more"] * 2
 
 
+def test_sibling_articles_stay():
+    part = "<article><div><p>{0}, one, a plain end of it, and so on.</p><p>{0}, two, and more words, and so on.</p></div></article>"
+    blocks = html.main_blocks("<body><div>" + part.format("first") + part.format("second") + "<div><p>beside, all, of, them, of course</p></div>"
+                              "<article><a href=/>teaser</a></article></div></body>")
+    assert [b.split(",")[0] for b in blocks] == ["first", "first", "second", "second"]
+
+
+def test_lists_of_links_are_text_inside_an_article_only():
+    links = "<ul>" + "".join(f"<li><a href={i}>Reference {i}</a>" for i in range(4)) + "</ul>"
+    table = links.replace("ul>", "table>").replace("<li>", "<tr><td>")
+    page = f"<body><{{0}}>{ARTICLE}{links}{table}<div class=nav>{links}</div></{{0}}></body>"
+    assert html.main_blocks(page.format("article"))[8:] == [f"Reference {i}" for i in range(4)] * 2
+    assert html.main_blocks(page.format("main"))[8:] == [f"Reference {i}" for i in range(4)] * 2
+    assert html.main_blocks(page.format("div"))[8:] == []
+
+
 def test_pages_pass_through(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old"), (2, "<p>x", "old"), (3, "<p>" + "y " * 200_000, None)], "page_id long, html string, text string")
     got = sorted((r.page_id, len(r.text)) for r in html.extract(df).collect())
