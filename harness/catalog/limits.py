@@ -125,7 +125,7 @@ def _(v):
     return quotas.quota_replay(v("fx_ai_calls"), v("fx_quotas")).select("id", "user_id", "accepted")
 
 
-# The same calls with every month above the average size sent through the parallel passes.
+# The same calls; every size of group goes the same way now.
 @job("quota_replay_large_groups", "fx_ai_calls fx_quotas", QUOTA_REPLAY)
 def _(v):
     calls = v("fx_ai_calls")

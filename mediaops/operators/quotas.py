@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
-from mediaops.operators.ordered import HOUR, SLICE, running_total, with_slice
+from mediaops.operators.ordered import HOUR, PART, SLICE, running_total, with_slice
 from mediaops.session import materialise
 
-# A (user, month) with more calls than this is replayed in parallel passes instead of one list.
-FOLD_ROWS = 10_000
-
-_PLACE = "struct<created_at:timestamp_ntz,id:bigint>"
-_SPAN = f"struct<unit:bigint,after:{_PLACE},until:{_PLACE}>"
-
-
 def remaining(quota: str, used: str) -> Column:
     """What is left, never below 0; the whole quota if nothing was ever recorded."""
     left = F.greatest(F.lit(0), F.col(quota) - F.col(used))
@@ -90,13 +84,15 @@ def quota_running_usage(
 
 
 def quota_replay(
-    calls: DataFrame, quotas: DataFrame | None = None, fold_rows: int = FOLD_ROWS
+    calls: DataFrame, quotas: DataFrame | None = None, fold_rows: int | None = None
 ) -> DataFrame:
     """Each call with ``accepted``: both remaining quotas cover its tokens at that moment.
 
-    A refused call uses nothing, so no running sum can tell. Months of users with few calls are
-    folded one list per (user, month). Larger ones go through ``_replay_large``, which needs no
-    list at all. ``quotas(user_id, quota_daily, quota_monthly)`` gives limits, else the defaults.
+    A refused call uses nothing, so no running sum can tell; and tokens may be negative. Months of
+    users, calls without a user among them, are cut into hours. Of each hour only its tokens in order
+    go to the chain over the month, which finds what is used when the hour begins; from there each
+    hour is replayed on its own. ``quotas(user_id, quota_daily, quota_monthly)`` gives limits, else
+    the defaults. All sizes of groups go this one way: ``fold_rows`` has no effect.
     """
     rows = _with_periods(calls)
     if quotas is not None:
@@ -108,160 +104,97 @@ def quota_replay(
     ).withColumn(
         "quota_monthly", F.coalesce("quota_monthly", F.lit(s.DEFAULT_QUOTA_MONTHLY)).cast("long")
     )
-    large = materialise(
-        rows.groupBy("user_id", "month").agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > fold_rows).select("user_id", "month"),
-        "large",
+    # Compared as one struct, in which nulls are equal.
+    rows = (
+        with_slice(rows, "created_at", HOUR)
+        .withColumn(PART, F.struct("user_id", "month", "day", SLICE))
+        .withColumn("_tokens", F.col("total_tokens").cast("long"))
     )
-    out = [*calls.columns, "accepted"]
-    if large.isEmpty():
-        return _replay_small(rows, calls.columns).select(*out)
-    small = rows.join(large, ["user_id", "month"], "left_anti")
-    hot = rows.join(large, ["user_id", "month"], "left_semi")
-    return _replay_small(small, calls.columns).select(*out).unionByName(
-        _replay_large(hot).select(*out)
-    )
-
-
-def _replay_small(rows: DataFrame, columns: list[str]) -> DataFrame:
-    item = F.struct("created_at", "id", "day", "total_tokens", F.struct(*columns).alias("row"))
-    groups = rows.groupBy("user_id", "month").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
+    parts = rows.groupBy(PART).agg(
+        F.array_sort(F.collect_list(F.struct("created_at", "id", "_tokens"))).alias("_items"),
         F.first("quota_daily").alias("quota_daily"),
         F.first("quota_monthly").alias("quota_monthly"),
+    ).withColumn("_items", F.col("_items._tokens"))
+    entries = materialise(
+        _chain_parts(parts).withColumn("_number", F.monotonically_increasing_id()), "entries"
     )
-    kind = dict(groups.dtypes)["items"]
-    row_kind = kind[kind.index("row:") + 4 : -2]
-    zero = F.struct(
-        F.lit(None).cast("date").alias("day"),
-        F.lit(0).cast("long").alias("in_day"),
-        F.lit(0).cast("long").alias("in_month"),
-        F.array().cast(f"array<struct<row:{row_kind},accepted:boolean>>").alias("seen"),
+    marked = rows.join(entries, PART).select(
+        *calls.columns, "_number", "_tokens", "quota_daily", "quota_monthly", "_in_day", "_in_month",
+        F.col("day").isNotNull().alias("_dated"),
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        in_day = F.when(acc["day"] == x["day"], acc["in_day"]).otherwise(0)
-        need = x["total_tokens"]
-        fits = (
-            (F.greatest(F.lit(0), F.col("quota_daily") - in_day) >= need)
-            & (F.greatest(F.lit(0), F.col("quota_monthly") - acc["in_month"]) >= need)
-        )
-        used = F.when(fits, need).otherwise(0)
-        return F.struct(
-            x["day"].alias("day"),
-            (in_day + used).alias("in_day"),
-            (acc["in_month"] + used).alias("in_month"),
-            F.array_append(
-                acc["seen"],
-                F.struct(x["row"].alias("row"), F.coalesce(fits, F.lit(False)).alias("accepted")),
-            ).alias("seen"),
-        )
-
-    return groups.select(
-        F.explode(F.aggregate("items", zero, step, lambda acc: acc["seen"])).alias("x")
-    ).select("x.row.*", "x.accepted")
-
-
-def _replay_large(rows: DataFrame) -> DataFrame:
-    """Replays very large (user, month) groups with parallel passes only.
-
-    While a month has at least a daily quota left, a day's outcome does not depend on other
-    days: every (user, day) is admitted on its own against the daily quota. From the first day
-    that starts with less, the month binds and the day no longer can (it only shrinks from
-    there), so the rest of the month is one sequence admitted against what is left.
-    """
-    month, day = ["user_id", "month"], ["user_id", "month", "day"]
-    daily = admit(rows, day, F.least("quota_daily", "quota_monthly"))
-    used = (
-        daily.groupBy(*day)
-        .agg(
-            F.sum(F.when(F.col("accepted"), F.col("total_tokens")).otherwise(0)).alias("used"),
-            F.first("quota_daily").alias("quota_daily"),
-            F.first("quota_monthly").alias("quota_monthly"),
-        )
-        .withColumn(
-            "left_before",
-            F.col("quota_monthly") - F.coalesce(
-                F.sum("used").over(
-                    Window.partitionBy(*month).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-    )
-    binding = materialise(
-        used.filter(F.col("left_before") < F.col("quota_daily"))
-        .groupBy(*month)
-        .agg(F.min("day").alias("from_day"), F.min_by("left_before", "day").alias("capacity")),
-        "binding",
-    )
-    marked = daily.join(binding, month, "left")
-    free = marked.filter(F.col("from_day").isNull() | (F.col("day") < F.col("from_day")))
-    tail = marked.filter(F.col("day") >= F.col("from_day")).drop("accepted")
-    return free.drop("from_day", "capacity").unionByName(
-        admit(tail.drop("from_day"), month, F.col("capacity")).drop("capacity")
-    )
-
-
-def admit(rows: DataFrame, keys: list[str], capacity: Column) -> DataFrame:
-    """Adds ``accepted``: the key's rows in order, each taken if its tokens fit in what is left.
-
-    With 2^k <= left < 2^(k+1), rows of 2^(k+1) or more never fit, rows under 2^k always fit,
-    and a row between fits at most once, for it takes left below 2^k. So one pass with a
-    running total of the small rows finds where left falls below 2^k, and the passes end after
-    log2(capacity) of them, however many rows there are. Each pass yields one small row per key.
-    """
-    place, tokens = F.struct("created_at", "id"), F.col("total_tokens")
-    items = materialise(
-        with_slice(rows.withColumn("_capacity", capacity), "created_at", HOUR), "admit"
-    ).withColumn("_place", place)
-    state = materialise(
-        items.groupBy(*keys).agg(
-            F.max("_capacity").cast("long").alias("left"),
-            F.max(F.when(F.lit(False), place)).alias("after"),
-            F.lit(False).alias("done"),
-            F.array().cast(f"array<{_SPAN}>").alias("spans"),
-        ),
-        "admit-state",
-    )
-    top = state.agg(F.max("left")).first()[0] or 0
-    for k in range(int(top).bit_length() - 1, -1, -1):
-        unit = 1 << k
-        live = ~F.col("done") & (F.col("left") >= unit)
-        ahead = items.join(state.filter(live).drop("done", "spans"), keys).filter(
-            (F.col("after").isNull() | (F.col("_place") > F.col("after"))) & (tokens < 2 * unit)
-        )
-        small = tokens < unit
-        totals = running_total(
-            ahead, keys, ["created_at", "id"], F.when(small, tokens).otherwise(0), "_small"
-        )
-        rest = F.col("left") - F.col("_small")
-        left_after = F.when(small, rest).otherwise(rest - tokens)
-        ends = (
-            totals.filter(F.when(small, rest < unit).otherwise(tokens <= rest))
-            .groupBy(*keys)
-            .agg(F.min_by(F.struct("_place", left_after.alias("left")), "_place").alias("_end"))
-        )
-        until = F.col("_end._place")
-        span = F.struct(F.lit(unit).cast("long").alias("unit"), "after", until.alias("until"))
-        state = materialise(
-            state.join(ends, keys, "left").select(
-                *keys,
-                F.coalesce("_end.left", "left").alias("left"),
-                F.coalesce(until, "after").alias("after"),
-                (F.col("done") | (live & until.isNull())).alias("done"),
-                F.when(live, F.array_append("spans", span)).otherwise(F.col("spans")).alias("spans"),
-            ),
-            "admit-state",
-        )
-    inside = F.exists(
-        "spans",
-        lambda x: (x["after"].isNull() | (F.col("_place") > x["after"]))
-        & (x["until"].isNull() | (F.col("_place") <= x["until"]))
-        & ((tokens < x["unit"]) | x["until"].eqNullSafe(F.col("_place"))),
-    )
-    return (
-        items.join(state.select(*keys, "spans"), keys)
-        .withColumn("accepted", F.coalesce((tokens <= 0) | inside, F.lit(False)))
-        .drop("spans", "_capacity", "_place", SLICE)
+    return _replay_parts(marked, calls.columns)
+
+
+def _replay(tokens, in_day: int, in_month: int, daily: int, monthly: int, dated: bool):
+    """Yields for each call in order whether it is accepted, and what is used after it. Without a day
+    every call begins one."""
+    for need in tokens:
+        if not dated:
+            in_day = 0
+        ok = need is not None and need <= max(0, daily - in_day) and need <= max(0, monthly - in_month)
+        if ok:
+            in_day, in_month = in_day + need, in_month + need
+        yield ok, in_day, in_month
+
+
+def _chain_parts(parts: DataFrame) -> DataFrame:
+    """``_in_day`` and ``_in_month`` that are used when each part begins, part after part of a month."""
+    replay = _replay  # travels along by value
+
+    def run(batches):
+        import pyarrow as pa
+
+        key = today = None
+        in_day = in_month = 0
+        for batch in batches:
+            days, months = [], []
+            for user, month, day, items, daily, monthly in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if key != (user, month):
+                    key, today, in_day, in_month = (user, month), None, 0, 0
+                if day is None or day != today:
+                    today, in_day = day, 0
+                days.append(in_day)
+                months.append(in_month)
+                need = [n for n in items if n is not None]
+                left = min(daily - in_day, monthly - in_month)
+                if day is not None and sum(n for n in need if n > 0) <= left:  # all fit
+                    in_day, in_month = in_day + sum(need), in_month + sum(need)
+                elif day is None or min(need, default=1) <= max(0, left):  # else none fits
+                    for _, in_day, in_month in replay(need, in_day, in_month, daily, monthly, day is not None):
+                        pass
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(6), pa.array(days, pa.int64()), pa.array(months, pa.int64())],
+                names=[PART, "_in_day", "_in_month"])
+
+    place = F.struct(f"{PART}.user_id", f"{PART}.month")
+    sent = (
+        parts.repartition(place).sortWithinPartitions(PART)
+        .select(f"{PART}.user_id", f"{PART}.month", f"{PART}.day", "_items", "quota_daily", "quota_monthly", PART)
     )
+    out = T.StructType([sent.schema[PART], T.StructField("_in_day", T.LongType()), T.StructField("_in_month", T.LongType())])
+    return sent.mapInArrow(run, out)
+
+
+def _replay_parts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``accepted``, each part replayed from what is used when it begins."""
+    replay, n = _replay, len(columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, in_day, in_month = None, 0, 0
+        for batch in batches:
+            accepted = []
+            for number, need, daily, monthly, day0, month0, dated in zip(
+                    *(batch.column(i).to_pylist() for i in range(n, n + 7))):
+                if number != at:
+                    at, in_day, in_month = number, day0, month0
+                ok, in_day, in_month = next(replay((need,), in_day, in_month, daily, monthly, dated))
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(n)] + [pa.array(accepted, pa.bool_())],
+                names=[*columns, "accepted"])
+
+    sent = rows.repartition("_number").sortWithinPartitions("_number", "created_at", "id", "_tokens")
+    out = T.StructType([*(sent.schema[c] for c in columns), T.StructField("accepted", T.BooleanType())])
+    return sent.mapInArrow(run, out)

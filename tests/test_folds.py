@@ -196,6 +196,25 @@ def test_quota_replay_both_ways(spark, daily, monthly, most):
         assert got == want
 
 
+def test_quota_replay_of_corrections_and_calls_without_a_user(spark):
+    """Negative tokens give quota back, whatever the size of the group; calls without a user are one user."""
+    kind = "id long, user_id long, total_tokens long, created_at timestamp_ntz"
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, None, 1, 2]), rng.choice([-40, -9, -3, 0, *range(1, 30)]), _at(rng.randrange(4 * 1440)))
+            for i in range(400)]
+    for daily, monthly in ((50, 90), (7, 1000), (60, 40)):
+        limits_ = spark.createDataFrame([(u, daily, monthly) for u in (1, 2)], "user_id long, quota_daily long, quota_monthly long")
+        want = _quota([r for r in rows if r[1]], daily, monthly) | _quota([r for r in rows if not r[1]], 500, 10_000)
+        for fold_rows in (10_000, 20):
+            got = quotas.quota_replay(spark.createDataFrame(rows, kind), limits_, fold_rows=fold_rows).collect()
+            assert {r.id: r.accepted for r in got} == want and len(got) == len(rows)
+    few = spark.createDataFrame([(1, 1, 400, _at(0)), (2, 1, -300, _at(1)), (3, 1, 350, _at(2))], kind)
+    for fold_rows in (10_000, 1):
+        assert all(r.accepted for r in quotas.quota_replay(few, fold_rows=fold_rows).collect())
+    odd = [(1, None, 300, None), (2, None, 300, None), (3, 1, 500, None), (4, 1, 1, _at(0)), (5, 1, 600, _at(0))]
+    assert {r.id: r.accepted for r in quotas.quota_replay(spark.createDataFrame(odd, kind)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
+
+
 def test_quota_edges(spark):
     calls = spark.createDataFrame(
         [(1, 9, 500, _at(0)), (2, 9, 1, _at(1)), (3, 9, 0, _at(2)), (4, 9, None, _at(3))],
