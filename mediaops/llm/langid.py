@@ -3,8 +3,8 @@
 A text is the set of its letter n-grams of lengths 1 to 3 over the folded text. The presence kernel of two texts
 is the number of n-grams they share over the geometric mean of their set sizes. Nyström: the kernel is taken
 against landmark texts only; one-versus-rest ridge regression on those columns, regularised by the landmarks' own
-kernel, gives a score per language. Texts are scored in batches: presence rows times landmark columns, then times
-the ridge weights.
+kernel, gives a score per language. N-grams are numbered exactly, over all characters; of each that a landmark has, the
+landmarks that have it are listed, so a text costs what it shares with them.
 """
 
 from __future__ import annotations
@@ -20,40 +20,37 @@ from mediaops.llm.common import add_columns
 #: Texts per language that the classifier is fitted on, and landmarks among them.
 FIT_TEXTS = 300
 LANDMARKS = 24
-#: Languages that can be told apart.
-MAX_LANGUAGES = 200
 RIDGE = 1e-2
 UNKNOWN = "und"
 
-_CODES = 64  # codes of letters: 0 stands for a gap
+_CODES = 0x110000  # letters are their code points, 0 stands for a gap
 _BATCH = 128
+_AT_ONCE = 50  # languages whose first keys one job finds
 
 
 class Alphabet:
-    """Folds characters to codes: the most frequent letters of a sample have codes of their own, the others
-    share the last ones by code point, all else is a gap."""
+    """Folds characters to codes: a letter, or a mark that is part of a word, is the code point of its lower case; all
+    else is a gap."""
 
-    def __init__(self, texts: list[str], own: int = 56):
-        from collections import Counter
-
-        seen = Counter()
-        for text in texts:
-            seen.update(c for c in text.lower() if c.isalpha())
-        ranked = sorted(seen, key=lambda c: (-seen[c], c))[:own]
-        self.code_of = {c: i + 1 for i, c in enumerate(ranked)}
+    def __init__(self):
         self._table = None
 
+    def __reduce__(self):
+        return Alphabet, ()  # the table is made again where it is used
+
     def table(self):
+        from unicodedata import category
+
         import numpy as np
 
         if self._table is None:
-            free = len(self.code_of) + 1
-            table = np.zeros(0x110000, np.uint8)
-            for point in range(0x110000):
+            table = np.zeros(_CODES, np.int32)
+            for point in range(_CODES):
                 c = chr(point)
                 if c.isalpha():
-                    low = c.lower()[0]
-                    table[point] = self.code_of.get(low) or free + ord(low) % (_CODES - free)
+                    table[point] = ord(c.lower()[0])
+                elif category(c)[0] == "M" and not (0x20D0 <= point < 0x2100 or 0xFE00 <= point < 0xFE10 or point >= 0xE0100):
+                    table[point] = point  # but for what dresses up signs
             self._table = table
         return self._table
 
@@ -62,14 +59,14 @@ class Alphabet:
         import numpy as np
 
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.zeros(len(points) + 2, np.int32)
+        codes = np.zeros(len(points) + 2, np.int64)
         codes[1:-1] = self.table()[points]
         gap = codes == 0
         return codes[np.concatenate([[True], ~(gap[1:] & gap[:-1])])]
 
 
 def grams(codes):
-    """Numbers of all n-grams of lengths 1 to 3; lengths do not mix."""
+    """Numbers of all n-grams of lengths 1 to 3, each its own; lengths do not mix."""
     import numpy as np
 
     two = codes[:-1] * _CODES + codes[1:]
@@ -77,33 +74,36 @@ def grams(codes):
     return np.concatenate([codes[codes > 0], two + _CODES, three + _CODES * (_CODES + 1)])
 
 
-_SPACE = _CODES + _CODES ** 2 + _CODES ** 3
-
-
 @dataclass
 class LanguageModel:
-    """``vocabulary``: n-grams of any landmark; ``landmarks``: their presence, scaled by the landmarks' norms;
-    ``ridge``: a column per language."""
+    """``vocabulary``: n-grams of any landmark, sorted; ``starts`` and ``members``: for each the landmarks that have it;
+    ``norms``: set sizes of the landmarks; ``ridge``: a column per language."""
 
     languages: list
     alphabet: Alphabet
     vocabulary: object
-    landmarks: object
+    starts: object
+    members: object
+    norms: object
     ridge: object
 
     def kernel(self, texts: list[str]):
         """A row per text: its kernel with every landmark; and whether it has a letter."""
         import numpy as np
 
-        seen = np.zeros(_SPACE, bool)
-        present, norms = np.zeros((len(texts), len(self.vocabulary)), np.float32), np.zeros(len(texts))
+        shared, norms = np.zeros((len(texts), len(self.norms))), np.zeros(len(texts))
         for i, text in enumerate(texts):
             found = grams(self.alphabet.codes(text))
-            seen[found] = True
-            norms[i] = np.count_nonzero(seen) if _has_letter(found) else 0
-            present[i] = seen[self.vocabulary]
-            seen[found] = False
-        return (present @ self.landmarks) / np.sqrt(np.maximum(norms, 1))[:, None], norms > 0
+            if not _has_letter(found):
+                continue
+            found = np.unique(found)
+            norms[i] = len(found)
+            at = np.searchsorted(self.vocabulary, found)
+            at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == found]
+            counts = self.starts[at + 1] - self.starts[at]
+            places = np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared[i] = np.bincount(self.members[places], minlength=len(self.norms))
+        return shared / np.sqrt(np.maximum(norms, 1))[:, None] / np.sqrt(self.norms), norms > 0
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         import numpy as np
@@ -111,7 +111,7 @@ class LanguageModel:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         kernel, lettered = self.kernel(texts)
-        scores = kernel.astype(np.float64) @ self.ridge
+        scores = kernel @ self.ridge
         best = scores.argmax(axis=1)
         # one-versus-rest targets are 0 and 1
         value = np.clip(scores[np.arange(len(texts)), best], 0, 1)
@@ -129,22 +129,26 @@ def fit_language_model(texts: list[str], languages: list[str], landmarks: int =
     import numpy as np
 
     rows = [(t, l) for t, l in zip(texts, languages) if t and any(c.isalpha() for c in t)]
-    names, alphabet = sorted({l for _, l in rows}), Alphabet([t for t, _ in rows])
+    names, alphabet = sorted({l for _, l in rows}), Alphabet()
     if not rows:
-        return LanguageModel([], alphabet, None, None, None)
+        return LanguageModel([], alphabet, None, None, None, None, None)
     chosen = [t for name in names for t in [t for t, l in rows if l == name][:landmarks]]
     sets = [np.unique(grams(alphabet.codes(t))) for t in chosen]
-    vocabulary = np.unique(np.concatenate(sets))
-    columns = np.zeros((len(vocabulary), len(chosen)), np.float32)
-    for j, found in enumerate(sets):
-        columns[np.searchsorted(vocabulary, found), j] = 1 / np.sqrt(len(found))
-    model = LanguageModel(names, alphabet, vocabulary, columns, None)
-    kernel = np.concatenate([model.kernel([t for t, _ in rows[i:i + _BATCH]])[0] for i in range(0, len(rows), _BATCH)]).astype(float)
-    among = model.kernel(chosen)[0].astype(float)
-    targets = np.array([[1.0 if l == name else 0.0 for name in names] for _, l in rows])
-    weight = 1 / targets.sum(axis=0)[targets.argmax(axis=1)]  # languages weigh alike
-    left = kernel.T @ (kernel * weight[:, None]) + ridge * (among + 1e-6 * np.eye(len(chosen)))
-    model.ridge = np.linalg.solve(left, kernel.T @ (targets * weight[:, None]))
+    norms = np.array([len(found) for found in sets])
+    vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
+    members = np.repeat(np.arange(len(sets), dtype=np.int32), norms)[np.argsort(place, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(place))])
+    model = LanguageModel(names, alphabet, vocabulary, starts, members, norms, None)
+    column = {name: i for i, name in enumerate(names)}
+    of = np.array([column[l] for _, l in rows])
+    weight = 1 / np.bincount(of)[of]  # languages weigh alike
+    left, right = ridge * (model.kernel(chosen)[0] + 1e-6 * np.eye(len(chosen))), np.zeros((len(chosen), len(names)))
+    for i in range(0, len(rows), _BATCH):
+        kernel = model.kernel([t for t, _ in rows[i:i + _BATCH]])[0]
+        weighed = kernel * weight[i:i + _BATCH, None]
+        left += kernel.T @ weighed
+        right += weighed.T @ np.eye(len(names))[of[i:i + _BATCH]]
+    model.ridge = np.linalg.solve(left, right)
     return model
 
 
@@ -158,16 +162,18 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learns from the ``per_language`` rows with the smallest keys of each language that are not held out.
 
     Keys and languages are read first, without the texts; the texts then by a key range with a bounded list
-    behind it (at most MAX_LANGUAGES * per_language rows). Rows with a null key, text or language are not used.
+    behind it (``per_language`` rows a language). All languages are learned. Rows with a null key, text or language are not used.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"),
                         held_out(key).alias("held"))
     usable = named.where("NOT held AND key IS NOT NULL AND lang IS NOT NULL").select("key", "lang")
-    languages = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = [r.lang for r in usable.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return fit_language_model([], [])
-    first = reduce(DataFrame.unionByName, [usable.where(F.col("lang") == one).orderBy("key").limit(per_language) for one in languages])
-    rows = first.collect()
+    rows = []
+    for at in range(0, len(languages), _AT_ONCE):
+        firsts = [usable.where(F.col("lang") == one).orderBy("key").limit(per_language) for one in languages[at:at + _AT_ONCE]]
+        rows += reduce(DataFrame.unionByName, firsts).collect()
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in {r.key for r in rows}], "key " + named.schema["key"].dataType.simpleString()))
     near = named.where((F.col("key") <= F.lit(max(r.key for r in rows))) & ~F.col("held") & F.col("lang").isNotNull())
     found = near.join(wanted, "key", "left_semi").select("key", "lang", "text").dropDuplicates(["key"]).collect()
@@ -180,7 +186,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """Adds ``lang_pred`` (a learned language, ``und`` if the text is null or has no letter) and ``score`` (the ridge
     score of that language cut to 0..1; 0 for ``und``). Whole texts are read. Equal scores go to the first language
     by name. Other columns pass through; columns with these names are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * LANDMARKS columns
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the n-grams of LANDMARKS texts a language
 
     def run(texts):
         import pyarrow as pa

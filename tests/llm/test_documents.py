@@ -247,6 +247,37 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def scripts(rng):
+    """Texts of random words over the letters of a script, two languages of one script among them."""
+    letters = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת",
+               "zh": [chr(0x4E00 + i) for i in range(400)], "ko": [chr(0xAC00 + 7 * i) for i in range(400)], "th": [chr(0x0E01 + i) for i in range(46)],
+               "ja": [chr(0x3041 + i) for i in range(80)], "ka": [chr(0x10D0 + i) for i in range(33)], "hy": [chr(0x0561 + i) for i in range(38)]}
+    return {lang: lambda n, own=own: " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 7))) for _ in range(n)) for lang, own in letters.items()}
+
+
+def test_scripts_are_told_apart():
+    made = scripts(random.Random(3))
+    rows = [(make(400), lang) for lang, make in made.items() for _ in range(12)]
+    model = langid.fit_language_model([t for t, _ in rows], [l for _, l in rows], landmarks=6)
+    for lang, make in made.items():
+        assert model.predict([make(n) for n in (5, 50, 2000)])[0] == [lang] * 3, lang
+    numbers = {tuple(langid.grams(model.alphabet.codes(c)).tolist()) for c in "中文字한글กขאבжщ"}
+    assert len(numbers) == 11
+
+
+def test_all_languages_are_learned():
+    names = [f"l{i:03d}" for i in range(230)]
+    texts = [" ".join([chr(0x4E00 + 3 * i), chr(0x4E01 + 3 * i) * 2, chr(0x4E02 + 3 * i)] * 3) for i in range(230)]
+    model = langid.fit_language_model(texts, names, landmarks=1)
+    assert model.predict(texts)[0] == names
+
+
+def test_more_than_two_hundred_languages_of_a_table(spark):
+    rows = [(i, " ".join([chr(0x4E00 + 3 * i), chr(0x4E01 + 3 * i) * 2]), f"l{i:03d}") for i in range(290)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(290)) > 200
+
+
 def test_kernel_equals_shared_sets():
     texts = ["the cat sat", "le chat noir", "der Hund, und", "cats and dogs"]
     model = langid.fit_language_model(texts, ["en", "fr", "de", "en"])
