@@ -6,7 +6,7 @@ fixed share of all pairs. So candidates come from min-hash bands here (32 bands
 
 No bucket gives all its pairs. Its members are first verified against two of them only: the smallest, and the one that meets
 most others, which is the original where there is one. What the links so far connect needs no further look; the others are compared across components, in blocks, by four bits of
-every minimum (at a similarity of 0.8 about 77 of 768 differ; more than 120 with probability 3e-4), and what passes
+every minimum (at a similarity of 0.8 about 77 of 768 differ; more than 152 with probability below 1e-7), and what passes
 is verified too.
 """
 
@@ -21,7 +21,7 @@ from mediaops.session import materialise
 
 BANDS, ROWS = 32, 6
 #: Differing bits of the minima up to which a pair across components is verified, and longs that hold them.
-FAR, LONGS = 120, BANDS * ROWS * 4 // 64
+FAR, LONGS = 152, BANDS * ROWS * 4 // 64
 #: Members of a bucket in one block; pairs with one partner in one part.
 BLOCK, PART = 512, 512
 _STEP = 256

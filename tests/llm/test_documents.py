@@ -247,6 +247,18 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_hardly_any_pair_of_least_similarity_is_too_far():
+    import numpy as np
+
+    from mediaops.llm import resemblance
+
+    minimum = 0.8 * np.eye(1, 5)[0] + 0.2 * np.array([1, 4, 6, 4, 1]) / 16  # differing bits of four, if minima differ at random
+    bits = np.ones(1)
+    for _ in range(resemblance.BANDS * resemblance.ROWS):
+        bits = np.convolve(bits, minimum)
+    assert bits[resemblance.FAR + 1:].sum() < 1e-7
+
+
 def scripts(rng):
     """Texts of random words over the letters of a script, two languages of one script among them."""
     letters = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת",
