@@ -19,7 +19,7 @@ REPEATED_PERCENT = 20
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 CONTENT_SHARE = 0.5
-#: Labelled texts per class that the line model is fitted on, and lines of each that are used.
+#: Labelled texts per class that the line model is fitted on, and lines in a sequence; longer texts are several.
 FIT_TEXTS = 1500
 FIT_LINES = 32
 #: Weight of all good texts together in the fit; the rest is that of the bad ones. Above a half: in doubt, keep.
@@ -154,7 +154,8 @@ def _array(values):
 def fit_line_model(texts: list[str], good: list[int], rounds: int = 150) -> LineModel:
     """Fits the field by gradient ascent on the mean log-likelihood of labelled line sequences.
 
-    The lines of a text take its label. Runs on a bounded sample (FIT_TEXTS per class, FIT_LINES lines each).
+    The lines of a text take its label. Runs on a bounded sample (FIT_TEXTS per class), on all of its lines,
+    cut into sequences of FIT_LINES; the pair of lines at a cut is not learned from.
     Without both classes every line is content.
     """
     import numpy as np
@@ -164,9 +165,9 @@ def fit_line_model(texts: list[str], good: list[int], rounds: int = 150) -> Line
     rows = []
     for text, label in zip(texts, good):
         features, _ = line_features((text or "").encode("utf-8", "surrogatepass"))
-        if len(features):
-            features = features[:FIT_LINES]
-            rows.append((features, np.full(len(features), label)))
+        for at in range(0, len(features), FIT_LINES):
+            part = features[at:at + FIT_LINES]
+            rows.append((part, np.full(len(part), label)))
     n, longest = len(rows), max(len(f) for f, _ in rows)
     x, y, there = np.zeros((n, longest, len(FEATURES))), np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for i, (f, labels) in enumerate(rows):

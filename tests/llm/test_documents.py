@@ -247,6 +247,14 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_all_lines_of_a_text_teach():
+    plain = "\n".join(f"Line {i} is a plain sentence, and ends." for i in range(32))
+    texts = [plain + "\nAnd so it goes on, as plain as that." * 40, plain + "\n## $$ %% || <>" * 40] * 5
+    at = [quality.FEATURES.index(name) for name in ("symbols", "letters")]
+    lean = quality.fit_line_model(texts, [1, 0] * 5).lean
+    assert lean[at[0]] < -0.2 < 0.2 < lean[at[1]]
+
+
 def test_hardly_any_pair_of_least_similarity_is_too_far():
     import numpy as np
 
