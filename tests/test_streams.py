@@ -116,6 +116,18 @@ def test_dead_letters_keep_one_row_across_batches(spark, tmp_path):
     assert got == [("a", 3, "x"), ("a", 4, "new"), ("b", 0, "z")]
 
 
+def test_dead_letters_of_two_checkpoints_are_all_kept(spark, tmp_path):
+    schema = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
+    path = str(tmp_path / "letters")
+    halves = [("a", 3, "x", _at(0)), ("b", None, "z", _at(1))], [("a", 3, "later", _at(2)), ("c", 1, "new", _at(3))]
+    for i, rows in enumerate(halves):
+        (tmp_path / str(i)).mkdir()
+        feed = _feed(spark, tmp_path / str(i), schema, rows)
+        jobs.append_dead_letters(feed, path, str(tmp_path / f"progress{i}"), available_now=True).awaitTermination(60)
+    got = sorted((r.task_id, r.retry_count or 0, r.error) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 3, "x"), ("b", 0, "z"), ("c", 1, "new")]
+
+
 def test_stream_publish_and_read(spark, tmp_path):
     feed = _feed(spark, tmp_path, EVENT, _events(("a", 1, 0, "COMPLETED"), ("b", 2, 1, "QUEUED")))
     sent = feed.select("task_id", F.col("status").alias("event"), F.lit(None).cast("string").alias("detail"), F.col("ts").alias("sent_at"))
