@@ -182,3 +182,101 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import merkle
+
+    made = merkle.manifest(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+    return made.drop("steps")
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+
+ORACLES["op11_merkle"] = f"""WITH RECURSIVE {_CRC},
+chosen AS (
+  SELECT doc_id AS d, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+      lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])) AS state
+  FROM documents, lookup),
+leaves AS (
+  SELECT doc_id, source, {_LEAF.format(_field("text"))} AS leaf,
+    CASE WHEN xor(state, 4294967295) % 2 = 0 THEN {_LEAF.format(_field("replace(text, chr(10), '')"))} END AS changed
+  FROM documents JOIN chosen ON doc_id = d),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves),
+lower_nodes AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_nodes WHERE n > 1
+  GROUP BY tree, lvl, pos // 3, n),
+subroots AS (SELECT tree, lvl AS height, h AS subroot FROM lower_nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS lvl, tree AS pos, count(*) OVER () AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 3, n),
+runs AS (
+  SELECT tree, lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM lower_nodes WHERE n > 1 GROUP BY tree, lvl, pos // 3
+  UNION ALL
+  SELECT NULL, lvl, pos // 3, list(h ORDER BY pos) FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 3),
+walk AS (
+  SELECT doc_id, tree, 0 AS lvl, pos, coalesce(changed, leaf) AS node, '' AS proof FROM placed
+  UNION ALL
+  SELECT doc_id, w.tree, w.lvl + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3] || [node] || hs[pos % 3 + 2:], '')),
+    proof || array_to_string(hs[1:pos % 3] || hs[pos % 3 + 2:], '')
+  FROM walk w JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = w.pos // 3),
+climb AS (
+  SELECT doc_id, 0 AS lvl, w.tree AS pos, node, proof FROM walk w JOIN subroots s ON w.tree = s.tree AND w.lvl = s.height
+  UNION ALL
+  SELECT doc_id, w.lvl + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3] || [node] || hs[pos % 3 + 2:], '')),
+    proof || array_to_string(hs[1:pos % 3] || hs[pos % 3 + 2:], '')
+  FROM climb w JOIN runs r ON r.tree IS NULL AND r.lvl = w.lvl AND r.run = w.pos // 3)
+SELECT p.doc_id, p.leaf, s.subroot, u.h AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = u.h AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN upper_nodes u ON u.n = 1 JOIN climb c ON c.doc_id = p.doc_id AND c.lvl = u.lvl"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import whitening
+
+    white = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaops.llm import decontaminate
+
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        "contaminated")
+
+
+_ASCII_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLES["op13_decontaminate"] = f"""WITH cut AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ASCII_WORDS}'), []) AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ASCII_WORDS}') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM cut, sizes),
+hits AS (
+  SELECT doc_id, i, p.size, item_id FROM places p JOIN windows v ON v.size = p.size AND array_to_string(w[i:i + p.size - 1], ' ') = win),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits)
+  GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(c.n, 0) > 0 AS contaminated
+FROM cut LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)"""
