@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.functions.columns import micros
 from mediaops.operators.ordered import (
-    HOUR, SLICE, neighbour, row_position, running_total, trailing_count, with_slice,
+    HOUR, PART, SLICE, in_order, parts_in_order, row_position, trailing_count, with_slice,
 )
-from mediaops.session import materialise
 
 NEVER = -(1 << 60)
 GLOBAL_LIMIT, USER_LIMIT, UPLOAD_LIMIT = 1000, 100, 10
@@ -62,6 +61,54 @@ def sliding_rate(
 
 
 # ---- windows anchored at the first request after the last one ended ----
+#
+# A key's requests are cut into time slices. Where the chain of windows leaves a slice depends only
+# on the instant from which a new window may open, and that lies within one window of the slice's
+# start. So a slice is summed up by a short table over the requests that may come first: up to
+# which instant they enter, when the last window then ends, and how many requests it holds so far.
+# One pass makes the tables of many slices at once, one carries state over the slices of a key, one
+# places the requests. The passes work on flat arrays; a slice is all that is ever held together.
+
+def _chunks(batches, last: int):
+    """Record batches joined and cut again so that each holds whole parts only. ``last`` is the column of
+    the flag of a part's last row."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        ends = np.flatnonzero(np.asarray(batch.column(last)))
+        if not len(ends):
+            held.append(batch)
+            continue
+        cut = int(ends[-1]) + 1
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+        held = [batch.slice(cut)] if cut < batch.num_rows else []
+
+
+def _window_links(at: np.ndarray, last: np.ndarray, width: int):
+    """``(first, stop, follow)`` of every row: where its part begins and ends, and, if a window opens at
+    this row, which row of the part opens the next one (or the part's end)."""
+    ends = np.flatnonzero(last) + 1
+    starts = np.append(0, ends[:-1])
+    sizes = ends - starts
+    first, stop = np.repeat(starts, sizes), np.repeat(ends, sizes)
+    since = at - at[first]
+    stride = int(since.max(initial=0)) + width + 1
+    line = np.repeat(np.arange(len(ends)), sizes) * stride + since
+    follow = np.minimum(np.searchsorted(line, line + width, side="left"), stop)
+    return first, stop, follow
+
+
+def _last_openers(follow: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The row that opens the part's last window, for a window that opens at each row; by pointer doubling."""
+    here = np.arange(len(follow))
+    jump = np.where(follow < stop, follow, here)
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump
+        jump = further
+
 
 def rate_anchored(
     requests: DataFrame, key: str, limit: int | str = USER_LIMIT, seconds: int = 1,
@@ -69,106 +116,115 @@ def rate_anchored(
 ) -> DataFrame:
     """Window start, place in the window and whether allowed, where a window opens at the first
     request after the previous one ended. Every request counts, also a refused one. Requests
-    without a key are not limited: they are allowed, with no window and no place.
+    without a key or a time are not limited: they are allowed, with no window and no place.
 
-    A gap of a window or more always opens a new one, so each burst between gaps stands alone
-    and is worked slice by slice.
+    Choose slices that suit one task; they hold at least one window.
     """
     width = seconds * MICROS
-    slice_seconds = slice_seconds or max(HOUR, 64 * seconds)
-    sliced = with_slice(
-        requests.filter(F.col(key).isNotNull()).withColumn("_at", micros(F.col("ts"))),
-        "ts", slice_seconds,
-    )
+    slice_seconds = max(slice_seconds or max(HOUR, 64 * seconds), seconds)
+    limited = F.col(key).isNotNull() & F.col("ts").isNotNull()
+    sliced = with_slice(requests.filter(limited).withColumn("_at", micros(F.col("ts"))), "ts", slice_seconds)
     order = ["ts", "req_id"]
-    spaced = neighbour(sliced, [key], order, F.col("_at"), "_before")
-    opens = F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= width)
-    bursts = materialise(
-        running_total(spaced, [key], order, opens.cast("long"), "_burst").drop("_before"), "bursts"
-    )
+    sent = in_order(sliced, [key], order, "_last")
+    entries = _enter_slices(_slice_tables(sent.select(PART, "_at", "_last"), width), key, width)
     placed = (
-        _chain_bursts(bursts, [key, "_burst"], width)
+        _place(in_order(sliced.withColumn(PART, F.struct(key, SLICE)).join(entries, PART), [key], order, "_last"), requests.columns, width)
         .withColumn("window_start", F.timestamp_micros("opened_at").cast("timestamp_ntz"))
         .withColumn("allowed", F.col("place") <= _threshold(limit))
         .select(*requests.columns, "window_start", "place", "allowed")
     )
-    keyless = requests.filter(F.col(key).isNull()).select(
+    free = requests.filter(~limited).select(
         *requests.columns, F.lit(None).cast("timestamp_ntz").alias("window_start"),
         F.lit(None).cast("long").alias("place"), F.lit(True).alias("allowed"),
     )
-    return placed.unionByName(keyless)
-
-
-# A burst is cut into slices. Where the chain of its windows leaves a slice depends only on
-# the instant it enters at, which lies within one window of the slice's start, so a slice is
-# summed up by a short table of (last entry instant of a run, end of the last window). Only
-# these tables meet per burst; the instants themselves stay in their slice.
-
-def _window_ends(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each instant as an opener: index of the next opener, and the chain's last end."""
-    follow = np.searchsorted(at, at + width, side="left")
-    end = at + width
-    jump = follow.copy()
-    while (jump < len(at)).any():
-        live = jump < len(at)
-        end[live] = end[jump[live]]
-        jump[live] = jump[jump[live]]
-    return follow, end
-
-
-def _chain_bursts(bursts: DataFrame, burst: list[str], width: int) -> DataFrame:
-    """Opening instant and place of each request of its burst."""
-    instants = bursts.select(*burst, SLICE, "_at").distinct()
-    kinds = dict(bursts.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in burst)
-
-    def labelled(group: pd.DataFrame, columns: list[str], values: dict) -> pd.DataFrame:
-        out = pd.DataFrame(values)
-        for i, column in enumerate(columns):
-            out.insert(i, column, group[column].iloc[0])
-        return out
-
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(group["_at"].to_numpy())
-        _, end = _window_ends(at, width)
-        # The chain enters at the latest at the first instant one window after the first one.
-        entries = np.searchsorted(at, at[0] + width, side="left") + 1
-        at, end = at[:entries], end[:entries]
-        last = np.append(end[1:] != end[:-1], True)
-        return labelled(group, [*burst, SLICE], {"upto": at[last], "leaves": end[last]})
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([SLICE, "upto"])
-        slices, starts = np.unique(group[SLICE].to_numpy(), return_index=True)
-        bounds = np.append(starts, len(group))
-        upto, leaves = group["upto"].to_numpy(), group["leaves"].to_numpy()
-        entered, free_from = [], NEVER
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            entered.append(free_from)
-            at = lo + np.searchsorted(upto[lo:hi], free_from, side="left")
-            if at < hi:
-                free_from = leaves[at]
-        return labelled(group, burst, {SLICE: slices, "free_from": entered})
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        at, free_from = np.sort(group["_at"].to_numpy()), int(group["free_from"].iloc[0])
-        follow, _ = _window_ends(at, width)
-        opened = np.full(len(at), free_from - width, dtype="int64")
-        i = int(np.searchsorted(at, free_from, side="left"))
-        while i < len(at):
-            opened[i:follow[i]] = at[i]
-            i = int(follow[i])
-        return labelled(group, burst, {"_at": at, "opened_at": opened})
-
-    tables = instants.groupBy(*burst, SLICE).applyInPandas(
-        summarise, f"{head}, {SLICE} long, upto long, leaves long"
-    )
-    entries = tables.groupBy(*burst).applyInPandas(chain, f"{head}, {SLICE} long, free_from long")
-    windows = (
-        instants.join(entries, [*burst, SLICE])
-        .groupBy(*burst, SLICE)
-        .applyInPandas(place, f"{head}, _at long, opened_at long")
-    )
-    return row_position(
-        bursts.join(windows, [*burst, "_at"]), [*burst, "opened_at"], ["ts", "req_id"], "place"
-    )
+    return placed.unionByName(free)
+
+
+def _slice_tables(rows: DataFrame, width: int) -> DataFrame:
+    """Per part its number of rows and, for entries in order, ``upto``, ``leaves`` and ``held``."""
+    chunks, links, openers = _chunks, _window_links, _last_openers
+
+    def run(batches):
+        import pyarrow as pa
+
+        for chunk in chunks(batches, 2):
+            at, last = np.asarray(chunk.column(1)), np.asarray(chunk.column(2))
+            first, stop, follow = links(at, last, width)
+            opener = openers(follow, stop)
+            # The chain enters at the latest at the first instant one window after the first one.
+            entry = np.arange(len(at)) <= follow[first]
+            group = first * (len(at) + 1) + opener
+            keep = np.flatnonzero(entry & ~np.append(entry[1:] & (group[1:] == group[:-1]), False))
+            ends = np.flatnonzero(last)
+            counts = np.bincount(np.searchsorted(ends, keep), minlength=len(ends))
+            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (
+                at[keep], at[opener[keep]] + width, (stop[keep] - opener[keep]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(0).take(pa.array(ends)), pa.array((ends + 1 - first[ends]).astype(np.int64)), *lists],
+                names=[PART, "n", "upto", "leaves", "held"])
+
+    longs = T.ArrayType(T.LongType())
+    return rows.mapInArrow(run, T.StructType([
+        T.StructField(PART, rows.schema[PART].dataType), T.StructField("n", T.LongType()), *(T.StructField(c, longs) for c in ("upto", "leaves", "held"))]))
+
+
+def _enter_slices(tables: DataFrame, key: str, width: int) -> DataFrame:
+    """Per part the instant from which a new window may open when it begins, and how many requests the window that
+    is still open holds."""
+    never = NEVER
+
+    def run(batches):
+        import pyarrow as pa
+
+        free_from, held = never, 0
+        for batch in batches:
+            n, upto, leaves, tail, last = (batch.column(i).to_pylist() for i in range(1, 6))
+            entered, carried = [], []
+            for i in range(batch.num_rows):
+                entered.append(free_from)
+                carried.append(held)
+                at = int(np.searchsorted(upto[i], free_from, side="left"))
+                if at < len(upto[i]):
+                    free_from, held = leaves[i][at], tail[i][at]
+                else:
+                    held += n[i]
+                if last[i]:
+                    free_from, held = never, 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(entered, pa.int64()), pa.array(carried, pa.int64())], names=[PART, "_free_from", "_carried"])
+
+    sent = parts_in_order(tables, [key], "_end").select(PART, "n", "upto", "leaves", "held", "_end")
+    return sent.mapInArrow(run, T.StructType([
+        T.StructField(PART, tables.schema[PART].dataType), T.StructField("_free_from", T.LongType()), T.StructField("_carried", T.LongType())]))
+
+
+def _place(rows: DataFrame, columns: list[str], width: int) -> DataFrame:
+    """The rows with ``opened_at`` and ``place``."""
+    chunks, links, n = _chunks, _window_links, len(columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for chunk in chunks(batches, n + 1):
+            at, last, free_from, carried = (np.asarray(chunk.column(n + i)) for i in range(4))
+            first, stop, follow = links(at, last, width)
+            here = np.arange(len(at))
+            # the first row that opens a window, then round by round the next one of every part
+            opens = at >= free_from
+            now = np.flatnonzero(opens & ((here == first) | ~np.append(False, opens[:-1])))
+            opener = np.full(len(at), -1)
+            while len(now):
+                opener[now] = now
+                now = follow[now[follow[now] < stop[now]]]
+            opener = np.maximum.accumulate(np.where(opener < 0, -1, opener))
+            own = opener >= first
+            opened = np.where(own, at[np.maximum(opener, 0)], free_from - width)
+            place = np.where(own, here - opener + 1, carried + here - first + 1)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(i) for i in range(n)] + [pa.array(opened), pa.array(place.astype(np.int64))],
+                names=[*columns, "opened_at", "place"])
+
+    sent = rows.select(*columns, "_at", "_last", "_free_from", "_carried")
+    return sent.mapInArrow(run, T.StructType([
+        *(sent.schema[c] for c in columns), T.StructField("opened_at", T.LongType()), T.StructField("place", T.LongType())]))

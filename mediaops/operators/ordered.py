@@ -34,6 +34,20 @@ def _over_parts(keys: list[str]):
     return Window.partitionBy(F.struct(*(F.col(f"{PART}.{k}") for k in keys)))
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], last: str) -> DataFrame:
+    """The rows of each part (keys and slice) one after another in order, with ``last`` true for its last
+    row, for a pass that keeps the state of one part at a time. Adds the part as ``PART``."""
+    rows = df if PART in df.columns else _parted(df, keys)
+    over = Window.partitionBy(PART).orderBy(*order)
+    return rows.withColumn(last, F.lead(F.lit(True)).over(over).isNull())
+
+
+def parts_in_order(parts: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """Rows that stand for a part (``PART``), slice after slice of each key, with ``last`` true for the key's last."""
+    over = _over_parts(keys).orderBy(f"{PART}.{SLICE}")
+    return parts.withColumn(last, F.lead(F.lit(True)).over(over).isNull())
+
+
 def neighbour(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
     forward: bool = False,
