@@ -287,12 +287,12 @@ for _kind in commands.COMMANDS:
     _outcome(_kind)
 
 
-# The same commands with every task of more than 32 sent through blocks and slices.
+# All commands, in finer slices.
 @job("replay_large_tasks", "fx_tasks fx_commands", REPLAY + """
 SELECT task_id, seq, command, before AS status_before, status AS status_after, applied FROM st WHERE command IS NOT NULL
 UNION ALL SELECT task_id, seq, command, NULL, NULL, 0 FROM fx_commands WHERE task_id NOT IN (SELECT task_id FROM fx_tasks)""")
 def _(v):
-    outcomes = commands.replay_commands(*_fold_inputs(v), slice_seconds=86400, block=32)
+    outcomes = commands.replay_commands(*_fold_inputs(v), slice_seconds=3600)
     return outcomes.select("task_id", "seq", "command", "status_before", "status_after", "applied")
 
 

@@ -1,25 +1,23 @@
-"""Guarded task updates replayed as a keyed fold.
+"""Guarded task updates replayed in order.
 
 Commands of a task take effect in (ts, seq) order, and whether one applies depends on the
-status the earlier ones left. A task with at most ``BLOCK`` commands is folded as one list.
-
-A task with more is folded in levels. Each command is a small table "status before -> status
-after", and tables compose: blocks of at most ``BLOCK`` commands, blocks of one time slice,
-slices of one task. Every level first composes upward, then hands the status at its start
-downward. No level gathers more than a bounded list, even if one task holds a large part of all
-commands.
+status the earlier ones left. So a command is a small table "status before -> status after", and
+tables compose. Commands are cut into slices of a task's time: one pass composes the tables of
+each slice, one carries the status from slice to slice of a task, and one replays each slice from the
+status it begins with. Every pass reads rows in order and keeps one status or one table; the
+payload of the commands stays aside and is met by (task_id, ts, seq) at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops import schemas as s
-from mediaops.operators.ordered import HOUR, SLICE, with_slice
+from mediaops.operators.ordered import HOUR, PART, SLICE, in_order, parts_in_order, with_slice
 from mediaops.session import materialise
 
-BLOCK = 4096
 # A task may also have no status at all: the last state.
 STATES = (*s.TASK_STATUSES, None)
 INDEX = {name: i for i, name in enumerate(STATES)}
@@ -49,145 +47,125 @@ def _index(status: Column) -> Column:
     return F.when(at >= 0, at).otherwise(INDEX[None]).cast("int")
 
 
-def _applies_from() -> Column:
-    """For each status, in order: does the command apply from it?"""
-    kind = F.col("command")
-    allowed = F.col("actor_id").eqNullSafe(F.col("owner_id")) | ~kind.isin(*OWNER_ONLY)
-    flags = []
-    for status in STATES:
-        guarded = [k for k, needs in GUARDS.items() if status not in needs]
-        flags.append(
-            F.when(kind == "compare_and_set", F.coalesce(F.col("old_status") == F.lit(status), F.lit(False)))
-            .otherwise(allowed & ~kind.isin(*guarded))
-        )
-    return F.array(*flags)
-
-
-def _leads_to() -> Column:
-    """For each status, in order: the status after the command."""
-    kind = F.col("command")
-    target = F.when(kind == "compare_and_set", _index(F.col("new_status")))
-    for name, status in TARGETS.items():
-        target = target.when(kind == name, INDEX[status])
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(len(STATES) - 1)),
-        lambda i: F.when(F.get("applies", i), F.coalesce(target, i)).otherwise(i),
-    )
-
-
-def _compose(items: Column) -> Column:
-    """One table for a list of items that each have a ``leads_to`` table."""
-    identity = F.array(*[F.lit(i) for i in range(len(STATES))])
-    return F.aggregate(
-        items, identity, lambda acc, x: F.transform(acc, lambda st: F.get(x["leads_to"], st))
-    )
-
-
-def _starts(items: Column, start: Column, item_type: str) -> Column:
-    """The items in order, each with the status before it."""
-    empty = F.array().cast(f"array<struct<item:{item_type},before:int>>")
-    return F.aggregate(
-        items,
-        F.struct(start.alias("status"), empty.alias("seen")),
-        lambda acc, x: F.struct(
-            F.get(x["leads_to"], acc["status"]).alias("status"),
-            F.array_append(
-                acc["seen"], F.struct(x.alias("item"), acc["status"].alias("before"))
-            ).alias("seen"),
-        ),
-        lambda acc: acc["seen"],
-    )
-
-
-def _level(df: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
-    """Items of each key gathered in order, with their composed table."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*item))).alias("items"))
-        .withColumn("leads_to", _compose(F.col("items")))
-    )
-
-
-def _hand_down(starts: DataFrame, level: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
-    """The items of a level, each with the status before it."""
-    return _explode_starts(level.drop("leads_to").join(starts, keys), keys, item)
-
-
-def _explode_starts(lists: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
-    kind = dict(lists.dtypes)["items"].removeprefix("array<").removesuffix(">")
-    return lists.select(
-        *keys, F.explode(_starts(F.col("items"), F.col("before"), kind)).alias("x")
-    ).select(*keys, *[F.col(f"x.item.{c}").alias(c) for c in item], F.col("x.before").alias("before"))
-
-
-ROW_ITEM = ["ts", "seq", "command", "applies", "leads_to", *PAYLOAD]
-
-
-def _fold_lists(rows: DataFrame) -> DataFrame:
-    """Rows with the status before each, one list per task."""
-    lists = rows.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct(*ROW_ITEM))).alias("items"),
-        F.first("first").alias("before"),
-    )
-    return _explode_starts(lists, ["task_id"], ROW_ITEM)
-
-
-def _fold_levels(rows: DataFrame, known: DataFrame, block: int) -> DataFrame:
-    """The same through blocks and slices."""
-    order = Window.partitionBy("task_id", SLICE).orderBy("ts", "seq")
-    blocked = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
-    by_block = _level(blocked, ["task_id", SLICE, "block"], ROW_ITEM)
-    by_slice = _level(by_block, ["task_id", SLICE], ["block", "leads_to"])
-    by_task = _level(by_slice, ["task_id"], [SLICE, "leads_to"])
-
-    first = known.select("task_id", F.col("first").alias("before"))
-    slices = _hand_down(first, by_task, ["task_id"], [SLICE])
-    blocks = _hand_down(slices, by_slice, ["task_id", SLICE], ["block"])
-    return _hand_down(blocks, by_block, ["task_id", SLICE, "block"], ROW_ITEM).drop(SLICE, "block")
-
-
-def replay_commands(
-    tasks: DataFrame, commands: DataFrame, slice_seconds: int = HOUR, block: int = BLOCK
-) -> DataFrame:
+def _code() -> Column:
+    """What decides a command's effect, in one number: its kind, whether the owner asks, and the statuses it names."""
+    kind = F.array_position(F.array(*[F.lit(x) for x in COMMANDS]), F.col("command"))
+    mine = F.col("actor_id").eqNullSafe(F.col("owner_id")).cast("int")
+    old = F.when(F.col("old_status").isNull(), INDEX[None]).otherwise(
+        F.coalesce(F.array_position(F.array(*[F.lit(x) for x in s.TASK_STATUSES]), F.col("old_status")) - 1, F.lit(-1)))
+    known = F.when(old >= 0, old).otherwise(len(STATES))  # a status that does not exist equals none
+    return (((F.coalesce(kind, F.lit(0)) * 2 + mine) * (len(STATES) + 1) + known) * len(STATES) + _index(F.col("new_status"))).cast("int")
+
+
+def _effects() -> tuple[list[bytes], list[bytes]]:
+    """For every code a table of the status after each status, and one of where the command applies; as bytes,
+    so that ``translate`` composes tables."""
+    leads, applies = [], []
+    for kind in (None, *COMMANDS):
+        for mine in (False, True):
+            for old in (*STATES, "no such status"):
+                for new in STATES:
+                    flags = []
+                    for status in STATES:
+                        if kind == "compare_and_set":
+                            flags.append(status is not None and status == old)
+                        else:
+                            flags.append((mine or kind not in OWNER_ONLY) and status in GUARDS.get(kind, STATES))
+                    target = new if kind == "compare_and_set" else TARGETS.get(kind)
+                    sets = kind == "compare_and_set" or kind in TARGETS
+                    after = [INDEX[target] if flag and sets else i for i, flag in enumerate(flags)]
+                    leads.append(bytes(after) + bytes(range(len(after), 256)))
+                    applies.append(bytes(flags))
+    return leads, applies
+
+
+def _composed(rows: DataFrame) -> DataFrame:
+    """Per part the table that all its commands make together, and the task's first status."""
+    effects, n = _effects, len(STATES)
+
+    def run(batches):
+        import pyarrow as pa
+
+        leads, _ = effects()
+        table = identity = bytes(range(n))
+        for batch in batches:
+            ends, tables = [], []
+            for i, (code, last) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                table = table.translate(leads[code])
+                if last:
+                    ends.append(i)
+                    tables.append(table)
+                    table = identity
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(tables, pa.binary())], names=[PART, "first", "leads_to"])
+
+    return rows.select(PART, "first", "code", "_last").mapInArrow(run, T.StructType([
+        T.StructField(PART, rows.schema[PART].dataType), T.StructField("first", T.IntegerType()), T.StructField("leads_to", T.BinaryType())]))
+
+
+def _entered(tables: DataFrame) -> DataFrame:
+    """Per part the status it begins with, carried over the slices of each task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        status = None
+        for batch in batches:
+            begins = []
+            for first, table, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                status = first if status is None else status
+                begins.append(status)
+                status = None if last else table[status]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, pa.int32())], names=[PART, "begins"])
+
+    sent = parts_in_order(tables, ["task_id"], "_end").select(PART, "first", "leads_to", "_end")
+    return sent.mapInArrow(run, T.StructType([T.StructField(PART, tables.schema[PART].dataType), T.StructField("begins", T.IntegerType())]))
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """``_at`` of each command with the status before and after it, and whether it applied."""
+    effects, names = _effects, list(STATES)
+
+    def run(batches):
+        import pyarrow as pa
+
+        leads, applies = effects()
+        status = None
+        for batch in batches:
+            before, after, applied = [], [], []
+            for code, begins, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                status = begins if status is None else status
+                before.append(names[status])
+                applied.append(applies[code][status])
+                status = leads[code][status]
+                after.append(names[status])
+                status = None if last else status
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array(applied, pa.int32())],
+                names=["_at", "status_before", "status_after", "applied"])
+
+    sent = rows.select("_at", "code", "begins", "_last")
+    text, number = T.StringType(), T.IntegerType()
+    return sent.mapInArrow(run, T.StructType([
+        sent.schema["_at"], T.StructField("status_before", text), T.StructField("status_after", text), T.StructField("applied", number)]))
+
+
+def replay_commands(tasks: DataFrame, commands: DataFrame, slice_seconds: int = HOUR) -> DataFrame:
     """Each command on a known task with the status before and after, and ``applied``: the 0/1
     count of updated rows. Commands on unknown tasks are reported with 0.
 
-    ``commands``: task_id, ts, seq, command, actor_id, old_status and the payload columns.
+    ``commands``: task_id, ts, seq, command, actor_id, old_status and the payload columns; (ts, seq) names a
+    command of a task. Choose slices whose commands of one task suit one Spark task.
     """
     known = tasks.select("task_id", F.col("user_id").alias("owner_id"), _index(F.col("status")).alias("first"))
-    rows = (
-        with_slice(commands, "ts", slice_seconds)
-        .join(known, "task_id", "left")
-        .withColumn("applies", _applies_from())
-        .withColumn("leads_to", _leads_to())
-    )
-    unknown, found = rows.filter(F.col("first").isNull()), rows.filter(F.col("first").isNotNull())
-    large = materialise(
-        commands.groupBy("task_id").agg(F.count("*").alias("n"))
-        .filter(F.col("n") > block).select("task_id"),
-        "large-tasks",
-    )
-    if large.isEmpty():
-        replayed = _fold_lists(found)
-    else:
-        replayed = _fold_lists(found.join(large, "task_id", "left_anti")).unionByName(
-            _fold_levels(found.join(large, "task_id", "left_semi"), known, block)
-        )
-
-    names = F.array(*[F.lit(x) for x in STATES])
-    done = replayed.select(
-        "task_id", "ts", "seq", "command", *PAYLOAD,
-        F.get(names, F.col("before")).alias("status_before"),
-        F.get(names, F.get("leads_to", F.col("before"))).alias("status_after"),
-        F.get("applies", F.col("before")).cast("int").alias("applied"),
-    )
-    missing = unknown.select(
-        "task_id", "ts", "seq", "command", *PAYLOAD,
-        F.lit(None).cast("string").alias("status_before"),
-        F.lit(None).cast("string").alias("status_after"),
-        F.lit(0).alias("applied"),
-    )
-    return done.unionByName(missing)
+    at = F.struct("task_id", "ts", "seq")
+    rows = with_slice(commands, "ts", slice_seconds).join(known, "task_id").select(
+        F.struct("task_id", SLICE).alias(PART), "ts", "seq", "first", _code().alias("code"), at.alias("_at"))
+    begins = _entered(_composed(in_order(rows, [], ["ts", "seq"], "_last")))
+    done = _replayed(in_order(rows.join(begins, PART), [], ["ts", "seq"], "_last"))
+    return commands.withColumn("_at", at).join(done, "_at", "left").select(
+        "task_id", "ts", "seq", "command", *PAYLOAD, "status_before", "status_after", F.coalesce("applied", F.lit(0)).alias("applied"))
 
 
 def tasks_after(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -249,10 +227,8 @@ def tasks_after(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def apply_commands(
-    tasks: DataFrame, commands: DataFrame, slice_seconds: int = HOUR, block: int = BLOCK
-) -> tuple[DataFrame, DataFrame]:
+def apply_commands(tasks: DataFrame, commands: DataFrame, slice_seconds: int = HOUR) -> tuple[DataFrame, DataFrame]:
     """(tasks after the commands, outcomes). The outcomes are written once to the shared
     folder, since both results read them."""
-    outcomes = materialise(replay_commands(tasks, commands, slice_seconds, block), "outcomes")
+    outcomes = materialise(replay_commands(tasks, commands, slice_seconds), "outcomes")
     return tasks_after(tasks, outcomes), outcomes

@@ -89,8 +89,8 @@ def test_every_guard_from_every_status(spark):
     assert final["manual_retry-DEAD-1"].progress == 0 and final["rename-DEAD-1"].task_name.startswith("n")
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_hot_task_in_small_blocks(spark, block):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**7])
+def test_hot_task_over_slices(spark, slice_seconds):
     rng = random.Random(7)
     tasks = [("hot", 1, "PENDING", 0), ("cold", 2, "FAILED", None)]
     rows = [
@@ -100,13 +100,24 @@ def test_hot_task_in_small_blocks(spark, block):
     ]
     want, state = _replay(tasks, rows)
     frame = spark.createDataFrame(rows, COMMAND)
-    after, outcomes = commands.apply_commands(_tasks(spark, tasks), frame, slice_seconds=3600, block=block)
+    after, outcomes = commands.apply_commands(_tasks(spark, tasks), frame, slice_seconds=slice_seconds)
     assert {r.seq: (r.status_before, r.status_after, r.applied) for r in outcomes.collect()} == want
     assert {r.task_id: (r.status, r.retry_count) for r in after.collect()} == {
         t: (me["status"], me["retry"]) for t, me in state.items()
     }
 
 
+def test_commands_without_a_task_or_a_time_and_of_unknown_kinds(spark):
+    tasks = [("a", None, "FAILED", 0), ("b", 1, "odd", 0)]
+    rows = [_command(1, None, 0, "start"), _command(2, "a", 1, "nonsense"), _command(3, "a", 2, "manual_retry", None),
+            _command(4, "b", 0, "compare_and_set", 1, None, "QUEUED"), _command(5, "b", 1, "compare_and_set", 1, "odd", "QUEUED"),
+            _command(6, "a", 3, "compare_and_set", 1, "PENDING", "odd"), (7, "b", None, *_command(7, "b", 0, "complete")[3:])]
+    _, outcomes = commands.apply_commands(_tasks(spark, tasks), spark.createDataFrame(rows, COMMAND))
+    got = {r.seq: (r.status_before, r.status_after, r.applied) for r in outcomes.collect()}
+    assert got == {1: (None, None, 0), 2: ("FAILED", "FAILED", 1), 3: ("FAILED", "PENDING", 1), 4: ("COMPLETED", "COMPLETED", 0),
+                   5: ("COMPLETED", "COMPLETED", 0), 6: ("PENDING", None, 1), 7: (None, "COMPLETED", 1)}
+
+
 def test_no_command_leaves_tasks_alone(spark):
     tasks = _tasks(spark, [("a", 1, "PENDING", 0)])
     after, _ = commands.apply_commands(tasks, spark.createDataFrame([], COMMAND))
