@@ -6,8 +6,10 @@ timestamp first, because watermarks need one.
 
 from __future__ import annotations
 
-import hashlib
-from pyspark.sql import DataFrame
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -144,37 +146,60 @@ def upload_progress(
     )
 
 
+LETTER = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
+#: Buckets of letters whose task id does not tell its day.
+SPREAD = 64
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to. It is made once and lies inside the checkpoint, so a
+    checkpoint that was lost and begun anew, even under the same path, is another run."""
+    path = os.path.join(checkpoint, "run-name")
+    for mode in ("ignore", "overwrite"):  # the second only after a write that was cut off
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode(mode).text(path)
+        found = spark.read.text(path).first()
+        if found:
+            return found[0]
+    raise OSError(f"no run name can be kept in {path}")
+
+
+def letter_bucket(task_id: Column) -> Column:
+    """Where a letter is stored: the day its task was made, which the id holds; ids of another form are spread by hash."""
+    day = F.date_format(fn.id_created_at(task_id), "yyyy-MM-dd")
+    return F.coalesce(day, F.concat(F.lit("h"), F.pmod(F.xxhash64(task_id), F.lit(SPREAD)).cast("string")))
+
+
 def append_dead_letters(
     letters: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Durable dead-letter table, one row per (task_id, retry_count).
+    """Durable dead-letter table, one row per (task_id, retry_count); letters without a task id, which nothing
+    tells apart, are all kept in ``<path>-nameless``.
 
-    A batch owns the folder ``run=r/batch_id=n``, where r stands for the checkpoint, and replaces
-    it when it is run again, so a replay changes nothing and a new checkpoint never touches what
-    other runs have stored. Letters already stored by other runs or earlier batches are left
-    out by an anti join on the two key columns.
+    Letters of a key always lie in the same bucket, so a batch reads the two key columns of its own buckets only,
+    not of all that was ever stored. It writes into ``run=r/batch_id=n`` of them and replaces that when it is run
+    again, where r is the name kept in the checkpoint: no other run, nor this one begun anew, owns those folders.
     """
     spark = letters.sparkSession
-    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    kept_schema = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
-    spark.createDataFrame([], kept_schema).write.mode("overwrite").parquet(f"{path}/run={run}/batch_id=-1")
+    run = run_name(spark, checkpoint)
+    nameless = f"{path}-nameless"
+    for folder in (f"{path}/bucket=none", nameless):
+        spark.createDataFrame([], LETTER).write.mode("overwrite").parquet(f"{folder}/run=none/batch_id=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.filter(F.col("task_id").isNotNull())
-        first = kept.groupBy("task_id", "retry_count").agg(
+        own = batch.select("task_id", "retry_count", "error", "sent_at").persist()
+        own.filter(F.col("task_id").isNull()).write.mode("overwrite").parquet(f"{nameless}/run={run}/batch_id={batch_id}")
+        first = own.filter(F.col("task_id").isNotNull()).groupBy("task_id", "retry_count").agg(
             F.min_by(F.struct("error", "sent_at"), F.struct("sent_at", "error")).alias("x")
-        ).select("task_id", "retry_count", "x.*")
-        stored = spark.read.schema(
-            "task_id string, retry_count int, run string, batch_id long"
-        ).option("basePath", path).parquet(path)
-        known = stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
-        seen = known.select("task_id", F.col("retry_count").alias("_r"))
-        fresh = first.join(
-            seen,
-            (first["task_id"] == seen["task_id"]) & first["retry_count"].eqNullSafe(seen["_r"]),
-            "left_anti",
-        )
-        fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+        ).select("task_id", "retry_count", "x.*", letter_bucket(F.col("task_id")).alias("bucket"))
+        buckets = [r[0] for r in first.select("bucket").distinct().collect()]  # days of one batch's tasks
+        touched = "{" + ",".join(["none", *sorted(buckets)]) + "}"
+        stored = spark.read.schema("task_id string, retry_count int, bucket string, run string, batch_id long").option(
+            "basePath", path).parquet(f"{path}/bucket={touched}")
+        seen = stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id)).select("task_id", F.col("retry_count").alias("_r"))
+        fresh = first.join(seen, (first["task_id"] == seen["task_id"]) & first["retry_count"].eqNullSafe(seen["_r"]), "left_anti")
+        (fresh.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "run", "batch_id").parquet(path))
+        own.unpersist()
 
     return start_batches(letters, handle, checkpoint, available_now=available_now)
 

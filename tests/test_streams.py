@@ -128,6 +128,35 @@ def test_dead_letters_of_two_checkpoints_are_all_kept(spark, tmp_path):
     assert got == [("a", 3, "x"), ("b", 0, "z"), ("c", 1, "new")]
 
 
+def test_dead_letters_outlive_a_lost_checkpoint(spark, tmp_path):
+    """The checkpoint's content is lost and it begins anew under the same path: what was stored stays."""
+    path, progress = str(tmp_path / "letters"), tmp_path / "progress"
+    for i, rows in enumerate(([("a", 1, "x", _at(0)), (None, 1, "who", _at(0))], [("b", 1, "y", _at(1)), ("a", 1, "later", _at(2)), (None, 1, "who", _at(0))])):
+        if progress.exists():
+            progress.rename(tmp_path / "lost")
+        (tmp_path / f"in{i}").mkdir()
+        feed = _feed(spark, tmp_path / f"in{i}", jobs.LETTER, rows)
+        jobs.append_dead_letters(feed, path, str(progress), available_now=True).awaitTermination(60)
+    assert sorted((r.task_id, r.error) for r in spark.read.parquet(path).collect()) == [("a", "x"), ("b", "y")]
+    assert [r.error for r in spark.read.parquet(f"{path}-nameless").collect()] == ["who", "who"]
+
+
+def test_a_batch_of_letters_reads_its_own_days_only(spark, tmp_path):
+    ids = [f"task_{day * 86400}_ab" for day in range(4)]
+    days = spark.createDataFrame([(i,) for i in ids], "id string").select(jobs.letter_bucket(F.col("id"))).collect()
+    assert len({d[0] for d in days}) == 4
+    path, progress = str(tmp_path / "letters"), str(tmp_path / "progress")
+    (tmp_path / "one").mkdir()
+    jobs.append_dead_letters(_feed(spark, tmp_path / "one", jobs.LETTER, [(i, 1, "x", _at(0)) for i in ids]), path, progress, available_now=True).awaitTermination(60)
+    broken = next((tmp_path / "letters" / f"bucket={days[0][0]}").rglob("*.parquet"))
+    broken.write_bytes(b"can not be read")
+    (tmp_path / "two").mkdir()
+    feed = _feed(spark, tmp_path / "two", jobs.LETTER, [(ids[1], 1, "again", _at(1)), (ids[1], 2, "new", _at(1))])
+    jobs.append_dead_letters(feed, path, str(tmp_path / "other"), available_now=True).awaitTermination(60)
+    kept = spark.read.option("basePath", path).parquet(*(f"{path}/bucket={d[0]}" for d in days[1:])).collect()
+    assert sorted((r.task_id, r.retry_count, r.error) for r in kept) == sorted([(i, 1, "x") for i in ids[1:]] + [(ids[1], 2, "new")])
+
+
 def test_stream_publish_and_read(spark, tmp_path):
     feed = _feed(spark, tmp_path, EVENT, _events(("a", 1, 0, "COMPLETED"), ("b", 2, 1, "QUEUED")))
     sent = feed.select("task_id", F.col("status").alias("event"), F.lit(None).cast("string").alias("detail"), F.col("ts").alias("sent_at"))
