@@ -2,24 +2,26 @@
 
 Only DataFrame expressions. A template of m shingles belongs to the class L, the least power of two that is at least m.
 Windows of class L hold 2 L positions and begin every L, so any passage as long as a template of the class lies
-whole in one of them. A window's set is what it holds of the shingles of the templates of its class, at most 2 L < 4 m.
-With containment c the Jaccard similarity to the template is at least c / 4, so one-row bands collide with
-probability 1 - (1 - c / 4) ** BANDS or more: over 0.99999 for c = 0.8 and 54 bands.
+whole in one of them. A window's set is all of its shingles, at most 2 L < 4 m. With containment c the Jaccard similarity
+to the template is at least c / (5 - c), so one-row bands collide with probability 1 - (1 - c / (5 - c)) ** BANDS or more:
+over 0.99998 for c = 0.8 and 54 bands. Containment is counted for the pairs that bands retrieve, and for no others.
+
+Windows without one of a few long words (``anchors``), which every text that reaches a template holds, are not signed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaops.functions.frames import once
+from mediaops.session import materialise
+
 SHINGLE = 3
 CONTAINMENT = 0.8
 BANDS = 54
-#: Templates that one scan takes; their shingles and bands are sent to every executor.
-MAX_TEMPLATES = 2000
+#: Templates that one scan takes, and their words in all; their shingles and bands are sent to every executor.
+MAX_TEMPLATES, MAX_WORDS = 2000, 500_000
 
 #: Notices by license. The wording of the public licenses and of usual notices.
 TEMPLATES = {
@@ -67,10 +69,10 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """``struct(pos, h)`` of every run of SHINGLE words."""
+    """The hash of every run of SHINGLE words."""
     last = F.size(words) - F.lit(SHINGLE)
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("array()").cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))).alias("h")))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))
 
 
 def template_words(text: str) -> list[str]:
@@ -94,18 +96,18 @@ def anchors(templates: dict[str, str]) -> list[str]:
 
 
 def prepare(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``license, m, width, h``: a row for each distinct shingle of each template; ``width`` is its class."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    short = [name for name, text in templates.items() if len(template_words(text)) < SHINGLE]
+    """``license, m, width, hs``: the distinct shingles of each template; ``width`` is its class."""
+    words = {name: template_words(text) for name, text in templates.items()}
+    if len(templates) > MAX_TEMPLATES or sum(map(len, words.values())) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_WORDS} words")
+    short = [name for name, own in words.items() if len(own) < SHINGLE]
     if short:
         raise ValueError(f"templates with fewer than {SHINGLE} words: {short}")
     named = spark.createDataFrame(list(templates.items()), "license string, text string")
     cut = named.select("license", _words(F.col("text")).alias("words"))
-    listed = cut.select("license", F.array_distinct(F.transform(_shingles(F.col("words")), lambda s: s.h)).alias("hs"),
+    listed = cut.select("license", F.array_distinct(_shingles(F.col("words"))).alias("hs"),
                         (F.size("words") - F.lit(SHINGLE - 1)).alias("length"))
-    return listed.select("license", F.size("hs").alias("m"),
-                         F.expr("int(pow(2, ceil(log2(length))))").alias("width"), F.explode("hs").alias("h"))
+    return listed.select("license", F.size("hs").alias("m"), F.expr("int(pow(2, ceil(log2(length))))").alias("width"), "hs")
 
 
 def _bands(rows: DataFrame, *keys: str) -> DataFrame:
@@ -115,6 +117,22 @@ def _bands(rows: DataFrame, *keys: str) -> DataFrame:
     return signed.select(*keys, F.posexplode(F.array(*(F.col(f"v{b}") for b in range(BANDS)))).alias("band", "v"))
 
 
+def _windows(texts: DataFrame, widths: list[int], words: list[str]) -> DataFrame:
+    """``key, id, width, low, hs``: the windows of each class that hold one of the words, with all their shingles in
+    order; ``low`` is the number of the first."""
+    # each step is a column of its own, made once per row: a lambda would make it anew for each element
+    cut = once(texts.select("key", "text"), "words", _words(F.col("text"))).drop("text")
+    marked = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(words))
+    found = once(cut.where(F.size("words") >= SHINGLE), "marks", marked)
+    hashed = once(found, "hs", _shingles(F.col("words"))).drop("words")
+    classes = ", ".join(map(str, widths))
+    lows = once(hashed, "wins", F.expr(f"""array_distinct(flatten(transform(array({classes}), w -> flatten(transform(marks, i ->
+        transform(sequence(greatest(i - {SHINGLE - 1}, 0) div w - 1, i div w), k -> struct(w AS width, int(greatest(k, 0) * w) AS low)))))))"""))
+    cut_out = lows.select("key", F.explode("wins").alias("win"), "hs").select(
+        "key", F.monotonically_increasing_id().alias("id"), "win.width", "win.low", F.expr("slice(hs, win.low + 1, 2 * win.width)").alias("hs"))
+    return cut_out
+
+
 def scan(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, license, containment, first_word``: every template that a document holds.
 
@@ -129,24 +147,17 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc
         return df.select(F.col(f"`{key}`").alias(key), F.lit("").alias("license"), F.lit(0.0).alias("containment"),
                          F.lit(0).alias("first_word")).where(F.lit(False))
     known = prepare(spark, templates)
-    hashes = sorted({r.h for r in known.select("h").collect()})  # bounded by MAX_TEMPLATES
-    known = F.broadcast(known)
-    needed = F.col("text").rlike("(?i)(?<![a-z0-9])(" + "|".join(anchors(templates)) + ")(?![a-z0-9])")
+    widths = sorted(r.width for r in known.select("width").distinct().collect())
+    words = anchors(templates)
+    needed = F.col("text").rlike("(?i)(?<![a-z0-9])(" + "|".join(words) + ")(?![a-z0-9])")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where(needed)
-    # words are a column of their own, as a lambda would cut the text anew for each shingle; no condition stands on
-    # what is made of them, as it would be pushed down with the cutting inside
-    cut = texts.select("key", F.xxhash64("text").alias("t"), _words(F.col("text")).alias("words"))
-    held = cut.select("key", "t", F.filter(_shingles(F.col("words")), lambda s: s.h.isin(hashes)).alias("hits"))
-    hits = held.select("key", "t", F.explode_outer("hits").alias("s")).where("s IS NOT NULL").select("key", "t", "s.pos", "s.h")
-    owners = known.select("license", "m", "width", "h")
-    # a position lies in two windows of each class
-    placed = hits.join(owners, "h").withColumn("k", F.explode(F.expr("array(pos div width, pos div width - 1)")))
-    windows = placed.select("key", "t", "width", "k", "h")
-    retrieved = _bands(windows, "key", "t", "width", "k").join(
-        F.broadcast(_bands(owners, "license", "width")), ["width", "band", "v"]).select("key", "t", "width", "k", "license").distinct()
-    held_now = placed.groupBy("key", "t", "width", "k", "license", "m").agg(
-        F.countDistinct("h").alias("n"), F.min("pos").alias("first_word")).where(F.col("n") >= CONTAINMENT * F.col("m"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("key", "t", "width", "k", "license")]
-    met = held_now.alias("a").join(retrieved.alias("b"), reduce(and_, same), "left_semi")
-    return met.groupBy("key", "license").agg(F.max(F.col("n") / F.col("m")).alias("containment"), F.min("first_word").alias("first_word")
-                                             ).withColumnRenamed("key", key)
+    windows = materialise(_windows(texts, widths, words), "windows")
+    signed = _bands(windows.select("id", "width", F.explode("hs").alias("h")), "id", "width")
+    bands = _bands(known.select("license", "width", F.explode("hs").alias("h")), "license", "width")
+    retrieved = signed.join(F.broadcast(bands), ["width", "band", "v"]).select("id", "license").distinct()
+    # a template's shingles are bounded by MAX_WORDS
+    pairs = windows.join(retrieved, "id").join(F.broadcast(known.withColumnRenamed("hs", "wanted")), ["license", "width"])
+    counted = pairs.select("key", "license", "m", F.size(F.array_intersect("hs", "wanted")).alias("n"),
+                           (F.col("low") + F.array_position(F.transform("hs", lambda h: F.array_contains("wanted", h)), True) - 1).alias("first"))
+    return counted.where(F.col("n") >= CONTAINMENT * F.col("m")).groupBy("key", "license").agg(
+        F.max(F.col("n") / F.col("m")).alias("containment"), F.min("first").cast("int").alias("first_word")).withColumnRenamed("key", key)
