@@ -10,9 +10,8 @@ landmarks that have it are listed, so a text costs what it shares with them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import add_columns
@@ -25,7 +24,6 @@ UNKNOWN = "und"
 
 _CODES = 0x110000  # letters are their code points, 0 stands for a gap
 _BATCH = 128
-_AT_ONCE = 50  # languages whose first keys one job finds
 
 
 class Alphabet:
@@ -113,6 +111,8 @@ class LanguageModel:
         kernel, lettered = self.kernel(texts)
         scores = kernel @ self.ridge
         best = scores.argmax(axis=1)
+        # marks count as n-grams, but only letters make a text one of a language
+        lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool) & lettered
         # one-versus-rest targets are 0 and 1
         value = np.clip(scores[np.arange(len(texts)), best], 0, 1)
         return ([self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)],
@@ -161,19 +161,16 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = FIT_TEXTS) -> LanguageModel:
     """Learns from the ``per_language`` rows with the smallest keys of each language that are not held out.
 
-    Keys and languages are read first, without the texts; the texts then by a key range with a bounded list
+    Keys and languages are read first, in one pass without the texts; the texts then by a key range with a bounded list
     behind it (``per_language`` rows a language). All languages are learned. Rows with a null key, text or language are not used.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"),
                         held_out(key).alias("held"))
     usable = named.where("NOT held AND key IS NOT NULL AND lang IS NOT NULL").select("key", "lang")
-    languages = [r.lang for r in usable.select("lang").distinct().orderBy("lang").collect()]
-    if not languages:
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # limited in every partition before they meet
+    rows = usable.withColumn("at", first).where(F.col("at") <= per_language).select("key", "lang").collect()
+    if not rows:
         return fit_language_model([], [])
-    rows = []
-    for at in range(0, len(languages), _AT_ONCE):
-        firsts = [usable.where(F.col("lang") == one).orderBy("key").limit(per_language) for one in languages[at:at + _AT_ONCE]]
-        rows += reduce(DataFrame.unionByName, firsts).collect()
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in {r.key for r in rows}], "key " + named.schema["key"].dataType.simpleString()))
     near = named.where((F.col("key") <= F.lit(max(r.key for r in rows))) & ~F.col("held") & F.col("lang").isNotNull())
     found = near.join(wanted, "key", "left_semi").select("key", "lang", "text").dropDuplicates(["key"]).collect()
