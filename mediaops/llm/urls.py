@@ -15,13 +15,13 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 #: The small labelled table: hosts with paths, to block or to allow. Fixed values.
 BLOCKED = """
-casino-royal.example/slots casino-online.example/play/1 www.casino-win.example/en/12 best-casino.example/bonus free-casino.example/
+casino-royal.example/slots casino-online.example/play/1 casino-gold.example/en/12 best-casino.example/bonus free-casino.example/
 poker-room.example/tables online-poker.example/join lucky-slots.example/spin/4 jackpot-city.example/win big-jackpot.example/en/3
-free-bets.example/today m.free-bets.example/en/27 sports-bets.example/odds betting-tips.example/live bet-now.example/offer
-cheap-pills.example/buy www.cheap-pills.example/en/680 buy-pills.example/order diet-pills.example/fr/176 pills-online.example/de/9
+bets-live.example/today bets-online.example/en/31 sports-bets.example/odds betting-tips.example/live bet-now.example/offer
+discount-pills.example/buy pills-market.example/en/41 buy-pills.example/order diet-pills.example/fr/176 pills-online.example/de/9
 viagra-shop.example/cheap cheap-meds.example/order/7 replica-watches.example/sale cheap-replica.example/bags pharmacy-cheap.example/
-spam-farm.example/en/728 spam-links.example/1 link-farm.example/list/33 seo-spam.example/en/4 www.spam-farm.example/page
-ads-track.example/en/584 ads-server.example/banner/3 adserver.example/click track-click.example/r/99 banner-ads.example/img
+spam-mail.example/en/90 spam-links.example/1 link-farm.example/list/33 seo-spam.example/en/4 content-farm.example/page
+ads-network.example/en/75 ads-server.example/banner/3 adserver.example/click track-click.example/r/99 banner-ads.example/img
 click-track.example/out pop-ads.example/under tracker-ads.example/pixel ads.click.example/en/5 track.pixel.example/go
 xxx-videos.example/watch porn-tube.example/1 adult-cams.example/live hot-porn.example/en/77 adult-xxx.example/free
 payday-loans.example/apply fast-loans.example/cash free-money.example/win win-prize.example/claim cheap-loans.example/en/2
@@ -35,8 +35,8 @@ docs.software.example/guide/2 developer.example/api manual.example/en/471 wiki.e
 weather.example/today sports-club.example/matches football.example/en/148 music-school.example/lessons theatre.example/program
 cooking.example/soup/12 garden-tools.example/en/231 hiking.example/trails/5 photography.example/gallery art-history.example/en/929
 town-hall.example/council ministry.example/reports health-clinic.example/advice hospital.example/en/40 school.example/calendar
-www.thermal.example/en/618 m.river.example/en/25 ththe.example/en/685 thering.example/de/612 tions.example/es/533
-ouble.example/en/217 erstand.example/fr/144 shining.example/en/625 reading.example/es/978 nation.example/en/853
+www.thermal.example/en/618 m.river.example/en/25 mountain-hotel.example/en/81 brewery.example/de/61 vineyard.example/es/53
+ceramics.example/en/17 orchestra.example/fr/44 shining.example/en/625 reading.example/es/978 nation.example/en/853
 bookstore.example/new trains.example/times bakery.example/en/11 astronomy.example/stars forum.example/topic/88
 """.split()
 
