@@ -32,7 +32,8 @@ def _(v):
 SELECT upload_id, status, CASE WHEN expired_at < TIMESTAMP '1997-06-01' THEN 20002 WHEN status <> 0 THEN 20001 WHEN len(idx) <> total_chunks THEN 20004 ELSE 0 END AS code,
   CASE WHEN coalesce(expired_at >= TIMESTAMP '1997-06-01', true) AND status = 0 AND len(idx) = total_chunks THEN CASE WHEN total_chunks > 0 THEN 2 ELSE 1 END ELSE status END AS new_status,
   CASE WHEN coalesce(expired_at >= TIMESTAMP '1997-06-01', true) AND status = 0 AND len(idx) = total_chunks AND total_chunks > 0
-    THEN 'videos/1997/06/01/' || upload_id || CASE WHEN id % 2 = 0 THEN '.mp4' ELSE '.mov' END END AS storage_path FROM chunks""")
+    THEN 'videos/1997/06/01/' || upload_id || CASE WHEN id % 2 = 0 THEN '.mp4' ELSE '.mov' END END AS storage_path,
+  CASE WHEN coalesce(expired_at >= TIMESTAMP '1997-06-01', true) AND status = 0 AND len(idx) = total_chunks THEN TIMESTAMP '1997-06-01' END AS updated_at FROM chunks""")
 def _(v):
     return upload_flow.complete_uploads(
         v("fx_chunk_sessions"), v("fx_chunk_acks"), moment("1997-06-01 00:00:00")

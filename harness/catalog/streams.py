@@ -1,4 +1,4 @@
-"""Registered jobs: streams over one table read as a file source, run to its end.
+"""Registered jobs: streams over one table read as a file source in several batches, run to its end.
 
 The oracle is the batch form. Where a stream holds results back until the watermark passes, the
 oracle leaves out what is still open.
@@ -27,18 +27,10 @@ def _local_state(v):
         v.spark.conf.set(setting, before)
 
 
-def _run(v, stream, mode="append", ntz=()):
+def _run(v, stream, ntz=(), idle_batches=True):
     path, progress = scratch(v.spark, "stream"), scratch(v.spark, "progress")
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
     with _local_state(v):
-        if mode == "update":
-            query = jobs.start_batches(stream, keep, progress, mode, available_now=True)
-        else:
-            query = jobs.start(stream, path, progress, mode, available_now=True)
-        query.awaitTermination()
+        jobs.start(stream, path, progress, available_now=True, idle_batches=idle_batches).awaitTermination()
     out = v.spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
     for column in ntz:
         out = out.withColumn(column, F.col(column).cast("timestamp_ntz"))
@@ -51,7 +43,7 @@ def _stream(v, name):
 
 @job("st_dedup_messages", "fx_task_events", "SELECT DISTINCT task_id, retry_count FROM fx_task_events")
 def _(v):
-    return _run(v, jobs.dedup_messages(_stream(v, "fx_task_events"), "ts").select("task_id", "retry_count"))
+    return _run(v, jobs.dedup_messages(_stream(v, "fx_task_events"), "ts", "1000 hours").select("task_id", "retry_count"))
 
 
 @job("st_event_counts", "fx_task_events", """
@@ -92,7 +84,7 @@ SELECT *, CASE WHEN from_status IS NULL OR from_status = to_status THEN true ELS
   'PENDING>QUEUED', 'PENDING>CANCELLED', 'QUEUED>PROCESSING', 'QUEUED>CANCELLED', 'PROCESSING>COMPLETED', 'PROCESSING>FAILED', 'PROCESSING>CANCELLED',
   'FAILED>RETRYING', 'FAILED>DEAD', 'RETRYING>PROCESSING', 'RETRYING>FAILED', 'RETRYING>DEAD') END AS legal FROM p""")
 def _(v):
-    return _run(v, state.task_state(_stream(v, "fx_task_events")))
+    return _run(v, state.task_state(_stream(v, "fx_task_events"), keep_hours=24 * 366))
 
 
 @job("st_stuck_alerts", "fx_task_events", """
@@ -109,9 +101,9 @@ def _(v):
 SELECT upload_id, coalesce(array_to_string(idx, ','), '') AS chunks, CAST(coalesce(len(idx), 0) AS INT) AS done,
   CASE WHEN total_chunks > 0 THEN CAST(floor(coalesce(len(idx), 0) * 100.0 / total_chunks) AS INT) ELSE 0 END AS progress FROM c""")
 def _(v):
-    sessions = v("fx_chunk_sessions").select("upload_id", "total_chunks", "created_at")
+    sessions = v("fx_chunk_sessions").select("upload_id", "total_chunks")
     acks = _stream(v, "fx_chunk_acks").join(sessions, "upload_id")
-    done = _run(v, jobs.upload_progress(acks), mode="update")
+    done = state.newest_progress(_run(v, state.upload_progress(acks), idle_batches=False))
     return done.withColumn("chunks", F.array_join("chunks", ","))
 
 

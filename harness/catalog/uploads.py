@@ -71,12 +71,13 @@ def _(v):
 , p AS (SELECT upload_id, CAST(id % 6 AS INT) AS i, CAST(uploaded_chunks AS INT[]) AS c, status <> 0 AS shut FROM fx_uploads)
 SELECT upload_id, i AS chunk_index, list_contains(c, i) AS already,
   array_to_string(CASE WHEN shut OR list_contains(c, i) THEN c ELSE list_append(c, i) END, ',') AS chunks_after,
-  CAST(len(c) + CASE WHEN shut OR list_contains(c, i) THEN 0 ELSE 1 END AS INT) AS count_after FROM p""")
+  CAST(len(c) + CASE WHEN shut OR list_contains(c, i) THEN 0 ELSE 1 END AS INT) AS count_after,
+  CASE WHEN NOT shut AND NOT list_contains(c, i) THEN TIMESTAMP '2024-01-15 10:00:00' END AS updated_at FROM p""")
 def _(v):
     indexed = v("fx_uploads").withColumn("chunk_index", (F.col("id") % 6).cast("int"))
-    return uploads.chunk_set_ops(indexed).select(
+    return uploads.chunk_set_ops(indexed, moment("2024-01-15 10:00:00")).select(
         "upload_id", "chunk_index", "already",
-        F.array_join("chunks_after", ",").alias("chunks_after"), "count_after",
+        F.array_join("chunks_after", ",").alias("chunks_after"), "count_after", "updated_at",
     )
 
 
@@ -219,7 +220,8 @@ def _(v):
     WHEN len(c.idx) <> c.total_chunks THEN 20004 WHEN m.failed THEN 20009 ELSE 0 END AS code
   FROM chunks c LEFT JOIN m ON c.upload_id = m.upload_id)
 SELECT upload_id, status, code, CASE WHEN code = 20009 THEN 4 WHEN code = 0 AND merged_path IS NOT NULL THEN 2 WHEN code = 0 THEN 1 ELSE status END AS new_status,
-  CASE WHEN code = 0 THEN coalesce(merged_path, storage_path) ELSE storage_path END AS storage_path FROM j""")
+  CASE WHEN code = 0 THEN coalesce(merged_path, storage_path) ELSE storage_path END AS storage_path,
+  CASE WHEN code IN (0, 20009) THEN TIMESTAMP '1998-01-01' END AS updated_at FROM j""")
 def _(v):
     sessions = v("fx_chunk_sessions")
     merges = sessions.filter("id % 3 <> 0").select(

@@ -9,6 +9,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediaops.session import scratch
 
 BUCKET = "media"
 
@@ -193,13 +196,24 @@ def with_views(*names: str) -> str:
     return ",\n".join(seen.values())
 
 
+#: Tables that streams read, with the time by which their rows come, and the batches they come in.
+STREAMED = {"events": "ts", "lineitem": "l_shipdate"}
+BATCHES = 3
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view over one table, read as a file stream."""
+    """A fixture view over one table, read as a file stream in ``BATCHES`` micro-batches, in order of time.
+
+    Files of a stream are taken in the order of their writing, so the table's thirds are written one after another.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     (dep,), sql = VIEWS[name]
-    source = (
-        spark.readStream.schema(table(spark, sf_dir, dep).schema)
-        .option("pathGlobFilter", f"{dep}.parquet").parquet(sf_dir)
-    )
+    rows, at, folder = table(spark, sf_dir, dep), F.col(STREAMED[dep]), scratch(spark, f"feed-{dep}")
+    cuts = rows.select(F.percentile_approx(STREAMED[dep], [k / BATCHES for k in range(1, BATCHES)], 10_000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.filter(at >= low)
+        part = part if high is None else part.filter((at < high) | at.isNull())
+        part.coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     source.createOrReplaceTempView(dep)
     return spark.sql(sql.replace("AS DATETIME)", "AS TIMESTAMP_NTZ)"))

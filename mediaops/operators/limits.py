@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from mediaops.functions.columns import micros
 from mediaops.operators.ordered import (
-    HOUR, PART, SLICE, in_order, parts_in_order, row_position, trailing_count, with_slice,
+    HOUR, PART, SLICE, in_order, parts_in_order, row_position, trailing_count, whole_parts, with_slice,
 )
 
 NEVER = -(1 << 60)
@@ -69,22 +69,6 @@ def sliding_rate(
 # One pass makes the tables of many slices at once, one carries state over the slices of a key, one
 # places the requests. The passes work on flat arrays; a slice is all that is ever held together.
 
-def _chunks(batches, last: int):
-    """Record batches joined and cut again so that each holds whole parts only. ``last`` is the column of
-    the flag of a part's last row."""
-    import pyarrow as pa
-
-    held = []
-    for batch in batches:
-        ends = np.flatnonzero(np.asarray(batch.column(last)))
-        if not len(ends):
-            held.append(batch)
-            continue
-        cut = int(ends[-1]) + 1
-        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-        held = [batch.slice(cut)] if cut < batch.num_rows else []
-
-
 def _window_links(at: np.ndarray, last: np.ndarray, width: int):
     """``(first, stop, follow)`` of every row: where its part begins and ends, and, if a window opens at
     this row, which row of the part opens the next one (or the part's end)."""
@@ -142,12 +126,12 @@ def rate_anchored(
 
 def _slice_tables(rows: DataFrame, width: int) -> DataFrame:
     """Per part its number of rows and, for entries in order, ``upto``, ``leaves`` and ``held``."""
-    chunks, links, openers = _chunks, _window_links, _last_openers
+    links, openers = _window_links, _last_openers
 
     def run(batches):
         import pyarrow as pa
 
-        for chunk in chunks(batches, 2):
+        for chunk in whole_parts(batches, 2):
             at, last = np.asarray(chunk.column(1)), np.asarray(chunk.column(2))
             first, stop, follow = links(at, last, width)
             opener = openers(follow, stop)
@@ -201,12 +185,12 @@ def _enter_slices(tables: DataFrame, key: str, width: int) -> DataFrame:
 
 def _place(rows: DataFrame, columns: list[str], width: int) -> DataFrame:
     """The rows with ``opened_at`` and ``place``."""
-    chunks, links, n = _chunks, _window_links, len(columns)
+    links, n = _window_links, len(columns)
 
     def run(batches):
         import pyarrow as pa
 
-        for chunk in chunks(batches, n + 1):
+        for chunk in whole_parts(batches, n + 1):
             at, last, free_from, carried = (np.asarray(chunk.column(n + i)) for i in range(4))
             first, stop, follow = links(at, last, width)
             here = np.arange(len(at))

@@ -42,6 +42,23 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], last: str) -> Dat
     return rows.withColumn(last, F.lead(F.lit(True)).over(over).isNull())
 
 
+def whole_parts(batches, last: int):
+    """Record batches of ``in_order`` joined and cut again so that each holds whole parts only. ``last`` is the
+    place of the flag of a part's last row."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        ends = np.flatnonzero(np.asarray(batch.column(last)))
+        if not len(ends):
+            held.append(batch)
+            continue
+        cut = int(ends[-1]) + 1
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+        held = [batch.slice(cut)] if cut < batch.num_rows else []
+
+
 def parts_in_order(parts: DataFrame, keys: list[str], last: str) -> DataFrame:
     """Rows that stand for a part (``PART``), slice after slice of each key, with ``last`` true for the key's last."""
     over = _over_parts(keys).orderBy(f"{PART}.{SLICE}")
@@ -79,26 +96,33 @@ def neighbour(
     )
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str
+def running_totals(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, outs: dict[str, list[str]], wholes: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Adds the sum of the value over the key's rows up to and including this one."""
+    """Adds running sums of the value up to and including each row: for every name in ``outs`` over the rows
+    alike in those first ``keys``, in the order of the other keys, the slice and ``order``. For every name in ``wholes`` adds
+    their whole sum. Rows are shuffled once, by all keys and the slice."""
     rows = _parted(df.withColumn("_value", value), keys)
     local = Window.partitionBy(PART).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    before = _over_parts(keys).orderBy(f"{PART}.{SLICE}").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(PART).agg(F.sum("_value").alias("_sum"))
-        .withColumn("_carried", F.sum("_sum").over(before))
-        .drop("_sum")
-    )
-    placed = rows.withColumn("_local", F.sum("_value").over(local))
-    return (
-        placed.join(carry, PART, "left")
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0)))
-        .drop(PART, "_value", "_local", "_carried")
-    )
+    carry = rows.groupBy(PART).agg(F.sum("_value").alias("_sum"))
+    for out, some in outs.items():
+        before = _over_parts(some).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        carry = carry.withColumn(f"_carried_{out}", F.sum("_sum").over(before))
+    for out, some in (wholes or {}).items():
+        carry = carry.withColumn(out, F.sum("_sum").over(_over_parts(some)))
+    done = rows.withColumn("_local", F.sum("_value").over(local)).join(carry.drop("_sum"), PART, "left")
+    for out in outs:
+        done = done.withColumn(out, F.col("_local") + F.coalesce(F.col(f"_carried_{out}"), F.lit(0)))
+    return done.drop(PART, "_value", "_local", *(f"_carried_{out}" for out in outs))
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str
+) -> DataFrame:
+    """Adds the sum of the value over the key's rows up to and including this one."""
+    return running_totals(df, keys, order, value, {out: keys})
 
 
 def row_position(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
-from mediaops.operators.ordered import HOUR, PART, SLICE, running_total, with_slice
+from mediaops.operators.ordered import HOUR, PART, SLICE, running_totals, with_slice
 from mediaops.session import materialise
 
 def remaining(quota: str, used: str) -> Column:
@@ -64,14 +64,15 @@ def _with_periods(calls: DataFrame) -> DataFrame:
 
 
 def quota_running_usage(
-    calls: DataFrame, daily: int = s.DEFAULT_QUOTA_DAILY, monthly: int = s.DEFAULT_QUOTA_MONTHLY
+    calls: DataFrame, daily: int = s.DEFAULT_QUOTA_DAILY, monthly: int = s.DEFAULT_QUOTA_MONTHLY, slice_seconds: int = HOUR
 ) -> DataFrame:
     """Tokens used so far in the user's day and month at each call, and whether this is the
-    call that crosses either quota."""
-    rows = with_slice(_with_periods(calls), "created_at", HOUR)
-    order, tokens = ["created_at", "id"], F.col("total_tokens")
-    by_day = running_total(rows, ["user_id", "month", "day"], order, tokens, "day_tokens")
-    both = running_total(by_day, ["user_id", "month"], order, tokens, "month_tokens")
+    call that crosses either quota. One shuffle of the calls; what earlier slices of the day and the month used is carried
+    by sums per slice. Choose slices of at most a day that suit one task."""
+    rows = with_slice(_with_periods(calls), "created_at", slice_seconds)
+    tokens = F.col("total_tokens")
+    both = running_totals(rows, ["user_id", "month", "day"], ["created_at", "id"], tokens, {
+        "day_tokens": ["user_id", "month", "day"], "month_tokens": ["user_id", "month"]})
 
     def crosses(total: str, quota: int) -> Column:
         return (F.col(total) > quota) & (F.col(total) - tokens <= quota)

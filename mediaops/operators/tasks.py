@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.functions import columns as fn
+from mediaops.operators.ordered import SLICE, running_totals
 
 FOUND, NOT_FOUND = "FOUND", "NOT_FOUND"
 
@@ -128,26 +129,43 @@ def processing_time_stats(tasks: DataFrame, exact: bool = True) -> DataFrame:
     return percentiles(timed, ["day"], "ms", exact)
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> DataFrame:
-    """p50, p95, maximum and count of a whole-number column.
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, exact: bool = True, sums: dict[str, Column] | None = None, bucket: int = 4096
+) -> DataFrame:
+    """p50, p95, maximum and count of a whole-number column, and the ``sums`` asked for; nulls are not counted.
 
-    Equal values are counted first; the percentile then works on (value, frequency), so a key
-    with very many rows costs only its distinct values. The approximate form bounds even that.
+    Equal values are counted first. The exact form then finds ranks by running sums of those counts, cut into
+    buckets of ``bucket`` values: no key gathers its values anywhere, and a task holds one bucket's at most. Between two
+    ranks the percentile is interpolated. The approximate form is a mergeable sketch.
     """
+    sums = sums or {}
+    v = F.col(value)
     if not exact:
         return df.groupBy(*keys).agg(
             F.percentile_approx(value, 0.5, 10_000).alias("p50"),
             F.percentile_approx(value, 0.95, 10_000).alias("p95"),
             F.max(value).alias("max"),
             F.count(value).alias("n"),
+            *(F.sum(c).alias(name) for name, c in sums.items()),
         )
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*keys).agg(
-        F.percentile(value, 0.5, F.col("_n")).alias("p50"),
-        F.percentile(value, 0.95, F.col("_n")).alias("p95"),
-        F.max(value).alias("max"),
-        F.sum("_n").alias("n"),
-    )
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n"), *(F.sum(c).alias(name) for name, c in sums.items()))
+    placed = running_totals(
+        counted.withColumn(SLICE, F.floor(v / bucket)), keys, [value], F.col("_n"), {"_upto": keys}, {"_all": keys}).drop(SLICE)
+
+    def at(share: float, name: str) -> list[Column]:
+        """The values at the two ranks around the percentile, and how far it lies between them."""
+        rank = (F.col("_all") - 1) * F.lit(share)
+        held = [F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), v)) for k in (F.floor(rank), F.ceil(rank))]
+        return [held[0].alias(f"_low_{name}"), held[1].alias(f"_high_{name}"), F.max(rank - F.floor(rank)).alias(f"_part_{name}")]
+
+    found = placed.groupBy(*keys).agg(
+        *at(0.5, "p50"), *at(0.95, "p95"), F.max(value).alias("max"), F.sum("_n").alias("n"), *(F.sum(name).alias(name) for name in sums))
+
+    def between(name: str) -> Column:
+        low, high, part = (F.col(f"_{x}_{name}") for x in ("low", "high", "part"))
+        return ((1 - part) * low + part * high).alias(name)
+
+    return found.select(*keys, between("p50"), between("p95"), "max", "n", *sums)
 
 
 def retry_health(tasks: DataFrame) -> DataFrame:

@@ -186,7 +186,12 @@ def missing_chunks(acks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def compose_manifest(acks: DataFrame, sessions: DataFrame, day: Column) -> DataFrame:
     """Per complete upload: chunk paths in order and the path of the composed file."""
-    full = uploaded_chunks(acks, sessions).filter(
+    return manifest_of(uploaded_chunks(acks, sessions), day)
+
+
+def manifest_of(chunked: DataFrame, day: Column) -> DataFrame:
+    """The same for sessions with their ``chunks``."""
+    full = chunked.filter(
         (F.col("total_chunks") > 0) & (F.size("chunks") == F.col("total_chunks"))
     )
     return full.select(
@@ -199,28 +204,37 @@ def compose_manifest(acks: DataFrame, sessions: DataFrame, day: Column) -> DataF
     )
 
 
-def chunk_set_ops(sessions: DataFrame) -> DataFrame:
-    """Parses the JSON chunk list and adds ``chunk_index`` if absent, while the session is uploading."""
+def chunk_set_ops(sessions: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Parses the JSON chunk list and adds ``chunk_index`` if absent, while the session is uploading. With ``as_of`` a
+    session that gets a chunk gets its time of change too."""
     chunks, index = fn.chunk_list(F.col("uploaded_chunks")), F.col("chunk_index")
     added = F.when(F.col("status") == s.UPLOADING, fn.add_chunk(F.col("chunks"), index))
-    return (
+    done = (
         sessions.withColumn("chunks", chunks)
         .withColumn("already", F.array_contains("chunks", index))
         .withColumn("chunks_after", F.coalesce(added, F.col("chunks")))
         .withColumn("count_after", F.size("chunks_after"))
     )
+    return done if as_of is None else touched(done, F.col("count_after") > F.size("chunks"), as_of)
 
 
 def session_status_update(
     sessions: DataFrame, acks: DataFrame, merges: DataFrame, as_of: Column
 ) -> DataFrame:
+    """``complete_sessions`` with the chunks that the acknowledgements give."""
+    return complete_sessions(uploaded_chunks(acks, sessions), merges, as_of)
+
+
+def complete_sessions(chunked: DataFrame, merges: DataFrame, as_of: Column) -> DataFrame:
     """Outcome of completing each session in ``merges(upload_id, merged_path, failed)``.
 
     Only a live session still uploading may complete, and only with every chunk present; it
     then ends merged with its path, or merge-failed. Without a merge row a complete session
     waits as uploaded. Other sessions keep their state and get the code the caller would see.
+    ``chunked``: the sessions with ``chunks``, as ``uploaded_chunks`` gives them. ``updated_at`` is set where the status or
+    the path changes.
     """
-    state = uploaded_chunks(acks, sessions).join(merges, "upload_id", "left")
+    state = chunked.join(merges, "upload_id", "left")
     full = F.size("chunks") == F.col("total_chunks")
     code = (
         F.when(F.col("expired_at") < as_of, 20002)
@@ -230,7 +244,7 @@ def session_status_update(
         .otherwise(s.OK)
     )
     merged = F.col("code").isin(s.OK) & F.col("merged_path").isNotNull()
-    return (
+    return touched(
         state.withColumn("code", code)
         .withColumn(
             "new_status",
@@ -239,9 +253,9 @@ def session_status_update(
             .when(F.col("code") == s.OK, s.UPLOADED)
             .otherwise(F.col("status").cast("int")),
         )
-        .withColumn("storage_path", F.when(merged, F.col("merged_path")).otherwise(F.col("storage_path")))
-        .select("upload_id", "status", "code", "new_status", "storage_path")
-    )
+        .withColumn("storage_path", F.when(merged, F.col("merged_path")).otherwise(F.col("storage_path"))),
+        F.col("code").isin(s.OK, 20009), as_of,
+    ).select("upload_id", "status", "code", "new_status", "storage_path", "updated_at")
 
 
 # ---- objects ----

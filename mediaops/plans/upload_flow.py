@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediaops import schemas as s
 from mediaops.functions import rules
 from mediaops.operators import uploads
+from mediaops.session import materialise
 
 
 def init_uploads(
@@ -39,9 +40,10 @@ def init_uploads(
 
 
 def complete_uploads(sessions: DataFrame, acks: DataFrame, as_of: Column) -> DataFrame:
-    """Completes every session that can be: state after the merge, with the composed path."""
-    manifest = uploads.compose_manifest(acks, sessions, as_of)
-    merges = manifest.select(
+    """Completes every session that can be: state after the merge, with the composed path. The chunk sets are
+    made once."""
+    chunked = materialise(uploads.uploaded_chunks(acks, sessions), "chunked")
+    merges = uploads.manifest_of(chunked, as_of).select(
         "upload_id", F.col("target_path").alias("merged_path"), F.lit(False).alias("failed")
     )
-    return uploads.session_status_update(sessions, acks, merges, as_of)
+    return uploads.complete_sessions(chunked, merges, as_of)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mediaops import schemas as s
 from mediaops.functions import columns as fn
 from mediaops.operators import tasks
 from mediaops.sources import topics
@@ -31,25 +30,35 @@ def use_rocksdb(stream: DataFrame) -> DataFrame:
     return stream
 
 
+def _started(stream: DataFrame, writer, available_now: bool, idle_batches: bool) -> StreamingQuery:
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(setting)
+    conf.set(setting, str(before == "true" and idle_batches).lower())
+    try:  # the query keeps the settings it was started with
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(setting, before)
+
+
 def start(
-    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = False
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = False, idle_batches: bool = True
 ) -> StreamingQuery:
     """Starts a stream into a Parquet folder, with its state in RocksDB."""
     writer = (
         use_rocksdb(stream).writeStream.format("parquet").outputMode(mode)
         .option("path", path).option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _started(stream, writer, available_now, idle_batches)
 
 
 def start_batches(
-    stream: DataFrame, handle, checkpoint: str, mode: str = "append", available_now: bool = False
+    stream: DataFrame, handle, checkpoint: str, mode: str = "append", available_now: bool = False, idle_batches: bool = True
 ) -> StreamingQuery:
     """Starts a stream whose batches go through ``handle(frame, batch_id)``."""
     writer = (
         use_rocksdb(stream).writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _started(stream, writer, available_now, idle_batches)
 
 
 def dedup_messages(messages: DataFrame, ts: str = "sent_at", delay: str = "1 hour") -> DataFrame:
@@ -124,28 +133,6 @@ def upload_bursts(
     )
 
 
-def upload_progress(
-    acks: DataFrame, hours: int = s.SESSION_HOURS, every: str = "1 hour"
-) -> DataFrame:
-    """Chunk set and whole percent of every upload a batch touched; write in update mode.
-
-    ``acks(upload_id, chunk_index, total_chunks, created_at)``, the last being the session's
-    start. The watermark follows it at the session's lifetime, so the engine forgets a chunk set
-    when its session has expired and drops chunks that come later still.
-    """
-    index = F.col("chunk_index")
-    in_range = (index >= 0) & (index < F.col("total_chunks"))
-    return (
-        with_event_time(acks, "created_at", f"{hours} hours")
-        .groupBy(F.window("created_at", every), "upload_id", "total_chunks")
-        .agg(F.sort_array(F.collect_set(F.when(in_range, index))).alias("chunks"))
-        .select(
-            "upload_id", "chunks", F.size("chunks").alias("done"),
-            fn.percent(F.size("chunks"), F.col("total_chunks")).alias("progress"),
-        )
-    )
-
-
 LETTER = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
 #: Buckets of letters whose task id does not tell its day.
 SPREAD = 64

@@ -1,8 +1,9 @@
-"""Per-task state kept by the stream engine.
+"""State that a stream keeps per task or upload.
 
-The state of a key travels to Python together with its rows in Arrow batches, so a key costs no
-round trip of its own. A key's rows of one micro-batch are sorted together; the source's
-``maxOffsetsPerTrigger`` (or ``maxFilesPerTrigger``) bounds how many that can be.
+Task states and chunk sets are typed states of a stateful processor, in RocksDB: a value with a timer, and a map with a time
+to live. Stuck alerts hand their one number to Python together with the rows, in Arrow batches. A key's
+rows of one micro-batch are sorted together; the source's ``maxOffsetsPerTrigger`` (or
+``maxFilesPerTrigger``) bounds how many that can be.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mediaops import schemas as s
@@ -22,39 +24,119 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts", "seq"])
 
 
-def task_state(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Live status per task. ``events(task_id, seq, ts, status)``: every event comes out with the
-    status before it and whether the declared relation allows the move; filter on ``legal`` for
-    the side output of moves that should not happen."""
-    allowed = frozenset(s.DECLARED_MOVES)
+class TaskTracker(StatefulProcessor):
+    """The last status of a task; that of a settled task is forgotten ``keep_ms`` after its last event."""
+
+    def __init__(self, moves: frozenset, final: frozenset, keep_ms: int):
+        self.moves, self.final, self.keep_ms = moves, final, keep_ms
 
-    def advance(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        status = state.get[0] if state.exists else None
-        rows = _ordered(batches)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.status = handle.getValueState("status", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.status.get()
+        status = known[0] if known else None
+        events = _ordered(rows)
         before = []
-        for now in rows["status"]:
+        for now in events["status"]:
             before.append(status)
             status = now
-        state.update((status,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = int(events["at_ms"].iloc[-1]) + self.keep_ms
+        if status in self.final and due <= timerValues.getCurrentWatermarkInMs():
+            self.status.clear()
+        else:
+            self.status.update((status,))
+            if status in self.final:
+                self.handle.registerTimer(due)
         yield pd.DataFrame({
-            "task_id": rows["task_id"].to_numpy(),
-            "seq": rows["seq"].to_numpy(),
+            "task_id": events["task_id"].to_numpy(),
+            "seq": events["seq"].to_numpy(),
             "from_status": before,
-            "to_status": rows["status"].to_numpy(),
+            "to_status": events["status"].to_numpy(),
             "legal": [
-                old is None or old == new or (old, new) in allowed
-                for old, new in zip(before, rows["status"])
+                old is None or old == new or (old, new) in self.moves
+                for old, new in zip(before, events["status"])
             ],
         })
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.status.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def task_state(events: DataFrame, delay: str = "10 minutes", keep_hours: int = 24 * 7) -> DataFrame:
+    """Live status per task. ``events(task_id, seq, ts, status)``: every event comes out with the
+    status before it and whether the declared relation allows the move; filter on ``legal`` for
+    the side output of moves that should not happen.
+
+    A task in a final status is forgotten once the watermark is ``keep_hours`` past its last event; an event that comes
+    later still starts anew, with no status before it.
+    """
     timed = with_event_time(events.select("task_id", "seq", "ts", "status"), "ts", delay)
-    return use_rocksdb(timed).groupBy("task_id").applyInPandasWithState(
-        advance,
-        "task_id string, seq long, from_status string, to_status string, legal boolean",
-        "status string", "append", GroupStateTimeout.NoTimeout,
+    return use_rocksdb(timed.withColumn("at_ms", F.unix_millis("ts"))).groupBy("task_id").transformWithStateInPandas(
+        TaskTracker(frozenset(s.DECLARED_MOVES), frozenset(s.FINAL_STATUSES), keep_hours * 3_600_000),
+        "task_id string, seq long, from_status string, to_status string, legal boolean", "Append", "EventTime",
     )
 
 
+class ChunkSet(StatefulProcessor):
+    """The chunks of an upload, each remembered for ``keep_ms`` by the clock."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chunks = handle.getMapState("chunks", "chunk_index int", "version long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        acks = pd.concat(list(rows))
+        totals = acks["total_chunks"].dropna()
+        total = int(totals.iloc[0]) if len(totals) else 0
+        named = {int(i) for i in acks["chunk_index"].dropna() if 0 <= i < total}
+        known, version = set(), 0
+        if self.chunks.exists():
+            for (index,), (at,) in self.chunks.iterator():
+                known.add(index)
+                version = max(version, at)
+        added = sorted(named - known)
+        for index in added:
+            self.chunks.updateValue((index,), (version + 1,))
+        done = len(known) + len(added)
+        yield pd.DataFrame({
+            "upload_id": [key[0]], "version": [version + 1], "added": [added], "done": [done],
+            "progress": [100 * done // total if total else 0],
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def upload_progress(acks: DataFrame, hours: float = s.SESSION_HOURS) -> DataFrame:
+    """What each micro-batch adds to the uploads it touches: the chunks that are new, how many are there now, and the whole percent.
+
+    ``acks(upload_id, chunk_index, total_chunks)``; chunks out of range count for nothing. A chunk is forgotten ``hours`` after it
+    came, by the clock, as sessions end then. ``newest_progress`` reads what was written. Start it with
+    ``idle_batches=False``: by the clock there is always another batch to run.
+    """
+    return use_rocksdb(acks.select("upload_id", "chunk_index", "total_chunks")).groupBy("upload_id").transformWithStateInPandas(
+        ChunkSet(int(hours * 3_600_000)), "upload_id string, version long, added array<int>, done int, progress int", "Append", "ProcessingTime",
+    )
+
+
+def newest_progress(written: DataFrame) -> DataFrame:
+    """``upload_id, chunks, done, progress`` of every upload, from all that ``upload_progress`` has written."""
+    latest = F.struct("version", "done")
+    return written.groupBy("upload_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("added")))).alias("chunks"),
+        F.max_by("done", latest).alias("done"), F.max_by("progress", latest).alias("progress"))
+
+
 def stuck_alerts(events: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
     """Alerts for tasks in processing with no event for longer than the bound.
 

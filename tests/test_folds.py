@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.operators import commands, costs, events, limits, ordered, quotas
+from mediaops.operators.tasks import percentiles
 
 T0 = datetime.datetime(2024, 1, 30, 20, 0, 0)
 
@@ -169,6 +171,46 @@ def test_failure_streaks(spark):
     assert got == [("m", 3, _at(120)), ("n", 4, _at(320))]
 
 
+@pytest.mark.parametrize("slice_seconds", [60, 600, 10**6])
+def test_failure_streaks_over_slices(spark, slice_seconds):
+    rng = random.Random(slice_seconds)
+    rows = [(i, rng.choice(["m", "m", None]), rng.choice([2, 2, 2, 1, None]), None if rng.random() < 0.02 else _at(rng.randrange(300))) for i in range(400)]
+    want, run = [], []
+    for model in ("m", None):
+        own = sorted((r for r in rows if r[1] == model), key=lambda r: (r[3] is not None, r[3] or T0, r[0]))
+        for r in [*own, (0, model, 1, None)]:
+            if r[2] == 2:
+                run.append(r)
+            elif run:
+                want.append((model, len(run), run[0][3], run[-1][3]))
+                run = []
+    frame = spark.createDataFrame(rows, "id long, model string, status int, created_at timestamp_ntz")
+    got = costs.failure_streaks(frame, 2, slice_seconds).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (w for w in want if w[1] >= 2)))
+    assert costs.failure_streaks(frame.limit(0)).collect() == []
+
+
+def test_percentiles_by_ranks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abb"), rng.choice([None, *range(-50, 5000, 7)])) for _ in range(600)] + [("one", 5), ("none", None)]
+    got = {r.k: r for r in percentiles(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", bucket=100).collect()}
+    for k in "ab":
+        own = [v for name, v in rows if name == k and v is not None]
+        assert abs(got[k].p50 - np.percentile(own, 50)) < 1e-9 and abs(got[k].p95 - np.percentile(own, 95)) < 1e-9
+        assert (got[k].max, got[k].n) == (max(own), len(own))
+    assert tuple(got["one"])[1:] == (5, 5, 5, 1) and tuple(got["none"])[1:] == (None, None, None, 0)
+
+
+def test_lineage_keeps_links_without_an_id(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "id long, username string")
+    uploads = spark.createDataFrame([(1, "u1", "f"), (1, None, "g"), (None, "u3", "h")], "user_id long, upload_id string, file_name string")
+    tasks = spark.createDataFrame([("u1", "t1", "DEAD"), ("u1", None, "FAILED"), (None, "t3", "DEAD")], "upload_id string, task_id string, status string")
+    calls = spark.createDataFrame([("t1", 1, "m", 5), (None, 2, "m", 6)], "task_id string, id long, model string, total_tokens long")
+    got = {tuple(r) for r in costs.task_lineage(users, uploads, tasks, calls).collect()}
+    assert got == {(1, "a", "u1", "f", "t1", "DEAD", 1, "m", 5), (1, "a", "u1", "f", None, "FAILED", None, None, None),
+                   (1, "a", None, "g", None, None, None, None, None), (2, "b", None, None, None, None, None, None, None)}
+
+
 def test_audit_and_dwell_across_slices(spark):
     path = ["PENDING", "QUEUED", "PROCESSING", "FAILED", "FAILED", "COMPLETED"]
     rows = [(i, "t", _at(i * 50), status) for i, status in enumerate(path)]

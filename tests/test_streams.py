@@ -87,22 +87,47 @@ def test_stuck_alerts_by_timer_and_by_gap(spark, tmp_path):
     assert got == [("gap", _at(0)), ("quiet", _at(5))]
 
 
+def _state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_of_settled_tasks_goes(spark, tmp_path):
+    feed = _feed(
+        spark, tmp_path, EVENT,
+        _events(*[(f"t{i}", i, 0, "PROCESSING") for i in range(6)]), _events(*[(f"t{i}", 10 + i, 5, "COMPLETED") for i in range(5)]),
+        _events(("late", 20, 300, "QUEUED")), _events(("late", 21, 301, "PROCESSING"), ("t5", 22, 302, "FAILED")), _events(("t5", 23, 303, "RETRYING")),
+    )
+    out = str(tmp_path / "out")
+    query = jobs.start(state.task_state(feed, keep_hours=1), out, str(tmp_path / "progress"), available_now=True)
+    query.awaitTermination(120)
+    rows = {r.seq: (r.from_status, r.legal) for r in spark.read.parquet(out).collect()}
+    assert len(rows) == 15 and rows[10] == ("PROCESSING", True) and rows[22] == ("PROCESSING", True) and rows[23] == ("FAILED", True)
+    assert max(_state_rows(query)) >= 6 and _state_rows(query)[-1] < max(_state_rows(query))
+
+
 def test_upload_progress_over_batches(spark, tmp_path):
-    schema = "upload_id string, chunk_index int, total_chunks int, created_at timestamp_ntz"
-    rows = [("a", 0, 3, T0), ("a", 0, 3, T0), ("b", 1, 2, T0)], [("a", 2, 3, T0), ("a", 7, 3, T0)], [("a", 1, 3, T0)]
-    feed = _feed(spark, tmp_path, schema, *rows)
-    seen = []
-    jobs.start_batches(
-        jobs.upload_progress(feed), lambda df, n: seen.append({r.upload_id: r.progress for r in df.collect()}),
-        str(tmp_path / "progress"), "update", available_now=True,
-    ).awaitTermination(120)
-    assert [b for b in seen if b] == [{"a": 33, "b": 50}, {"a": 66}, {"a": 100}]
-    flat = [r for batch in rows for r in batch]
-    acks = spark.createDataFrame(flat, schema).select("upload_id", "chunk_index")
+    schema = "upload_id string, chunk_index int, total_chunks int"
+    rows = ([("a", 0, 3), ("a", 0, 3), ("b", 1, 2), ("z", 0, 0), ("n", None, None)], [("a", 2, 3), ("a", 7, 3), ("a", -1, 3)], [("a", 2, 3)], [("a", 1, 3)])
+    feed, out = _feed(spark, tmp_path, schema, *rows), str(tmp_path / "out")
+    stream = state.upload_progress(feed)
+    jobs.start(stream, out, str(tmp_path / "progress"), available_now=True, idle_batches=False).awaitTermination(120)
+    written = spark.read.schema(stream.schema).parquet(out)
+    assert sorted((r.added, r.done, r.progress) for r in written.filter("upload_id = 'a'").collect()) == [([], 2, 66), ([0], 1, 33), ([1], 3, 100), ([2], 2, 66)]
+    newest = {r.upload_id: (r.chunks, r.done, r.progress) for r in state.newest_progress(written).collect()}
+    assert newest == {"a": ([0, 1, 2], 3, 100), "b": ([1], 1, 50), "z": ([], 0, 0), "n": ([], 0, 0)}
+    acks = spark.createDataFrame([r for batch in rows for r in batch], schema).select("upload_id", "chunk_index")
     sessions = spark.createDataFrame([("a", 3, 0), ("b", 2, 0)], "upload_id string, total_chunks int, status int")
     assert {r.upload_id: r.progress for r in uploads.upload_progress(acks, sessions).collect()} == {"a": 100, "b": 50}
 
 
+def test_chunks_are_forgotten_after_their_time(spark, tmp_path):
+    schema, out, progress = "upload_id string, chunk_index int, total_chunks int", str(tmp_path / "out"), str(tmp_path / "progress")
+    feed = _feed(spark, tmp_path, schema, [("a", 0, 2)], [("a", 1, 2)], [("a", 1, 2)])
+    stream = state.upload_progress(feed, hours=1e-6)  # a few milliseconds
+    jobs.start(stream, out, progress, available_now=True, idle_batches=False).awaitTermination(120)
+    assert {r.done for r in spark.read.schema(stream.schema).parquet(out).collect()} == {1}
+
+
 def test_dead_letters_keep_one_row_across_batches(spark, tmp_path):
     schema = "task_id string, retry_count int, error string, sent_at timestamp_ntz"
     feed = _feed(
