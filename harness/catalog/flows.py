@@ -43,7 +43,7 @@ def _(v):
 # Tasks that have a message and may start; the number in the url scripts the outcome.
 @job("flow_worker", "fx_tasks fx_task_events", """
 , t AS (SELECT t.*, t.task_id IN (SELECT task_id FROM fx_task_events) AND coalesce(t.status, '') IN ('PENDING', 'QUEUED', 'RETRYING') AS taken FROM fx_tasks t)
-, r AS (SELECT *, taken AND id % 7 NOT IN (0, 2) AS ok, taken AND id % 7 IN (0, 2) AS bad, coalesce(retry_count < max_retry, false) AS can FROM t)
+, r AS (SELECT *, taken AND id % 7 NOT IN (0, 2, 3) AS ok, taken AND id % 7 IN (0, 2, 3) AS bad, coalesce(retry_count < max_retry, false) AS can FROM t)
 SELECT task_id, CASE WHEN ok THEN 'COMPLETED' WHEN bad AND can THEN 'RETRYING' WHEN bad THEN 'DEAD' ELSE status END AS status,
   CASE WHEN ok THEN 100 WHEN bad THEN 20 ELSE progress END AS progress, CASE WHEN bad AND can THEN retry_count + 1 ELSE retry_count END AS retry_count,
   CASE WHEN ok THEN 'COMPLETED' WHEN bad AND can THEN 'RETRYING' WHEN bad THEN 'DEAD' END AS event, CASE WHEN bad AND can THEN retry_count + 1 END AS message_retry,

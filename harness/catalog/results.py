@@ -85,8 +85,8 @@ def _(v):
 
 
 class ScriptedClient:
-    """Answers by the number in the url, the same on every run: always refused, refused twice,
-    broken, or fine."""
+    """Answers by the number in the url, the same on every run: always refused by code, refused twice by
+    the message, broken, raising, or fine."""
 
     def __init__(self):
         self.calls = {}
@@ -94,17 +94,22 @@ class ScriptedClient:
     def __call__(self, url, prompt):
         number = int(url.rsplit("_", 1)[1].split(".")[0])
         seen = self.calls[url] = self.calls.get(url, 0) + 1
-        if number % 7 == 0 or (number % 7 == 1 and seen <= 2):
-            raise results.RateLimited("rate")
+        if number % 7 == 0:
+            return results.Answer(429, "busy")
+        if number % 7 == 1 and seen <= 2:
+            return results.Answer(500, "over the rate")
         if number % 7 == 2:
-            raise ValueError(f"code=500, msg={number}")
-        return f"{number}: {prompt}"
+            return results.Answer(500, str(number))
+        if number % 7 == 3:
+            raise ValueError(f"no line to {number}")
+        return results.Answer(200, None, f"{number}: {prompt}")
 
 
 @job("enrich_with_retry", "fx_tasks", r"""
-SELECT task_id, id % 7 NOT IN (0, 2) AS ok, CASE id % 7 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS attempts,
-  CASE WHEN id % 7 NOT IN (0, 2) THEN CAST(id AS VARCHAR) || ': ' || CASE WHEN regexp_matches(prompt, '\S') THEN prompt ELSE '请分析这个视频的内容，按照系统提示的JSON格式返回结果。' END END AS result,
-  CASE id % 7 WHEN 0 THEN 'AI call failed after 3 retries' WHEN 2 THEN 'AI call failed: code=500, msg=' || CAST(id AS VARCHAR) END AS error FROM fx_tasks""")
+SELECT task_id, id % 7 NOT IN (0, 2, 3) AS ok, CASE id % 7 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS attempts,
+  CASE WHEN id % 7 NOT IN (0, 2, 3) THEN CAST(id AS VARCHAR) || ': ' || CASE WHEN regexp_matches(prompt, '\S') THEN prompt ELSE '请分析这个视频的内容，按照系统提示的JSON格式返回结果。' END END AS result,
+  CASE id % 7 WHEN 0 THEN 'AI call failed after 3 retries' WHEN 2 THEN 'AI call failed: code=500, msg=' || CAST(id AS VARCHAR)
+    WHEN 3 THEN 'AI call failed: no line to ' || CAST(id AS VARCHAR) END AS error FROM fx_tasks""")
 def _(v):
     done = results.enrich_with_retry(v("fx_tasks"), ScriptedClient(), delays=(0, 0, 0), parallelism=v.cores)
     ok, failed = results.split_outcomes(done)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+from itertools import count, islice
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,8 +114,16 @@ def top_tags(parsed: DataFrame, k: int = 10) -> DataFrame:
 
 # ---- calls to the AI service ----
 
-class RateLimited(Exception):
-    """The service refused the call for its rate; it may be tried again."""
+class Answer(NamedTuple):
+    """What the service says: ``code`` 200 with the body, or another code with a message."""
+
+    code: int
+    message: str | None = None
+    body: str | None = None
+
+
+#: Refused tasks that one partition keeps waiting; beyond them it takes no new ones until the first is due.
+MOST_WAITING = 10_000
 
 
 def is_rate_limit(code: int, message: str | None) -> bool:
@@ -121,39 +132,72 @@ def is_rate_limit(code: int, message: str | None) -> bool:
 
 def enrich_with_retry(
     tasks: DataFrame,
-    client: Callable[[str, str], str],
+    client: Callable[[str, str], Answer],
     delays: tuple[float, ...] = s.RETRY_DELAYS,
     parallelism: int | None = None,
+    calls_per_second: float | None = None,
 ) -> DataFrame:
     """Calls ``client(video_url, prompt)`` per task and records the outcome.
 
-    A blank prompt is replaced by the default. A rate refusal is tried again after each delay,
-    any other error is final. Returns task_id, ok, attempts, result, error. A task may be called
-    again if its executor is lost, so the client should answer repeats from a cache keyed by
-    task and prompt. ``parallelism`` bounds the calls in flight.
+    A blank prompt is replaced by the default. A refusal for the rate (``is_rate_limit`` of the answer's code and message, or of
+    a raised error's text) is tried again after each delay, any other error is final. Returns task_id, ok,
+    attempts, result, error.
+
+    A refused task waits with a due time while the partition goes on with others; it only sleeps when nothing else is
+    left to do, so delays of many tasks pass together. ``parallelism`` bounds the calls in flight, and
+    ``calls_per_second``, which needs it, those of the whole job. A task may be called again if its executor is lost, so
+    the client should answer repeats from a cache keyed by task and prompt.
     """
+    if calls_per_second and not parallelism:
+        raise ValueError("calls_per_second is shared by the partitions: say how many with parallelism")
     prompt = F.when(fn.filled(F.col("prompt")), F.col("prompt")).otherwise(s.DEFAULT_PROMPT)
     rows = tasks.select("task_id", "video_url", prompt.alias("prompt"))
     if parallelism:
         rows = rows.repartition(parallelism, "task_id")
+    pause = parallelism / calls_per_second if calls_per_second else 0.0
+    refused, columns = is_rate_limit, ["task_id", "ok", "attempts", "result", "error"]
 
-    def one(url: str, text: str) -> tuple[bool, int, str | None, str | None]:
-        for attempt in range(1, len(delays) + 2):
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, order, free_at = [], count(), 0.0
+
+        def attempt(number: int, task: str, url: str, text: str) -> tuple | None:
+            """The outcome, or none if the task waits for another attempt."""
+            nonlocal free_at
+            if pause:
+                time.sleep(max(0.0, free_at - time.monotonic()))
+                free_at = time.monotonic() + pause
             try:
-                return True, attempt, client(url, text), None
-            except RateLimited:
-                if attempt <= len(delays):
-                    time.sleep(delays[attempt - 1])
-            except Exception as error:  # any other failure is final
-                return False, attempt, None, f"AI call failed: {error}"
-        return False, len(delays) + 1, None, f"AI call failed after {len(delays)} retries"
+                code, message, body = client(url, text)
+            except Exception as error:
+                code, message, body, said = 0, str(error), None, str(error)
+            else:
+                said = f"code={code}, msg={message}"
+            if code == 200:
+                return task, True, number, body, None
+            if not refused(code, message):
+                return task, False, number, None, f"AI call failed: {said}"
+            if number > len(delays):
+                return task, False, number, None, f"AI call failed after {len(delays)} retries"
+            heappush(waiting, (time.monotonic() + delays[number - 1], next(order), number + 1, task, url, text))
+            return None
+
+        def due(until_most: int) -> Iterator[tuple]:
+            """Outcomes of tasks whose time has come; sleeps while more than ``until_most`` wait."""
+            while waiting and (len(waiting) > until_most or waiting[0][0] <= time.monotonic()):
+                time.sleep(max(0.0, waiting[0][0] - time.monotonic()))
+                done = attempt(*heappop(waiting)[2:])
+                if done:
+                    yield done
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            outcome = [one(u, p) for u, p in zip(batch["video_url"], batch["prompt"])]
-            done = pd.DataFrame(outcome, columns=["ok", "attempts", "result", "error"])
-            done.insert(0, "task_id", batch["task_id"].to_numpy())
-            yield done
+            found = []
+            for task, url, text in zip(batch["task_id"], batch["video_url"], batch["prompt"]):
+                found += due(MOST_WAITING)
+                done = attempt(1, task, url, text)
+                found += [done] if done else []
+            yield pd.DataFrame(found, columns=columns)
+        while waiting:
+            yield pd.DataFrame(list(islice(due(0), MOST_WAITING)), columns=columns)
 
     return rows.mapInPandas(
         call, "task_id string, ok boolean, attempts int, result string, error string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from mediaops import schemas as s
 from mediaops.functions import columns as fn
 from mediaops.functions.frames import touched
 from mediaops.functions.rules import PARAM
+from mediaops.operators.graph import connected_components
 from mediaops.session import materialise
 
 SECRET_COLUMNS = ("password", "api_secret")
@@ -101,17 +104,50 @@ def user_admin_update(users: DataFrame, changes: DataFrame, as_of: Column) -> Da
     )
 
 
+#: Rounds in which collisions are settled by reductions alone, before what is left is cut into components.
+PEELS = 3
+
+
+def _settle(open_: DataFrame) -> DataFrame:
+    """``request_id`` of those that win among the open requests, one component of collisions after another, each in
+    request order. Only names and mails taken in one component are held at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        of, names, mails = None, set(), set()
+        for batch in batches:
+            wins = []
+            for i, (component, name, mail) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                if component != of:
+                    of, names, mails = component, set(), set()
+                if name not in names and mail not in mails:
+                    names.add(name)
+                    mails.add(mail)
+                    wins.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(wins, pa.int64()))], names=["request_id"])
+
+    node = F.xxhash64("request_id")  # two that fall on one number only share a component
+    firsts = [open_.groupBy(c).agg(F.min("request_id").alias("_first")) for c in ("username", "email")]
+    edges = [open_.join(first, c).select(node.alias("a"), F.xxhash64("_first").alias("b")) for first, c in zip(firsts, ("username", "email"))]
+    roots = connected_components(edges[0].unionByName(edges[1]))
+    placed = open_.join(roots, node == F.col("node"), "left").select(
+        "request_id", F.coalesce("root", node).alias("_component"), "username", "email")
+    sent = placed.repartition("_component").sortWithinPartitions("_component", "request_id")
+    return sent.mapInArrow(run, sent.select("request_id").schema)
+
+
 def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -> DataFrame:
     """Outcome of each registration, as if they came one by one in request order.
 
     A request without a username or an email gives the parameter code and takes nothing. A username in use gives 23003. An email in use gives 23004: any user's if strict, else
     only an enabled user's. An accepted request takes its username and email.
 
-    Inside the batch each round accepts every open request that is the first open one for both
-    its username and its email, then closes the open ones that collide with it. Rounds end
-    when none is open; only collisions that form a chain need more than one. Reductions are
-    aggregates, so a popular name never gathers in one task. Each round is written out, which
-    keeps the plans short.
+    Inside the batch ``PEELS`` rounds each accept every open request that is the first open one for both
+    its username and its email, then close the open ones that collide with it. Reductions are
+    aggregates, so a popular name never gathers in one task. What is open then hangs together in chains; their
+    components are found by contraction, in rounds that follow the logarithm of the longest, and each is settled in
+    one pass in request order. (The first come matching of a chain can't be told from less than the chain.)
     """
     emails = users if strict else users.filter(F.col("status") == 1)
     names_used = users.select("username", F.lit(True).alias("_name_used")).distinct()
@@ -124,27 +160,30 @@ def register_batch(requests: DataFrame, users: DataFrame, strict: bool = True) -
     )
     known_name = F.coalesce("_name_used", F.lit(False))
     named = F.col("username").isNotNull() & F.col("email").isNotNull()
-    open_ = judged.filter(named & ~known_name & F.col("_email_used").isNull()).select(*requests.columns)
-    accepted = open_.limit(0)
-    while not open_.isEmpty():
+    wanted = ["request_id", "username", "email"]
+    open_ = judged.filter(named & ~known_name & F.col("_email_used").isNull()).select(*wanted)
+    accepted = []
+    for _ in range(PEELS):
         names = open_.groupBy("username").agg(F.min("request_id").alias("_first_name"))
         mails = open_.groupBy("email").agg(F.min("request_id").alias("_first_mail"))
         wins = (F.col("request_id") == F.col("_first_name")) & (
             F.col("request_id") == F.col("_first_mail")
         )
         winners = materialise(
-            open_.join(names, "username").join(mails, "email").filter(wins).select(*requests.columns),
+            open_.join(names, "username").join(mails, "email").filter(wins).select(*wanted),
             "accepted",
         )
-        accepted = accepted.unionByName(winners)
+        accepted.append(winners)
         open_ = materialise(
             open_.join(winners.select("username"), "username", "left_anti").join(
                 winners.select("email"), "email", "left_anti"
             ),
             "open",
         )
-    by_name = accepted.select("username", F.col("request_id").alias("_name_id"))
-    accepted_ids = accepted.select("request_id", F.lit(True).alias("_accepted"))
+    accepted.append(materialise(_settle(open_).join(open_, "request_id").select(*wanted), "settled"))
+    taken = reduce(DataFrame.unionByName, accepted)
+    by_name = taken.select("username", F.col("request_id").alias("_name_id"))
+    accepted_ids = taken.select("request_id", F.lit(True).alias("_accepted"))
     return (
         judged.join(accepted_ids, "request_id", "left").join(by_name, "username", "left")
         .withColumn(

@@ -1,5 +1,8 @@
 """Hand tables for validation, column functions and fixed relations."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +171,22 @@ def test_registration_order_inside_a_batch(spark):
     assert strict == {1: 0, 2: 23003, 3: 23004, 4: 0, 5: 23004, 6: 23003, 7: 23004, 8: 23004, 9: 23003, 10: 0}
     loose = {r.request_id: r.code for r in users.register_batch(asks, have, strict=False).collect()}
     assert loose == {**strict, 8: 0}
+
+
+def test_chains_of_registrations_take_few_rounds(spark):
+    """A chain of 1,000: every request shares its name with the one before and its mail with the one after."""
+    rng = random.Random(9)
+    chain = [(i, f"n{i // 2}", f"m{(i + 1) // 2}") for i in range(1000)]
+    other = [(1000 + i, f"a{rng.randrange(40)}", f"b{rng.randrange(40)}") for i in range(300)]
+    asks = spark.createDataFrame(chain + other, "request_id int, username string, email string")
+    have = spark.createDataFrame([], "username string, email string, status int")
+    began = time.monotonic()
+    got = {r.request_id: r.code for r in users.register_batch(asks, have).collect()}
+    assert time.monotonic() - began < 120
+    names, mails, want = set(), set(), {}
+    for i, name, mail in chain + other:
+        want[i] = 23003 if name in names else 23004 if mail in mails else 0
+        if not want[i]:
+            names.add(name)
+            mails.add(mail)
+    assert got == want

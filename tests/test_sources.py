@@ -3,6 +3,7 @@
 import hashlib
 import os
 import struct
+import time
 
 from pyspark.sql import functions as F
 
@@ -127,21 +128,44 @@ def test_upsert_twice_is_once(spark):
     assert {r.task_id: r.status for r in once.collect()} == {"a": "Z", "b": "W"}
 
 
-def test_client_is_not_asked_again_after_other_errors(spark):
+def test_client_is_asked_again_after_refusals_only(spark):
     class Client:
         def __call__(self, url, prompt):
             if url == "limit":
-                raise results.RateLimited("429")
+                return results.Answer(429)
+            if url == "told":
+                return results.Answer(503, "rate limit reached")
+            if url == "raises":
+                raise ValueError("rate limit reached")
             if url == "broken":
-                raise ValueError("code=500")
-            return prompt
+                return results.Answer(500)
+            return results.Answer(200, None, prompt)
 
-    rows = spark.createDataFrame([("1", "limit", None), ("2", "broken", "p"), ("3", "fine", " ")], "task_id string, video_url string, prompt string")
+    rows = spark.createDataFrame([(u, u, p) for u, p in (("limit", None), ("told", "p"), ("raises", "p"), ("broken", "p"), ("fine", " "))],
+                                 "task_id string, video_url string, prompt string")
     got = {r.task_id: (r.ok, r.attempts, r.result) for r in results.enrich_with_retry(rows, Client(), delays=(0, 0, 0)).collect()}
-    assert got == {"1": (False, 4, None), "2": (False, 1, None), "3": (True, 1, s.DEFAULT_PROMPT)}
+    assert got == {"limit": (False, 4, None), "told": (False, 4, None), "raises": (False, 4, None), "broken": (False, 1, None), "fine": (True, 1, s.DEFAULT_PROMPT)}
     assert results.is_rate_limit(429, None) and results.is_rate_limit(500, "rate limit") and not results.is_rate_limit(500, None)
 
 
+def test_refused_tasks_wait_together_and_calls_keep_a_rate(spark):
+    class Client:
+        def __init__(self):
+            self.seen = {}
+
+        def __call__(self, url, prompt):
+            self.seen[url] = self.seen.get(url, 0) + 1
+            return results.Answer(429) if self.seen[url] < 3 else results.Answer(200, None, url)
+
+    rows = spark.createDataFrame([(str(i), str(i), "p") for i in range(60)], "task_id string, video_url string, prompt string")
+    began = time.monotonic()
+    got = results.enrich_with_retry(rows, Client(), delays=(1, 1), parallelism=1).collect()
+    assert len(got) == 60 and all(r.ok and r.attempts == 3 for r in got) and time.monotonic() - began < 30  # one by one: 120 s
+    began = time.monotonic()
+    assert len(results.enrich_with_retry(rows.limit(10), Client(), delays=(0, 0), parallelism=2, calls_per_second=20).collect()) == 10
+    assert time.monotonic() - began > 0.8
+
+
 def test_first_copy_ties_break_by_id(spark):
     rows = [("b", "h", 2), ("a", "h", 2), ("c", "h", 0)]
     sessions = spark.createDataFrame(rows, "upload_id string, file_hash string, status int").withColumn(
