@@ -109,28 +109,26 @@ QUOTA_REPLAY = """
 , c AS (SELECT c.id, c.user_id, CAST(c.created_at AS DATE) AS day, date_trunc('month', c.created_at) AS month, c.total_tokens AS tok,
     coalesce(q.quota_daily, 500) AS qd, coalesce(q.quota_monthly, 10000) AS qm,
     row_number() OVER (PARTITION BY c.user_id, date_trunc('month', c.created_at) ORDER BY c.created_at, c.id) AS rn
-  FROM fx_ai_calls c LEFT JOIN fx_quotas q ON c.user_id = q.user_id)
+  FROM fx_quota_calls c LEFT JOIN fx_quotas q ON c.user_id = q.user_id)
 , st AS (
-  SELECT user_id, month, rn, id, day, tok <= qd AND tok <= qm AS accepted, CASE WHEN tok <= qd AND tok <= qm THEN tok ELSE 0 END AS d, CASE WHEN tok <= qd AND tok <= qm THEN tok ELSE 0 END AS m FROM c WHERE rn = 1
+  SELECT DISTINCT user_id, month, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DATE) AS day, 0 AS code, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS m FROM c
   UNION ALL
-  SELECT user_id, month, rn, id, day, ok, CASE WHEN ok THEN d0 + tok ELSE d0 END, CASE WHEN ok THEN m0 + tok ELSE m0 END FROM (
-    SELECT c.*, CASE WHEN c.day = st.day THEN st.d ELSE 0 END AS d0, st.m AS m0,
-      c.tok <= c.qd - (CASE WHEN c.day = st.day THEN st.d ELSE 0 END) AND c.tok <= c.qm - st.m AS ok
-    FROM st JOIN c ON c.user_id = st.user_id AND c.month = st.month AND c.rn = st.rn + 1) x)
-SELECT id, user_id, accepted FROM st"""
+  SELECT user_id, month, rn, id, day, code, CASE WHEN code = 0 THEN d0 + tok ELSE d0 END, CASE WHEN code = 0 THEN m0 + tok ELSE m0 END FROM (
+    SELECT x.*, CASE WHEN tok > greatest(0, qd - d0) THEN 22002 WHEN tok > greatest(0, qm - m0) THEN 22003 ELSE 0 END AS code FROM (
+      SELECT c.*, CASE WHEN c.day = st.day THEN st.d ELSE 0 END AS d0, st.m AS m0
+      FROM st JOIN c ON c.user_id IS NOT DISTINCT FROM st.user_id AND c.month = st.month AND c.rn = st.rn + 1) x) y)
+SELECT id, user_id, code = 0 AS accepted, code FROM st WHERE id IS NOT NULL"""
 
 
-@job("quota_replay", "fx_ai_calls fx_quotas", QUOTA_REPLAY)
+@job("quota_replay", "fx_quota_calls fx_quotas", QUOTA_REPLAY)
 def _(v):
-    return quotas.quota_replay(v("fx_ai_calls"), v("fx_quotas")).select("id", "user_id", "accepted")
+    return quotas.quota_replay(v("fx_quota_calls"), v("fx_quotas")).select("id", "user_id", "accepted", "code")
 
 
-# The same calls; every size of group goes the same way now.
-@job("quota_replay_large_groups", "fx_ai_calls fx_quotas", QUOTA_REPLAY)
+# The same calls in slices of a day.
+@job("quota_replay_large_groups", "fx_quota_calls fx_quotas", QUOTA_REPLAY)
 def _(v):
-    calls = v("fx_ai_calls")
-    sizes = calls.groupBy("user_id").count().agg(F.avg("count")).first()[0]
-    return quotas.quota_replay(calls, v("fx_quotas"), fold_rows=int(sizes)).select("id", "user_id", "accepted")
+    return quotas.quota_replay(v("fx_quota_calls"), v("fx_quotas"), slice_seconds=DAY).select("id", "user_id", "accepted", "code")
 
 
 # ---- call log ----

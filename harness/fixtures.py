@@ -121,6 +121,13 @@ SELECT event_id AS id, 'task_' || CAST(user_id AS STRING) AS task_id, user_id, '
 FROM events
 """)
 
+# Calls without a user, corrections that give tokens back, calls that use none.
+_view("fx_quota_calls", "events", """
+SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS user_id,
+  CASE event_id % 11 WHEN 0 THEN -CAST(floor(value) AS BIGINT) WHEN 1 THEN CAST(0 AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS total_tokens, ts AS created_at
+FROM events
+""")
+
 _view("fx_quotas", "customer", """
 SELECT c_custkey AS id, c_custkey AS user_id,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(600 + 150 * (c_custkey % 9) AS BIGINT) END AS quota_monthly,

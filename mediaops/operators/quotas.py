@@ -85,15 +85,16 @@ def quota_running_usage(
 
 
 def quota_replay(
-    calls: DataFrame, quotas: DataFrame | None = None, fold_rows: int | None = None
+    calls: DataFrame, quotas: DataFrame | None = None, slice_seconds: int = HOUR
 ) -> DataFrame:
-    """Each call with ``accepted``: both remaining quotas cover its tokens at that moment.
+    """Each call with ``accepted``, whether both remaining quotas cover its tokens at that moment, and ``code``: 0, or
+    why it is refused: the day's quota, else the month's; a call whose tokens are not known is refused as such.
 
     A refused call uses nothing, so no running sum can tell; and tokens may be negative. Months of
-    users, calls without a user among them, are cut into hours. Of each hour only its tokens in order
-    go to the chain over the month, which finds what is used when the hour begins; from there each
-    hour is replayed on its own. ``quotas(user_id, quota_daily, quota_monthly)`` gives limits, else
-    the defaults. All sizes of groups go this one way: ``fold_rows`` has no effect.
+    users, calls without a user among them, are cut into slices. Of each slice only its tokens in order
+    go to the chain over the month, which finds what is used when the slice begins; from there each
+    slice is replayed on its own. ``quotas(user_id, quota_daily, quota_monthly)`` gives limits, else
+    the defaults.
     """
     rows = _with_periods(calls)
     if quotas is not None:
@@ -107,7 +108,7 @@ def quota_replay(
     )
     # Compared as one struct, in which nulls are equal.
     rows = (
-        with_slice(rows, "created_at", HOUR)
+        with_slice(rows, "created_at", slice_seconds)
         .withColumn(PART, F.struct("user_id", "month", "day", SLICE))
         .withColumn("_tokens", F.col("total_tokens").cast("long"))
     )
@@ -126,16 +127,23 @@ def quota_replay(
     return _replay_parts(marked, calls.columns)
 
 
+NO_TOKENS, OVER_DAY, OVER_MONTH = 22001, 22002, 22003
+
+
 def _replay(tokens, in_day: int, in_month: int, daily: int, monthly: int, dated: bool):
-    """Yields for each call in order whether it is accepted, and what is used after it. Without a day
-    every call begins one."""
+    """Yields for each call in order its code and what is used after it. Without a day every call begins one."""
     for need in tokens:
         if not dated:
             in_day = 0
-        ok = need is not None and need <= max(0, daily - in_day) and need <= max(0, monthly - in_month)
-        if ok:
-            in_day, in_month = in_day + need, in_month + need
-        yield ok, in_day, in_month
+        if need is None:
+            code = NO_TOKENS
+        elif need > max(0, daily - in_day):
+            code = OVER_DAY
+        elif need > max(0, monthly - in_month):
+            code = OVER_MONTH
+        else:
+            code, in_day, in_month = 0, in_day + need, in_month + need
+        yield code, in_day, in_month
 
 
 def _chain_parts(parts: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ def _chain_parts(parts: DataFrame) -> DataFrame:
 
 
 def _replay_parts(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with ``accepted``, each part replayed from what is used when it begins."""
+    """The rows with ``accepted`` and ``code``, each part replayed from what is used when it begins."""
     replay, n = _replay, len(columns)
 
     def run(batches):
@@ -185,17 +193,22 @@ def _replay_parts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
         at, in_day, in_month = None, 0, 0
         for batch in batches:
-            accepted = []
-            for number, need, daily, monthly, day0, month0, dated in zip(
-                    *(batch.column(i).to_pylist() for i in range(n, n + 7))):
-                if number != at:
-                    at, in_day, in_month = number, day0, month0
-                ok, in_day, in_month = next(replay((need,), in_day, in_month, daily, monthly, dated))
-                accepted.append(ok)
+            number, need, daily, monthly, day0, month0, dated = (batch.column(i).to_pylist() for i in range(n, n + 7))
+            codes, low = [], 0
+            while low < len(number):
+                high = low + 1
+                while high < len(number) and number[high] == number[low]:
+                    high += 1
+                if number[low] != at:
+                    at, in_day, in_month = number[low], day0[low], month0[low]
+                for code, in_day, in_month in replay(need[low:high], in_day, in_month, daily[low], monthly[low], dated[low]):
+                    codes.append(code)
+                low = high
+            made = pa.array(codes, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(n)] + [pa.array(accepted, pa.bool_())],
-                names=[*columns, "accepted"])
+                [batch.column(i) for i in range(n)] + [pa.array([c == 0 for c in codes], pa.bool_()), made],
+                names=[*columns, "accepted", "code"])
 
     sent = rows.repartition("_number").sortWithinPartitions("_number", "created_at", "id", "_tokens")
-    out = T.StructType([*(sent.schema[c] for c in columns), T.StructField("accepted", T.BooleanType())])
+    out = T.StructType([*(sent.schema[c] for c in columns), T.StructField("accepted", T.BooleanType()), T.StructField("code", T.IntegerType())])
     return sent.mapInArrow(run, out)

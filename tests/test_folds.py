@@ -244,9 +244,9 @@ def test_quota_replay_both_ways(spark, daily, monthly, most):
     want = _quota(rows, daily, monthly)
     calls = spark.createDataFrame(rows, "id long, user_id long, total_tokens long, created_at timestamp_ntz")
     limits_ = spark.createDataFrame([(u, daily, monthly) for u in (1, 2)], "user_id long, quota_daily long, quota_monthly long")
-    for fold_rows in (10_000, 20):
-        got = {r.id: r.accepted for r in quotas.quota_replay(calls, limits_, fold_rows=fold_rows).collect()}
-        assert got == want
+    for slice_seconds in (600, 10**6):
+        got = quotas.quota_replay(calls, limits_, slice_seconds).collect()
+        assert {r.id: r.accepted for r in got} == want and all(r.accepted == (r.code == 0) for r in got)
 
 
 def test_quota_replay_of_corrections_and_calls_without_a_user(spark):
@@ -258,12 +258,15 @@ def test_quota_replay_of_corrections_and_calls_without_a_user(spark):
     for daily, monthly in ((50, 90), (7, 1000), (60, 40)):
         limits_ = spark.createDataFrame([(u, daily, monthly) for u in (1, 2)], "user_id long, quota_daily long, quota_monthly long")
         want = _quota([r for r in rows if r[1]], daily, monthly) | _quota([r for r in rows if not r[1]], 500, 10_000)
-        for fold_rows in (10_000, 20):
-            got = quotas.quota_replay(spark.createDataFrame(rows, kind), limits_, fold_rows=fold_rows).collect()
+        for slice_seconds in (600, 10**6):
+            got = quotas.quota_replay(spark.createDataFrame(rows, kind), limits_, slice_seconds).collect()
             assert {r.id: r.accepted for r in got} == want and len(got) == len(rows)
     few = spark.createDataFrame([(1, 1, 400, _at(0)), (2, 1, -300, _at(1)), (3, 1, 350, _at(2))], kind)
-    for fold_rows in (10_000, 1):
-        assert all(r.accepted for r in quotas.quota_replay(few, fold_rows=fold_rows).collect())
+    assert all(r.accepted for r in quotas.quota_replay(few).collect())
+    over = [(1, 7, 400, _at(0)), (2, 7, 200, _at(1)), (3, 7, None, _at(2)), (4, 7, 100, _at(3))] + [(10 + d, 7, 500, _at(1440 * d)) for d in range(2, 24)]
+    codes = {r.id: r.code for r in quotas.quota_replay(spark.createDataFrame(over, kind)).collect()}
+    assert codes[1] == codes[4] == 0 and codes[2] == 22002 and codes[3] == 22001
+    assert 22003 in {r.code for r in quotas.quota_replay(spark.createDataFrame(over, kind), spark.createDataFrame([(7, 500, 700)], "user_id long, quota_daily long, quota_monthly long")).collect()}
     odd = [(1, None, 300, None), (2, None, 300, None), (3, 1, 500, None), (4, 1, 1, _at(0)), (5, 1, 600, _at(0))]
     assert {r.id: r.accepted for r in quotas.quota_replay(spark.createDataFrame(odd, kind)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
 
