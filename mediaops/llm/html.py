@@ -22,6 +22,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
     tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCKS - frozenset("html body caption tbody td tfoot th thead tr legend optgroup option".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 DROPPED = frozenset("""script style noscript template nav aside footer form button select input textarea iframe object embed svg canvas
     dialog menu head title noembed noframes audio video map fieldset""".split())
@@ -39,6 +40,12 @@ ALONE = {"hidden": frozenset("is js u visually".split()), "skip": frozenset("to
 #: Those that count unless the element holds most of the page's text.
 OFTEN_OUT = frozenset("""header masthead footer sidebar sidebars aside widget widgets banner notice notices notification alert share sharing
     social related recommended recommendations toolbar copyright legal disclaimer outbrain taboola form login search topbar bottombar""".split())
+#: Words that say where or how an element stands. A name that holds any others besides the ones above (share-price, legal-analysis)
+#: may well tell what a text is about; it counts only for elements that are mostly links.
+LAYOUT = frozenset("""box boxes list lists bar bars row rows container wrapper wrap inner outer block blocks section area panel pane link links button
+    buttons btn item items top bottom left right main site page global primary secondary mobile desktop post posts article articles entry
+    entries content text body title heading icon icons slot unit zone label field thread tree count media follow us tools js css id the is u
+    visually dropdown sub sticky fixed floating inline rail stories story news user users reader readers your on off to""".split())
 # An open element of the keys ends when one of the values begins, within the given bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "tbody", "tfoot", "thead"}, {"table"}), "td": ({"td", "th", "tr", "tbody", "tfoot"}, {"table"}),
@@ -153,14 +160,17 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
 
 
-def _named(value: str) -> set[str]:
-    """The words of class and id that say what an element is."""
-    named = set()
-    for name in value.split():
+def _named(names: str, numbers: bool) -> tuple[set[str], set[str]]:
+    """The words of classes or ids that say what an element is, and those that only may. Sizes and numbers may stand
+    beside the words of a class (ad-300x250)."""
+    sure, maybe = set(), set()
+    for name in names.split():
         words = _words(name)
         if not words & STATES:
-            named |= {w for w in words if w not in ALONE or words - {w} <= ALONE[w]}
-    return named
+            found = {w for w in words if w not in ALONE or words - {w} <= ALONE[w]}
+            plain = {w for w in words if len(w) > 1 or not numbers} <= ALWAYS_OUT | OFTEN_OUT | LAYOUT and (numbers or not any(map(str.isdigit, name)))
+            (sure if plain else maybe).update(found)
+    return sure, maybe
 
 
 def _walk(root: Node):
@@ -172,7 +182,7 @@ def _walk(root: Node):
         stack.extend(p for p in reversed(node.parts) if type(p) is Node)
 
 
-def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> set[Node]:
+def _mark(root: Node, order: list[Node], size: dict[Node, int], links: dict[Node, int]) -> set[Node]:
     """Sets ``out`` on what cannot be content. Returns what the page itself calls its articles, with all in them."""
     whole, inside = max(1, size[root]), set()
     titled = set()  # what holds a main heading or <main>
@@ -195,7 +205,10 @@ def _mark(root: Node, order: list[Node], size: dict[Node, int]) -> set[Node]:
         if not node.attrs or node.tag in ("html", "body", "main"):
             continue
         attrs = _attributes(node.attrs)
-        role, words = attrs.get("role", "").lower(), _named(attrs.get("class", "") + " " + attrs.get("id", ""))
+        role, words = attrs.get("role", "").lower(), set()
+        # the id of a heading is what links lead to, made of its text
+        for sure, maybe in (_named(attrs.get("class", ""), True), _named("" if node.tag in HEADINGS else attrs.get("id", ""), False)):
+            words |= sure | (maybe if 2 * links[node] > size[node] else set())
         style = attrs.get("style", "").replace(" ", "").lower()
         large = 2 * size[node] > whole
         # what holds most of the text is the page itself, whatever it is called; a discussion only with the title or nearly all
@@ -218,7 +231,7 @@ def main_blocks(source: str) -> list[str]:
             continue
         size[node] = sum(size[p] if type(p) is Node else len(p.strip()) for p in node.parts)
         links[node] = size[node] if node.tag == "a" else sum(links[p] for p in node.parts if type(p) is Node)
-    inside = _mark(root, order, size)
+    inside = _mark(root, order, size, links)
     out = {node for node in order if node.out}
     for node in order:
         if node.parent in out:

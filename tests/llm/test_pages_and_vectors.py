@@ -31,6 +31,16 @@ def test_main_blocks(page, blocks):
 ARTICLE = "".join(f"<p>Paragraph {i} has words, and commas, and a plain end.</p>" for i in range(8))
 
 
+@pytest.mark.parametrize("part", ["<p class='share-price'>{}</p>", "<div class='related-work'><p>{}</p></div>", "<div class='legal-analysis'><p>{}</p></div>",
+                                  "<section id='ad-1990'><p>{}</p></section>", "<h2 id='menu'>{}</h2>", "<p class='promotion-history'>{}</p>"])
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_names_that_may_tell_what_a_text_is_about_stay(part, wrap):
+    page = f"<body><div class=nav><a href=/>Home</a></div><{wrap}>{ARTICLE}{part.format('This part, too, is text.')}{ARTICLE}</{wrap}></body>"
+    assert "This part, too, is text." in html.main_blocks(page)
+    gone = "<div class='ad-300x250'><p>Buy now</p></div><ul class='related-work'><li><a href=/1>One</a><li><a href=/2>Two</a></ul><div class='share-buttons'>Tell all</div>"
+    assert html.main_blocks(page.replace(f"</{wrap}>", f"{gone}</{wrap}>")) == html.main_blocks(page)
+
+
 @pytest.mark.parametrize("tag", ["div", "section", "article"])
 @pytest.mark.parametrize("name", ["overflow-hidden", "nav-open", "content ad-free", "has-menu", "hidden md:block", "modal", "content ad", "paywall", "skip",
                                   "page subscribe", "comments", "no-comments", "overlay"])
