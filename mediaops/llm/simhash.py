@@ -77,7 +77,7 @@ def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words:
 
 
 def add_sketches(df: DataFrame, words: int) -> DataFrame:
-    """Adds ``fp`` and the min-hash sketch ``marks, bands`` (null for a text without words) of the column ``text``."""
+    """Adds ``fp`` and the min-hash ``bands`` (null for a text without words) of the column ``text``."""
     from mediaops.llm.resemblance import sketch_of
 
     def run(texts):
@@ -87,11 +87,10 @@ def add_sketches(df: DataFrame, words: int) -> DataFrame:
         for text in texts:
             hashes = list(shingle_hashes(text.as_py(), words))
             prints.append(bits_of(hashes))
-            sketches.append(sketch_of(hashes) or (None, None))
-        longs = pa.list_(pa.int64())
-        return [pa.array(prints, pa.int64()), pa.array([m for m, _ in sketches], longs), pa.array([b for _, b in sketches], longs)]
+            sketches.append(sketch_of(hashes))
+        return [pa.array(prints, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
 
-    return add_columns(df, ["text"], "fp long, marks array<long>, bands array<long>", run)
+    return add_columns(df, ["text"], "fp long, bands array<long>", run)
 
 
 def links(nodes: DataFrame, crowded_at: int = CROWDED) -> DataFrame:
@@ -130,7 +129,7 @@ def _labelled(df: DataFrame, key: str, text: str, words: int, alike: float | Non
         from mediaops.llm.resemblance import resemblance_links
 
         edges = materialise(edges, "links")
-        edges = edges.unionByName(resemblance_links(rows, named.select("h", "text"), edges, words, alike))
+        edges = edges.unionByName(resemblance_links(rows, named, edges, words, alike))
     roots = connected_components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -150,11 +149,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, alike: float | None = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies, columns as in ``df``: of each component the row with the smallest
     key stays; rows without a key stay only where no member has one. Shingles of five words by default. Texts are
-    linked by fingerprints at most two bits apart, or by shingle sets at least ``alike`` (see ``resemblance``)."""
+    linked by fingerprints at most two bits apart, or by shingle sets at least ``alike`` (see ``resemblance``). Of rows
+    alike in key and text that differ elsewhere the one whose columns hash least stays."""
     found = _labelled(df, key, text, words, alike)
     order = F.struct(F.col("key").isNull().alias("no"), "key", "h")
     chosen = found.groupBy("root").agg(F.min(order).alias("c")).select(
         F.col("c.key").alias("__chosen_key"), F.col("c.h").alias("__chosen_h"))
     marked = df.withColumn("__h", F.xxhash64(F.col(f"`{text}`").cast("string")))
     met = marked.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__chosen_key")) & (F.col("__h") == F.col("__chosen_h")))
-    return met.dropDuplicates(["__chosen_key", "__chosen_h"]).select([F.col(f"`{c}`") for c in df.columns])
+    # rows alike in key and text: the one whose other columns hash least
+    place = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind))
+    one = met.groupBy("__chosen_key", "__chosen_h").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), place).alias("__row"))
+    return one.select([F.col("__row")[c].alias(c) for c in df.columns])
