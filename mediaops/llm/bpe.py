@@ -11,9 +11,10 @@ from mediaops.llm.common import add_columns
 
 #: Keys per bucket of the hash, on average.
 _BUCKET = 4
-#: Pre-tokens that one process remembers with their ids before it lets the older ones go; it holds twice as many.
-_REMEMBERED = 150_000
-#: Characters of a text that are cut into pre-tokens at once.
+#: Pre-tokens that one process remembers with their ids before it lets the older ones go, and a third as many words; it
+#: holds up to twice as many.
+_REMEMBERED = 250_000
+#: Characters of a text that are cut at once, and of short texts whose new words are looked up at once.
 _CHARS = 1 << 20
 
 
@@ -101,7 +102,12 @@ class Vocabulary:
         self.ranks, self.pattern, self.strays = ranks, pattern, strays or {}
         self.hash = PerfectHash.build(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self._encoder = None
+        self._encoder = self._decimals = None
+
+    def decimals(self) -> dict[int, bytes]:
+        """Every id as decimal text."""
+        self._decimals = self._decimals or {i: b"%d" % i for i in self.bytes_of}
+        return self._decimals
 
     def encoder(self) -> Encoder:
         """One encoder per process, so that what it remembers serves the next task too."""
@@ -136,56 +142,105 @@ def class_gaps() -> dict[int, str]:
     return {ord(c): next((stand_in[n] for n in theirs if c in theirs[n]), "") for c in odd}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_ranks(ranks: dict[bytes, int], width: int) -> dict[int, int]:
+    """Rank of the merge of two tokens, by ``left << width | right``."""
+    found = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                found[left << width | right] = rank
+    return found
+
+
+def merge(piece: bytes, single: dict[int, int], pairs: dict[int, int], width: int) -> list[int]:
     """Token ids of one pre-token: the pair with the lowest rank is merged first, the leftmost of equals.
 
-    The bytes are a doubly linked list; a heap holds the candidate pairs. An entry is stale if one of its ends
-    was merged since, which its stored end shows.
+    The parts are a doubly linked list over the bytes, each with its token; a heap holds rank and place of the candidate pairs
+    in one number. An entry is stale if it is not the one that its place last got. A token that pairs with nothing
+    stands behind the last byte, and so before the first one.
     """
     from heapq import heapify, heappop, heappush
 
     n = len(piece)
-    ends, before = list(range(1, n + 1)), list(range(-1, n))  # ends[i]: where the part at i ends; 0: swallowed
-    rank_of = ranks.get
-    heap = []
-    for i in range(n - 1):
-        rank = rank_of(piece[i:i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 1, i + 2))
+    ids = [single[b] for b in piece]
+    ids.append((1 << width) - 1)
+    after, before = [*range(1, n + 2)], [*range(-1, n)]
+    rank_of, shift = pairs.get, n.bit_length()
+    places = (1 << shift) - 1
+    ranks = map(rank_of, [a << width | b for a, b in zip(ids, ids[1:])])
+    now = [-1 if rank is None else rank << shift | i for i, rank in enumerate(ranks)]
+    heap = [entry for entry in now if entry >= 0]
+    now.append(-1)
     heapify(heap)
     while heap:
-        _, i, j, end = heappop(heap)
-        if ends[i] != j or j >= n or ends[j] != end:
+        entry = heappop(heap)
+        i = entry & places
+        if now[i] != entry:
             continue
-        ends[i], ends[j] = end, 0
-        if end < n:
-            before[end] = i
-            rank = rank_of(piece[i:ends[end]])
-            if rank is not None:
-                heappush(heap, (rank, i, end, ends[end]))
-        left = before[i]
-        if left >= 0:
-            rank = rank_of(piece[left:end])
-            if rank is not None:
-                heappush(heap, (rank, left, i, end))
+        j = after[i]
+        end, left, rank = after[j], before[i], entry >> shift
+        ids[i], after[i], before[end], now[i], now[j] = rank, end, i, -1, -1
+        found = rank_of(rank << width | ids[end])
+        if found is not None:
+            now[i] = entry = found << shift | i
+            heappush(heap, entry)
+        found = rank_of(ids[left] << width | rank)
+        if found is not None:
+            now[left] = entry = found << shift | left
+            heappush(heap, entry)
+        elif left >= 0:
+            now[left] = -1
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:ends[i]]])
-        i = ends[i]
+        out.append(ids[i])
+        i = after[i]
     return out
 
 
+class Memo:
+    """Remembers values; beyond ``most`` entries the older ones go, unless they are asked for again."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.older = most, {}, {}
+
+    def missing(self, names) -> list:
+        """Those of the names that are not remembered; the others are at hand in ``known`` until the next call."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        new = []
+        for name in {*names}.difference(self.known):
+            if name in self.older:
+                self.known[name] = self.older[name]
+            else:
+                new.append(name)
+        return new
+
+
 class Encoder:
-    """Encodes texts within one task; remembers resolved pre-tokens up to a bound."""
+    """Encodes texts within one task; remembers resolved pre-tokens and words up to a bound.
+
+    A text is cut before every space that stands between two other characters: there a pre-token starts, whatever the pattern
+    does elsewhere. What follows the space up to the next one is a word here. The pattern cuts new words into pre-tokens;
+    new pre-tokens of a whole batch of texts are looked up in the hash at once. Texts with other white space beside a
+    space, or with characters on which the two engines differ, are cut by the pattern as a whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
 
-        self.v, self.known, self.older = vocabulary, {}, {}
+        self.v = vocabulary
+        self.words, self.tokens = Memo(_REMEMBERED // 3), Memo(_REMEMBERED)
         self.cut = regex.compile(vocabulary.pattern)
         self.gap = regex.compile(r"(?<=\S)\s")
         self.odd = {chr(c) for c in vocabulary.strays}
         self.beyond = regex.compile(f"[\\U{min(vocabulary.strays):08X}-\U0010FFFF]") if self.odd else None
+        self.width = max(vocabulary.ranks.values(), default=0).bit_length() + 1
+        self.pairs = pair_ranks(vocabulary.ranks, self.width)
+        self.single = {t[0]: i for t, i in vocabulary.ranks.items() if len(t) == 1}
+
+    def strange(self, text: str) -> bool:
+        return bool(self.odd) and not text.isascii() and bool(self.beyond.search(text)) and not self.odd.isdisjoint(text)
 
     def pieces(self, text: str):
         """Lists of pre-tokens. A text is cut only before white space that follows other characters, where no
@@ -196,31 +251,86 @@ class Encoder:
             end = hit.start() if hit else len(text)
             part = text[at:end] if at or end < len(text) else text
             at = end
-            if not self.odd or part.isascii() or not self.beyond.search(part) or self.odd.isdisjoint(part):
-                yield self.cut.findall(part)
-            else:
+            if self.strange(part):
                 masked = part.translate(self.v.strays)
                 yield [part[m.start():m.end()] for m in self.cut.finditer(masked)]
+            else:
+                yield self.cut.findall(part)
+
+    def parts(self, text: str):
+        """``(first word, words)``, then ``(None, words)``, of stretches of a text that end before a space."""
+        at = 0
+        while at < len(text):
+            end = text.find(" ", at + _CHARS) if at + _CHARS < len(text) else -1
+            while end >= 0 and (text[end - 1].isspace() or text[end + 1:end + 2].isspace() or end + 1 == len(text)):
+                end = text.find(" ", end + 1)
+            part = text[at:end if end >= 0 else len(text)]
+            words = part.split(" ")
+            yield (None if at else words[0]), words[1:]
+            at += len(part)
+
+    def resolve(self, tokens) -> dict:
+        """Ids of pre-tokens, packed as bytes: whole ones from the hash, all in one look, the others by merging."""
+        from array import array
+
+        new = self.tokens.missing(tokens)
+        names = [t.encode("utf-8") for t in new]
+        known = self.tokens.known
+        for t, name, value in zip(new, names, self.v.hash.find(names)):
+            ids = (value,) if value >= 0 else merge(name, self.single, self.pairs, self.width)
+            known[t] = array("i", ids).tobytes()
+        return known
+
+    def encode_all(self, texts):
+        """The ids of each text of a batch, as arrays."""
+        import numpy as np
+
+        found, plain = set(), []
+        for text in texts:
+            words, ok = set(), True
+            for first, rest in self.parts(text):
+                words.update(rest)
+                ok = ok and (first is None or bool(first) and not first[-1].isspace() and not self.strange(first))
+            plain.append(ok)
+            if ok:
+                found |= words
+        new = self.words.missing(found)
+        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or self.strange(w)}
+        cuts = {w: self.cut.findall(" " + w) for w in new if w not in bad}
+        ids_of, known = self.resolve(t for c in cuts.values() for t in c), self.words.known
+        for w, c in cuts.items():
+            known[w] = b"".join(map(ids_of.__getitem__, c))
+        for text, ok in zip(texts, plain):
+            yield np.frombuffer(self._by_words(text, bad) if ok else self._by_pattern(text), np.int32)
+
+    def _by_words(self, text: str, bad: set) -> bytes:
+        out, ids_of = [], self.words.known.__getitem__
+        for first, rest in self.parts(text):
+            if bad and not bad.isdisjoint(rest):
+                return self._by_pattern(text)
+            if first is not None:
+                cut = self.cut.findall(first)
+                out += map(self.resolve(cut).__getitem__, cut)
+            out.append(b"".join(map(ids_of, rest)))
+        return b"".join(out)
+
+    def _by_pattern(self, text: str) -> bytes:
+        return b"".join(b"".join(map(self.resolve(tokens).__getitem__, tokens)) for tokens in self.pieces(text))
 
     def encode(self, text: str) -> list[int]:
-        out = []
-        for tokens in self.pieces(text):
-            if len(self.known) > _REMEMBERED:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            new = []
-            for t in {*tokens}.difference(known):
-                if t in older:
-                    known[t] = older[t]
-                else:
-                    new.append(t)
-            if new:
-                names = [t.encode("utf-8") for t in new]
-                for t, name, value in zip(new, names, self.v.hash.find(names)):
-                    known[t] = (value,) if value >= 0 else merge(name, self.v.ranks)
-            for t in tokens:
-                out += known[t]
-        return out
+        return next(self.encode_all([text])).tolist()
+
+
+def _batches(texts):
+    """Slices of an Arrow column of texts, as lists, of about ``_CHARS`` bytes or one longer text each."""
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and (not some or size < _CHARS):
+            some.append(texts[at].as_py() or "")
+            size += len(some[-1])
+            at += 1
+        yield some
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
@@ -237,10 +347,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
         coder = shared.value.encoder()
         parts, offsets = [], [0]
-        for text in texts:
-            ids = np.array(coder.encode(text.as_py() or ""), np.int32)
-            parts.append(ids)
-            offsets.append(offsets[-1] + len(ids))
+        for some in _batches(texts):
+            for ids in coder.encode_all(some):
+                parts.append(ids)
+                offsets.append(offsets[-1] + len(ids))
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
 
@@ -259,3 +369,28 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
         return [pa.array([b"".join(map(name, x.values.to_pylist())) if x.is_valid else b"" for x in lists], pa.binary())]
 
     return add_columns(df, [ids], f"`{out}` binary", run)
+
+
+def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """Adds ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined by one space) and ``decoded_sha256`` (of the bytes that the ids
+    stand for) of every whole text, in one pass. A null or empty text has no ids. Other columns pass through; columns of
+    these names are replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(texts):
+        from hashlib import sha256
+
+        import pyarrow as pa
+
+        v = shared.value
+        coder, name, number = v.encoder(), v.bytes_of.__getitem__, v.decimals().__getitem__
+        counts, ids_hashes, hashes = [], [], []
+        for some in _batches(texts):
+            for ids in coder.encode_all(some):
+                ids = ids.tolist()
+                counts.append(len(ids))
+                ids_hashes.append(sha256(b" ".join(map(number, ids))).hexdigest())
+                hashes.append(sha256(b"".join(map(name, ids))).hexdigest())
+        return [pa.array(counts, pa.int64()), pa.array(ids_hashes, pa.string()), pa.array(hashes, pa.string())]
+
+    return add_columns(df, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string", run)

@@ -41,13 +41,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaops.llm import bpe
 
-    words = vocabulary()
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, words).drop("text"), words)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
 @query

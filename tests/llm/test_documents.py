@@ -100,7 +100,6 @@ def test_keep_one_keeps_one(spark):
 def test_keep_one_connects_all_texts_that_are_alike(spark, monkeypatch, block):
     from mediaops.llm import resemblance
 
-    monkeypatch.setattr(resemblance, "BLOCK", block)
     monkeypatch.setattr(resemblance, "PART", block)
     rng, rows, key = random.Random(3), [], 0
     for family in range(12):
@@ -127,7 +126,7 @@ def test_sketches_estimate_similarity():
     one, other = " ".join(words[:1800]), " ".join(words[200:])
     a, b = (resemblance.sketch_of(simhash.shingle_hashes(t, 5)) for t in (one, other))
     assert abs(resemblance.similarity(one, other, 5) - 0.8) < 0.01 and resemblance.similarity("", "", 5) == 0
-    assert set(a[1]) & set(b[1]) and 30 < sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a[0], b[0])) <= resemblance.FAR
+    assert len(a) == resemblance.BANDS and set(a) & set(b)
     assert resemblance.sketch_of(simhash.shingle_hashes(" ", 5)) is None
 
 
@@ -161,9 +160,20 @@ def test_encoding_equals_the_public_library(spark, words):
     assert [bytes(r.decoded) for r in got] == [(t or "").encode() for t in TEXTS]
     rng, own = random.Random(3), bpe.Encoder(words)
     letters = "aeinst 'sd\n\t 09.,!é中՘ 🙂"
-    for _ in range(400):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
-        assert own.encode(text) == coder.encode_ordinary(text)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += [" ".join("".join(rng.choice("aeinst's.é\n\x1c\x85") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(200)]
+    assert [own.encode(t) for t in texts] == [coder.encode_ordinary(t) for t in texts]
+    assert [ids.tolist() for ids in bpe.Encoder(words).encode_all(texts)] == [coder.encode_ordinary(t) for t in texts]
+
+
+def test_digests_are_of_the_ids_and_of_the_text(spark, words):
+    df = frame(spark, list(enumerate(TEXTS)))
+    got = bpe.digest(df, words).orderBy("doc_id").collect()
+    ids = [list(r.ids) for r in bpe.encode(df, words).orderBy("doc_id").collect()]
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got] == [
+        (len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in zip(ids, TEXTS)]
+    assert got[0].source == "s" and bpe.encode(df, words).columns == [c for c in df.columns if c != "ids"] + ["ids"]
+    assert bpe.digest(frame(spark, []), words).collect() == [] and bpe.encode(frame(spark, []), words).collect() == []
 
 
 def test_encoding_in_pieces_and_with_a_short_memory(words, monkeypatch):
@@ -255,16 +265,26 @@ def test_all_lines_of_a_text_teach():
     assert lean[at[0]] < -0.2 < 0.2 < lean[at[1]]
 
 
-def test_hardly_any_pair_of_least_similarity_is_too_far():
-    import numpy as np
-
+@pytest.mark.parametrize("at", [0.5, 0.8])
+def test_the_prefix_join_loses_no_pair(spark, at):
     from mediaops.llm import resemblance
 
-    minimum = 0.8 * np.eye(1, 5)[0] + 0.2 * np.array([1, 4, 6, 4, 1]) / 16  # differing bits of four, if minima differ at random
-    bits = np.ones(1)
-    for _ in range(resemblance.BANDS * resemblance.ROWS):
-        bits = np.convolve(bits, minimum)
-    assert bits[resemblance.FAR + 1:].sum() < 1e-7
+    rng, texts = random.Random(11), []
+    for family in range(8):
+        base = [f"{family}w{rng.randrange(40)}" for _ in range(rng.choice([3, 12, 60, 200]))]
+        for _ in range(14):
+            words = base[:len(base) - rng.randint(0, len(base) // 6)] + [f"y{k}" for k in range(rng.randint(0, 3))]
+            for k in rng.sample(range(len(words)), rng.randint(0, len(words) // 12)):
+                words[k] = f"x{rng.randrange(30)}"
+            texts.append(" ".join(words))
+    texts = sorted({*texts})
+    members = [(i, rng.randrange(6)) for i in range(len(texts))]
+    got = resemblance.alike_across(
+        spark.createDataFrame(members, "h long, comp long"), spark.createDataFrame(list(enumerate(texts)), "h long, text string"), 2, at).collect()
+    comp = dict(members)
+    near = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b] and resemblance.similarity(texts[a], texts[b], 2) >= at}
+    assert near and near <= {(r.a, r.b) for r in got} and all(comp[r.a] != comp[r.b] for r in got)
+    assert len(got) < 4 * len(near)
 
 
 def scripts(rng):
