@@ -45,14 +45,14 @@ def upload_rules(
     """Upload requests. The type test is exact membership of the extension."""
     c = F.col
     return [
-        Rule("file_name", PARAM, filled(c("file_name")) & (F.length("file_name") <= 255)),
+        Rule("file_name", PARAM, filled(c("file_name")) & (F.length("file_name") <= s.MAX_NAME)),
         Rule("file_size", PARAM, c("file_size").between(1, s.MAX_FILE_SIZE)),
         Rule("file_hash", PARAM,
-             c("file_hash").isNull() | c("file_hash").rlike("^[a-fA-F0-9]{32,64}$")),
+             c("file_hash").isNull() | c("file_hash").rlike(s.FILE_HASH)),
         Rule("chunk_size", PARAM,
              c("chunk_size").isNull() | c("chunk_size").between(s.MIN_CHUNK_SIZE, s.MAX_CHUNK_SIZE)),
-        Rule("prompt", PARAM, c("prompt").isNull() | (F.length("prompt") <= 2000)),
-        Rule("metadata", PARAM, c("metadata").isNull() | (F.length("metadata") <= 4096)),
+        Rule("prompt", PARAM, c("prompt").isNull() | (F.length("prompt") <= s.MAX_PROMPT)),
+        Rule("metadata", PARAM, c("metadata").isNull() | (F.length("metadata") <= s.MAX_METADATA)),
         Rule("file_name", TYPE, extension(c("file_name")).isin(*allowed)),
         Rule("file_size", SIZE, c("file_size") <= max_file_size),
     ]
@@ -63,13 +63,13 @@ def user_rules() -> list[Rule]:
     c = F.col
     return [
         Rule("username", PARAM,
-             F.length("username").between(2, 64) & c("username").rlike("^[a-zA-Z0-9_]+$")),
+             F.length("username").between(*s.USERNAME_LENGTH) & c("username").rlike(s.USERNAME)),
         Rule("email", PARAM,
-             (F.length("email") <= 128) & c("email").rlike(r"^[^@\s]+@[^@\s]+$")),
-        Rule("password", PARAM, filled(c("password")) & F.length("password").between(6, 32)),
+             (F.length("email") <= s.MAX_EMAIL) & c("email").rlike(s.EMAIL)),
+        Rule("password", PARAM, filled(c("password")) & F.length("password").between(*s.PASSWORD_LENGTH)),
     ]
 
 
 def rename_rules() -> list[Rule]:
     c = F.col
-    return [Rule("task_name", PARAM, filled(c("task_name")) & (F.length("task_name") <= 255))]
+    return [Rule("task_name", PARAM, filled(c("task_name")) & (F.length("task_name") <= s.MAX_NAME))]

@@ -110,6 +110,9 @@ MAX_FILE_SIZE = 5 * 1024 * MIB
 DEFAULT_CHUNK_SIZE = 5 * MIB
 MIN_CHUNK_SIZE, MAX_CHUNK_SIZE = MIB, 50 * MIB
 SESSION_HOURS = 24
+MAX_NAME, MAX_PROMPT, MAX_METADATA, MAX_EMAIL = 255, 2000, 4096, 128
+USERNAME_LENGTH, PASSWORD_LENGTH = (2, 64), (6, 32)
+FILE_HASH, USERNAME, EMAIL = "^[a-fA-F0-9]{32,64}$", "^[a-zA-Z0-9_]+$", r"^[^@\s]+@[^@\s]+$"
 SAMPLE_SIZE = 2 * MIB
 # Seconds from 1970 to the instant the ids count from (midnight in Shanghai, 2024-01-01).
 ID_EPOCH_SECONDS = 1_704_038_400
