@@ -155,10 +155,9 @@ def manifest(df: DataFrame, key: str = "doc_id", source: str = "source",
 
 def _crown(subroots: DataFrame, trees: DataFrame) -> DataFrame:
     """The steps above the sources, the source's root and the root of all, for every superblock of every source."""
-    numbers = trees.agg(F.count("*").alias("n"))
-    nodes = materialise(subroots.join(trees.select("tree"), "tree").crossJoin(F.broadcast(numbers)).selectExpr(
-        "0L AS tree", "n", "tree AS pos", "digest"), "subroots")
+    nodes = materialise(subroots.selectExpr("0L AS tree", f"{trees.count()}L AS n", "tree AS pos", "digest"), "subroots")
     above, root = _outer(nodes, "crown")
+    top = root.first()  # the one root; none for an empty table
 
     def descend(_, rows, outer):
         import pandas as pd
@@ -176,8 +175,8 @@ def _crown(subroots: DataFrame, trees: DataFrame) -> DataFrame:
     blocks = nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
     steps = blocks.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInPandas(
         descend, "tree long, step int, place int, others string")
-    steps = steps.unionByName(trees.select("tree").crossJoin(F.broadcast(root.select("digest"))).selectExpr(
-        "tree", f"{_ROOT} AS step", "-1 AS place", "digest AS others"))
+    steps = steps.unionByName(trees.select(
+        "tree", F.lit(_ROOT).alias("step"), F.lit(-1).alias("place"), F.lit(top["digest"] if top else None).cast("string").alias("others")))
     shared = trees.selectExpr("tree", f"explode(sequence(0L, (n - 1) div {BLOCK * _SHARE})) AS share", "n")
     spread = shared.join(steps, "tree")
     return spread.selectExpr(
