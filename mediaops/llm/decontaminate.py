@@ -250,6 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     never occur. Repeated rows and keys are rows of their own. Empty tables give no rows or no hits. Other columns are
     not read.
     """
+    # stored repetitive rows are far smaller than in memory, so no join here leaves it to their size whether to send a side to all
     named = docs.select(F.col(f"`{key}`").alias("key"), F.monotonically_increasing_id().alias("place"), F.col(f"`{text}`").cast("string").alias("text"))
     items = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
     stored = materialise(_stretches(named, items.select(F.coalesce("text", F.lit("")).alias("text")), window, shingle), "stretches")
@@ -271,7 +272,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     # rarity over all documents; a window with a shingle that nowhere stands can't occur
     lengths = f"array({', '.join(map(str, range(1, shingle + 1)))})"
     seen = materialise(held.select("rid", "copies", F.explode(F.expr(_tokens("w", lengths))).alias("t")).select("rid", "copies", "t.pos", "t.tok").join(
-        shingles.select("tok").distinct(), "tok"), "shingles")
+        shingles.select("tok").distinct().hint("merge"), "tok"), "shingles")
     counts = seen.groupBy("tok").agg(F.sum("copies").alias("n"))
     rated = shingles.join(counts, "tok", "left")
     prefix = rated.groupBy("win", "size").agg(
@@ -279,8 +280,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     prefix = prefix.selectExpr("p.tok AS tok", "win", "size", "p.pos AS inner")
 
     # join on the rarest shingle; bounds; then the words themselves
-    met = seen.select("tok", "rid", "pos").join(prefix, "tok").selectExpr("rid", "pos - inner AS low", "size", "win").where("low >= 0")
-    true = materialise(met.join(held, "rid").where("low + size <= size(w) AND array_join(slice(w, low + 1, size), ' ') = win").select(
+    met = seen.select("tok", "rid", "pos").join(prefix.hint("merge"), "tok").selectExpr("rid", "pos - inner AS low", "size", "win").where("low >= 0")
+    true = materialise(met.join(held.hint("merge"), "rid").where("low + size <= size(w) AND array_join(slice(w, low + 1, size), ' ') = win").select(
         "rid", "low", "size", "win"), "found")
 
     merged = """aggregate(array_sort(collect_set(struct(low AS s, low + size AS e))), CAST(array() AS array<struct<s: int, e: int>>),
@@ -288,15 +289,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         THEN array_append(slice(acc, 1, size(acc) - 1), struct(element_at(acc, -1).s AS s, greatest(element_at(acc, -1).e, x.e) AS e))
         ELSE array_append(acc, x) END)"""
     spans = true.groupBy("rid").agg(F.expr(merged).alias("spans"))
-    names = true.select("rid", "win").distinct().join(of_item, "win").groupBy("rid").agg(F.collect_set("item").alias("items"))
-    results = once.join(spans, "rid").join(names, "rid").select("words", "spans", "items")
+    names = true.select("rid", "win").distinct().join(of_item.hint("merge"), "win").groupBy("rid").agg(F.collect_set("item").alias("items"))
+    results = once.join(spans.hint("merge"), "rid").join(names.hint("merge"), "rid").select("words", "spans", "items")
 
     # a common passage or shingle is one row on the right of these joins; adaptive execution splits the left
-    per_doc = runs.join(results, "words").groupBy("place").agg(
+    per_doc = runs.join(results.hint("merge"), "words").groupBy("place").agg(
         F.expr("array_sort(flatten(collect_list(transform(spans, x -> struct(start + x.s AS start, start + x.e AS end)))))").alias("spans"),
         F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items"))
     none = F.expr("CAST(array() AS array<struct<start: long, end: long>>)"), F.expr("CAST(array() AS array<string>)")
-    left = stored.where("size(runs) > 0").select("key", "place", "n_words").join(per_doc, "place", "left").select(
+    left = stored.where("size(runs) > 0").select("key", "place", "n_words").join(per_doc.hint("merge"), "place", "left").select(
         "key", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
     clean = stored.where("size(runs) = 0").select("key", "n_words", none[0].alias("spans"), none[1].alias("items"))
     return left.unionByName(clean).select(
