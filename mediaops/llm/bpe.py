@@ -16,6 +16,8 @@ _BUCKET = 4
 _REMEMBERED = 250_000
 #: Characters of a text that are cut at once, and of short texts whose new words are looked up at once.
 _CHARS = 1 << 20
+#: Ids that are decoded at once.
+_IDS = 1 << 16
 
 
 @dataclass
@@ -102,12 +104,24 @@ class Vocabulary:
         self.ranks, self.pattern, self.strays = ranks, pattern, strays or {}
         self.hash = PerfectHash.build(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self._encoder = self._decimals = None
+        self._encoder = self._tables = None
 
-    def decimals(self) -> dict[int, bytes]:
-        """Every id as decimal text."""
-        self._decimals = self._decimals or {i: b"%d" % i for i in self.bytes_of}
-        return self._decimals
+    def tables(self):
+        """Of every id the bytes of its token (where they start in one long array, how many there are) and its decimal text with
+        a space behind, as rows filled up with zeros."""
+        import numpy as np
+
+        if self._tables is None:
+            n = max(self.bytes_of, default=-1) + 1
+            tokens = [self.bytes_of.get(i, b"") for i in range(n)]
+            sizes = np.array([len(t) for t in tokens], np.int64)
+            wide = len(str(n)) + 1
+            decimal = np.zeros((n, wide), np.uint8)
+            for i in range(n):
+                text = b"%d " % i
+                decimal[i, :len(text)] = np.frombuffer(text, np.uint8)
+            self._tables = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes, decimal
+        return self._tables
 
     def encoder(self) -> Encoder:
         """One encoder per process, so that what it remembers serves the next task too."""
@@ -277,37 +291,49 @@ class Encoder:
         names = [t.encode("utf-8") for t in new]
         known = self.tokens.known
         for t, name, value in zip(new, names, self.v.hash.find(names)):
-            ids = (value,) if value >= 0 else merge(name, self.single, self.pairs, self.width)
-            known[t] = array("i", ids).tobytes()
+            known[t] = array("i", (value,) if value >= 0 else merge(name, self.single, self.pairs, self.width)).tobytes()
         return known
 
     def encode_all(self, texts):
         """The ids of each text of a batch, as arrays."""
         import numpy as np
 
-        found, plain = set(), []
+        small = sum(map(len, texts)) <= 4 * _CHARS  # longer ones are cut again where they are needed
+        found, held = set(), []
         for text in texts:
-            words, ok = set(), True
-            for first, rest in self.parts(text):
-                words.update(rest)
+            parts = list(self.parts(text)) if small else self.parts(text)
+            own, ok = set(), True
+            for first, rest in parts:
+                own.update(rest)
                 ok = ok and (first is None or bool(first) and not first[-1].isspace() and not self.strange(first))
-            plain.append(ok)
+            held.append((parts if small else None) if ok else ())
             if ok:
-                found |= words
-        new = self.words.missing(found)
-        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or self.strange(w)}
-        cuts = {w: self.cut.findall(" " + w) for w in new if w not in bad}
-        ids_of, known = self.resolve(t for c in cuts.values() for t in c), self.words.known
-        for w, c in cuts.items():
-            known[w] = b"".join(map(ids_of.__getitem__, c))
-        for text, ok in zip(texts, plain):
-            yield np.frombuffer(self._by_words(text, bad) if ok else self._by_pattern(text), np.int32)
-
-    def _by_words(self, text: str, bad: set) -> bytes:
+                found |= own
+        bad = self._learn(self.words.missing(found))
+        for text, parts in zip(texts, held):
+            done = None if parts == () and text else self._by_words(self.parts(text) if parts is None else parts, bad)
+            yield np.frombuffer(self._by_pattern(text) if done is None else done, np.int32)
+
+    def _learn(self, new: list[str]) -> set[str]:
+        """Cuts and resolves new words, all at once: joined by spaces, each begins where a pre-token begins with one. Returns
+        those that only the whole text can tell how to cut."""
+        odd = self.strange(" ".join(new))
+        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or odd and self.strange(w)}
+        words = [w for w in new if w not in bad] if bad else new
+        if not words:
+            return bad
+        tokens = self.cut.findall(" " + " ".join(words))
+        ids_of, known = self.resolve(tokens), self.words.known
+        starts = [i for i, t in enumerate(tokens) if t[0] == " "]
+        for w, low, high in zip(words, starts, [*starts[1:], len(tokens)], strict=True):
+            known[w] = ids_of[tokens[low]] if high - low == 1 else b"".join([ids_of[t] for t in tokens[low:high]])
+        return bad
+
+    def _by_words(self, parts, bad: set[str]) -> bytes | None:
         out, ids_of = [], self.words.known.__getitem__
-        for first, rest in self.parts(text):
+        for first, rest in parts:
             if bad and not bad.isdisjoint(rest):
-                return self._by_pattern(text)
+                return None
             if first is not None:
                 cut = self.cut.findall(first)
                 out += map(self.resolve(cut).__getitem__, cut)
@@ -380,17 +406,26 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
     def run(texts):
         from hashlib import sha256
 
+        import numpy as np
         import pyarrow as pa
 
-        v = shared.value
-        coder, name, number = v.encoder(), v.bytes_of.__getitem__, v.decimals().__getitem__
+        coder, (tokens, starts, sizes, decimal) = shared.value.encoder(), shared.value.tables()
         counts, ids_hashes, hashes = [], [], []
         for some in _batches(texts):
             for ids in coder.encode_all(some):
-                ids = ids.tolist()
+                numbers, decoded, left = sha256(), sha256(), len(ids)
+                for at in range(0, len(ids), _IDS):
+                    part = ids[at:at + _IDS]
+                    left -= len(part)
+                    text = decimal[part].ravel()
+                    text = text[text != 0]
+                    numbers.update(text if left else text[:-1])
+                    size = sizes[part]
+                    ends = np.cumsum(size)
+                    decoded.update(tokens[np.arange(ends[-1]) + np.repeat(starts[part] - ends + size, size)])
                 counts.append(len(ids))
-                ids_hashes.append(sha256(b" ".join(map(number, ids))).hexdigest())
-                hashes.append(sha256(b"".join(map(name, ids))).hexdigest())
+                ids_hashes.append(numbers.hexdigest())
+                hashes.append(decoded.hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids_hashes, pa.string()), pa.array(hashes, pa.string())]
 
     return add_columns(df, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string", run)

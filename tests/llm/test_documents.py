@@ -166,7 +166,9 @@ def test_encoding_equals_the_public_library(spark, words):
     assert [ids.tolist() for ids in bpe.Encoder(words).encode_all(texts)] == [coder.encode_ordinary(t) for t in texts]
 
 
-def test_digests_are_of_the_ids_and_of_the_text(spark, words):
+@pytest.mark.parametrize("at_once", [3, 1 << 16])
+def test_digests_are_of_the_ids_and_of_the_text(spark, words, monkeypatch, at_once):
+    monkeypatch.setattr(bpe, "_IDS", at_once)
     df = frame(spark, list(enumerate(TEXTS)))
     got = bpe.digest(df, words).orderBy("doc_id").collect()
     ids = [list(r.ids) for r in bpe.encode(df, words).orderBy("doc_id").collect()]
@@ -182,6 +184,9 @@ def test_encoding_in_pieces_and_with_a_short_memory(words, monkeypatch):
     monkeypatch.setattr(bpe, "_CHARS", 5)
     monkeypatch.setattr(bpe, "_REMEMBERED", 3)
     assert bpe.Encoder(words).encode(text) == whole
+    monkeypatch.setattr(bpe, "_CHARS", 200)
+    assert bpe.Encoder(words).encode("x" + text.replace("\n", "").replace("  ", " ")) == bpe.Encoder(words).encode_all(
+        ["x" + text.replace("\n", "").replace("  ", " ")]).__next__().tolist()
 
 
 def test_perfect_hash_is_minimal():
