@@ -120,6 +120,21 @@ def test_upload_progress_over_batches(spark, tmp_path):
     assert {r.upload_id: r.progress for r in uploads.upload_progress(acks, sessions).collect()} == {"a": 100, "b": 50}
 
 
+def test_chunk_sets_of_many_uploads_share_state(spark, tmp_path):
+    """Python and the state store are asked once a bucket, not once an upload or chunk."""
+    schema, out = "upload_id string, chunk_index int, total_chunks int", str(tmp_path / "out")
+    batches = [[(None if i == 7 else f"u{i}", (i + k) % 3, 3) for i in range(200) for k in (0, 1)], [(f"u{i}", 2, 3) for i in range(0, 200, 2)]]
+    stream = state.upload_progress(_feed(spark, tmp_path, schema, *batches), buckets=4)
+    query = jobs.start(stream, out, str(tmp_path / "progress"), available_now=True, idle_batches=False)
+    query.awaitTermination(120)
+    assert max(_state_rows(query)) <= 4
+    written = spark.read.schema(stream.schema).parquet(out)
+    assert written.count() == 300
+    got = {r.upload_id: (r.chunks, r.done, r.progress) for r in state.newest_progress(written).collect()}
+    want = {None if i == 7 else f"u{i}": {i % 3, (i + 1) % 3} | ({2} if i % 2 == 0 else set()) for i in range(200)}
+    assert got == {u: (sorted(c), len(c), 100 * len(c) // 3) for u, c in want.items()}
+
+
 def test_chunks_are_forgotten_after_their_time(spark, tmp_path):
     schema, out, progress = "upload_id string, chunk_index int, total_chunks int", str(tmp_path / "out"), str(tmp_path / "progress")
     feed = _feed(spark, tmp_path, schema, [("a", 0, 2)], [("a", 1, 2)], [("a", 1, 2)])
