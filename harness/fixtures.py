@@ -206,21 +206,29 @@ def with_views(*names: str) -> str:
 #: Tables that streams read, with the time by which their rows come, and the batches they come in.
 STREAMED = {"events": "ts", "lineitem": "l_shipdate"}
 BATCHES = 3
+#: Rows of a file that a stream reads, about.
+FILE_ROWS = 1_000_000
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str, file_rows: int = FILE_ROWS) -> DataFrame:
     """A fixture view over one table, read as a file stream in ``BATCHES`` micro-batches, in order of time.
 
-    Files of a stream are taken in the order of their writing, so the table's thirds are written one after another.
+    Files of a stream are taken in the order of their writing, so the table's thirds are written one after another, each as
+    the same number of files, and a batch takes that many. No task writes more than a file.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     (dep,), sql = VIEWS[name]
     rows, at, folder = table(spark, sf_dir, dep), F.col(STREAMED[dep]), scratch(spark, f"feed-{dep}")
-    cuts = rows.select(F.percentile_approx(STREAMED[dep], [k / BATCHES for k in range(1, BATCHES)], 10_000)).first()[0]
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    cuts, n = rows.select(
+        F.percentile_approx(STREAMED[dep], [k / BATCHES for k in range(1, BATCHES)], 10_000), F.count("*")).first()
+    files = max(1, -(-n // (BATCHES * file_rows)))
+    for batch, (low, high) in enumerate(zip([None, *cuts], [*cuts, None]), 1):
         part = rows if low is None else rows.filter(at >= low)
         part = part if high is None else part.filter((at < high) | at.isNull())
-        part.coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
+        written = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+        for _ in range(batch * files - written):  # a part without rows writes no file
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     source.createOrReplaceTempView(dep)
     return spark.sql(sql.replace("AS DATETIME)", "AS TIMESTAMP_NTZ)"))

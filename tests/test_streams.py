@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from harness import fixtures
 from mediaops import schemas as s
 from mediaops.operators import events as batch_events
 from mediaops.operators import uploads
@@ -56,6 +57,21 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got == {_at(0): 2, _at(180): 2}
 
 
+@pytest.mark.parametrize("minutes", [lambda i: i % 240, lambda i: 0 if i < 195 else i], ids=["spread", "parts without rows"])
+def test_a_feed_is_written_by_many_tasks_and_read_in_order(spark, tmp_path, minutes):
+    rows = [(i, i % 5, _at(minutes(i)), "view", 1.0) for i in range(200)] + [(200, 1, None, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    feed = fixtures.stream(spark, str(tmp_path), "fx_task_events", file_rows=8)
+    seen = {}
+    jobs.start_batches(
+        feed, lambda df, at: seen.update({at: [tuple(r) for r in df.select("seq", "ts", F.input_file_name()).collect()]}), str(tmp_path / "progress"),
+        available_now=True).awaitTermination(120)
+    assert len(seen) == fixtures.BATCHES and sorted(r[0] for part in seen.values() for r in part) == list(range(201))
+    assert max(len({r[2] for r in part}) for part in seen.values()) == 9
+    times = [[r[1] for r in seen[k] if r[1]] for k in sorted(seen)]
+    assert all(max(a) < min(b) for a, b in zip([t for t in times if t], [t for t in times if t][1:]))
+
+
 def test_repeats_in_later_batches_are_dropped(spark, tmp_path):
     feed = _feed(
         spark, tmp_path, EVENT,
