@@ -156,7 +156,7 @@ def _(v):
     return stats.withColumn("p50", F.round("p50", 3)).withColumn("p95", F.round("p95", 3))
 
 
-# Within the accuracy asked for, the approximate percentile of so few distinct values is exact.
+# The value that occurs at the percentile, without interpolation.
 @job("call_latency_stats_approx", "fx_ai_calls", """
 SELECT model, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS max, count(*) AS n FROM fx_ai_calls GROUP BY model""")
 def _(v):
