@@ -173,7 +173,7 @@ SELECT path, CAST(length AS BIGINT) AS length, CASE WHEN starts_with(path, 'chun
   CASE WHEN starts_with(path, 'chunks') THEN CAST(id % 3 AS INT) END AS chunk_index,
   CASE WHEN NOT starts_with(path, 'chunks') THEN replace(substr(path, 8, 10), '/', '-') END AS day FROM staged""")
 def _(v):
-    listed = objects.list_objects(v.spark, _stage(v), BUCKET)
+    listed = objects.listing_table(v.spark, _stage(v), BUCKET)
     return listed.select("path", "length", "kind", "upload_id", "chunk_index", "day")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mediaops import schemas as s
 from mediaops.operators.uploads import parse_objects
+from mediaops.session import materialise
 
 
 def list_objects(spark: SparkSession, root: str, bucket: str, glob: str = "*") -> DataFrame:
@@ -32,6 +33,27 @@ def list_objects(spark: SparkSession, root: str, bucket: str, glob: str = "*") -
     return parse_objects(listed, bucket)
 
 
+def listing_table(spark: SparkSession, root: str, bucket: str, glob: str = "*") -> DataFrame:
+    """``list_objects`` run once and kept in the shared folder.
+
+    By default Spark lists with a task for each directory, up to 10,000 of them, and reads with a task for each 32 small
+    files or each large one. As no content is read, that only starts tasks: here there are a few of them for each core.
+    """
+    tasks = str(8 * spark.sparkContext.defaultParallelism)
+    settings = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks, "spark.sql.files.minPartitionNum": tasks,
+        "spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": "64k",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        return materialise(list_objects(spark, root, bucket, glob), "listing")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def content_fingerprint(
     objects: DataFrame, sample: int = s.SAMPLE_SIZE, parallelism: int | None = None
 ) -> DataFrame:

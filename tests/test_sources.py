@@ -53,6 +53,24 @@ def test_listing_reads_no_content(spark, tmp_path):
     }
 
 
+def test_a_listing_takes_few_tasks(spark, tmp_path):
+    """300 directories of one file, and files that are larger than a split's bytes."""
+    names = [f"chunks/u{i}/chunk_{i % 3}" for i in range(300)] + [f"videos/2024/02/03/upload_{i}_a.mp4" for i in range(3)]
+    for name in names:
+        (tmp_path / "store" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "store" / name).write_bytes(b"x")
+    for name in names[300:]:
+        os.truncate(tmp_path / "store" / name, 1 << 30)  # sparse
+    kept, tracker = spark.conf.get("spark.sql.files.openCostInBytes"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    listed = objects.listing_table(spark, str(tmp_path / "store"), "bkt")
+    spark.sparkContext.setJobGroup("other", "other")
+    stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(job).stageIds]
+    assert stages and max(stage.numTasks for stage in stages) <= 64
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == kept and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    assert sorted(r.path for r in listed.collect()) == sorted(names)
+
+
 def test_tables_round_trip(spark, tmp_path):
     for name, schema in s.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
