@@ -71,6 +71,11 @@ def test_a_listing_takes_few_tasks(spark, tmp_path):
     assert sorted(r.path for r in listed.collect()) == sorted(names)
 
 
+def test_fingerprints_are_taken_from_a_kept_listing(spark):
+    plan = _plan(queries()["content_fingerprint"](spark, SF))
+    assert "FileScan parquet" in plan and "FileScan binaryFile" not in plan
+
+
 def test_tables_round_trip(spark, tmp_path):
     for name, schema in s.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
