@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,32 @@ def test_stuck_alerts_by_timer_and_by_gap(spark, tmp_path):
     assert got == [("gap", _at(0)), ("quiet", _at(5))]
 
 
+def _shuffled(n, seed):
+    """Events of tasks at random, a null task among them, in three parts by time."""
+    rng = random.Random(seed)
+    kinds = ["PENDING", "QUEUED", "PROCESSING", "PROCESSING", "FAILED", "RETRYING", "COMPLETED", None]
+    marks = sorted(((rng.choice([None, *(f"t{i}" for i in range(60))]), i, rng.randrange(6000), rng.choice(kinds)) for i in range(n)), key=lambda m: m[2])
+    cuts = [0, *(next(i for i in range(n * k // 3, n) if marks[i][2] != marks[i - 1][2]) for k in (1, 2)), n]
+    return [rng.sample(_events(*marks[a:b]), b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def test_stuck_alerts_share_state(spark, tmp_path):
+    parts = _shuffled(900, 2)
+    stream, out = state.stuck_alerts(_feed(spark, tmp_path, EVENT, *parts), buckets=3), str(tmp_path / "out")
+    query = jobs.start(stream, out, str(tmp_path / "progress"), available_now=True)
+    query.awaitTermination(120)
+    assert max(_state_rows(query)) <= 2 * 3  # a table and a timer each
+    rows, half_hour = sorted(sum(parts, []), key=lambda r: (r[2], r[1])), datetime.timedelta(minutes=30)
+    passed, want = rows[-1][2] - datetime.timedelta(minutes=10), []
+    for task in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == task]
+        for event, later in zip(own, [*own[1:], None]):
+            over = later[2] - event[2] > half_hour if later else event[2] + half_hour <= passed
+            want += [(task, event[2])] * (event[3] == "PROCESSING" and over)
+    got = [(r.task_id, r.since.replace(tzinfo=None)) for r in spark.read.parquet(out).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def _state_rows(query):
     return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
 
@@ -121,6 +148,19 @@ def test_state_of_settled_tasks_goes(spark, tmp_path):
     assert max(_state_rows(query)) >= 6 and _state_rows(query)[-1] < max(_state_rows(query))
 
 
+def test_task_state_shares_state(spark, tmp_path):
+    """Tasks share the state and the calls of a few buckets, and each event still sees its own task's status before."""
+    parts = _shuffled(900, 1)
+    stream, out = state.task_state(_feed(spark, tmp_path, EVENT, *parts), keep_hours=10_000, buckets=3), str(tmp_path / "out")
+    query = jobs.start(stream, out, str(tmp_path / "progress"), available_now=True)
+    query.awaitTermination(120)
+    assert max(_state_rows(query)) <= 2 * 3  # a table and a timer each
+    whole = batch_events.transition_audit(spark.createDataFrame(sum(parts, []), EVENT))
+    columns = ["task_id", "seq", "from_status", "to_status", "legal"]
+    got, want = (sorted(map(repr, df.select(*columns).collect())) for df in (spark.read.parquet(out), whole))
+    assert got == want
+
+
 def test_upload_progress_over_batches(spark, tmp_path):
     schema = "upload_id string, chunk_index int, total_chunks int"
     rows = ([("a", 0, 3), ("a", 0, 3), ("b", 1, 2), ("z", 0, 0), ("n", None, None)], [("a", 2, 3), ("a", 7, 3), ("a", -1, 3)], [("a", 2, 3)], [("a", 1, 3)])
