@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mediaops import schemas as s
 from mediaops.streaming.jobs import use_rocksdb, with_event_time
 
-BUCKETS = 4096
+BUCKETS = 1024
 _BUCKET = "_bucket"
 
 
