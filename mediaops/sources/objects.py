@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +36,38 @@ def list_objects(spark: SparkSession, root: str, bucket: str, glob: str = "*") -
 
 
 def listing_table(spark: SparkSession, root: str, bucket: str, glob: str = "*") -> DataFrame:
-    """``list_objects`` run once and kept in the shared folder.
+    """What ``list_objects`` lists and the objects without content besides, found once and kept in the shared folder.
 
-    By default Spark lists with a task for each directory, up to 10,000 of them, and reads with a task for each 32 small
-    files or each large one. As no content is read, that only starts tasks: here there are a few of them for each core.
+    Spark's file sources leave out files of no bytes, whatever the options, and gather all names on the driver. Here the
+    folders of one depth are listed by a few tasks for each core, and those found in them are listed next. Names
+    that begin with a dot or an underscore are left out, as by Spark.
     """
-    tasks = str(8 * spark.sparkContext.defaultParallelism)
-    settings = {
-        "spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks, "spark.sql.files.minPartitionNum": tasks,
-        "spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": "64k",
-    }
-    before = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        return materialise(list_objects(spark, root, bucket, glob), "listing")
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        top = f"file:{base}" if store.type_name == "local" else root.rstrip("/")
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                for entry in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    name, is_folder = entry.base_name, entry.type == fs.FileType.Directory
+                    if not name.startswith((".", "_")) and (is_folder or fnmatchcase(name, glob)):
+                        path = f"{folder}/{name}" if folder else name
+                        rows.append((path, f"{top}/{path}", is_folder, entry.size or 0, (entry.mtime_ns or 0) // 1000))
+            yield pd.DataFrame(rows, columns=["path", "location", "is_folder", "length", "modified_us"])
+
+    kind, tasks = "path string, location string, is_folder boolean, length long, modified_us long", 8 * spark.sparkContext.defaultParallelism
+    files, folders, waiting = [], spark.createDataFrame([("",)], "path string"), 1
+    while waiting:
+        found = materialise(folders.repartition(min(tasks, waiting)).mapInPandas(inside, kind), "listing")
+        files.append(found.where("NOT is_folder"))
+        folders = found.where("is_folder").select("path")
+        waiting = folders.count()
+    listed = reduce(DataFrame.unionByName, files).select(
+        "location", F.timestamp_micros("modified_us").alias("modified_at"), "length", "path")
+    return parse_objects(listed, bucket)
 
 
 def content_fingerprint(

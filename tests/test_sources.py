@@ -5,11 +5,14 @@ import os
 import struct
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
+from harness.check import TABLES, compare
 from mediaops import schemas as s
 from mediaops.operators import costs, limits, results, tasks, uploads
+from mediaops.session import scratch
 from mediaops.sources import objects, tables
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +79,38 @@ def test_fingerprints_are_taken_from_a_kept_listing(spark):
     assert "FileScan parquet" in plan and "FileScan binaryFile" not in plan
 
 
+def test_a_kept_listing_has_paths_below_any_root_and_objects_without_content(spark, tmp_path):
+    sizes = {"chunks/u1/chunk_0": 5, "chunks/u2/chunk_1": 0, "videos/2024/02/03/upload_1_a.mp4": 0, "note.txt": 3}
+    for name, size in sizes.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file://{tmp_path}/", f"file:{tmp_path}"):
+        listed = objects.listing_table(spark, root, "bkt")
+        assert {r.path: r.length for r in listed.collect()} == sizes
+        assert listed.where("modified_at > '2024-01-01'").count() == len(sizes)
+        got = {r.path: r.fingerprint for r in objects.content_fingerprint(listed).collect()}
+        assert got == {name: _fingerprint(b"x" * size, s.SAMPLE_SIZE) for name, size in sizes.items()}
+    assert [r.path for r in objects.listing_table(spark, str(tmp_path), "bkt", "*.txt").collect()] == ["note.txt"]
+    (tmp_path / "none").mkdir()
+    assert objects.listing_table(spark, str(tmp_path / "none"), "bkt").count() == 0
+
+
+def _differs_with_empty_documents(spark, folder, monkeypatch, key):
+    """From the SQL, with a shared folder that is named by a URI and every 50th document without text."""
+    for name in TABLES:
+        if name != "documents":
+            (folder / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    duckdb.sql(f"SELECT * REPLACE (CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END AS text) FROM '{SF}/documents.parquet'").write_parquet(
+        str(folder / "documents.parquet"))
+    job = queries()[key]
+    monkeypatch.setattr("harness.catalog.sources.scratch", lambda spark, name: f"file://{scratch(spark, name)}")
+    return compare(job(spark, str(folder)), str(folder), oracle_sql()[key])
+
+
+def test_fingerprints_in_a_shared_folder_with_a_scheme(spark, tmp_path, monkeypatch):
+    assert _differs_with_empty_documents(spark, tmp_path, monkeypatch, "content_fingerprint") is None
+
+
 def test_tables_round_trip(spark, tmp_path):
     for name, schema in s.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
