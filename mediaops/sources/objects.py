@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
@@ -19,14 +20,18 @@ from mediaops.session import materialise
 
 def list_objects(spark: SparkSession, root: str, bucket: str, glob: str = "*") -> DataFrame:
     """Path below the root, full location, length, time, and what the path says. No content
-    is read: only path, length and time are selected from the file source."""
+    is read: only path, length and time are selected from the file source, which leaves out
+    objects without content (``listing_table`` has them)."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .load(root)
         .select("path", "length", "modificationTime")
     )
-    below = F.regexp_replace("location", r"^.*?\Q" + root.rstrip("/") + r"\E/", "")
+    # a root is written with or without scheme and host, and file:///a is found as file:/a
+    folder = re.sub("/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)).rstrip("/")
+    start = r"^[^/]*:(//[^/]*)?" if folder.startswith("/") or not folder else "^.*?"
+    below = F.regexp_replace("location", start + r"\Q" + folder + r"\E/", "")
     listed = (
         files.withColumnRenamed("path", "location")
         .withColumnRenamed("modificationTime", "modified_at")

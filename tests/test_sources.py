@@ -111,6 +111,19 @@ def test_fingerprints_in_a_shared_folder_with_a_scheme(spark, tmp_path, monkeypa
     assert _differs_with_empty_documents(spark, tmp_path, monkeypatch, "content_fingerprint") is None
 
 
+def test_a_listing_in_a_shared_folder_with_a_scheme(spark, tmp_path, monkeypatch):
+    assert _differs_with_empty_documents(spark, tmp_path, monkeypatch, "src_object_listing") is None
+
+
+def test_listed_paths_are_below_any_root(spark, tmp_path):
+    path = tmp_path / "tmp/store/chunks/u1/chunk_0"
+    path.parent.mkdir(parents=True)
+    path.write_bytes(b"x")
+    root = f"{tmp_path}/tmp/store"
+    for given in (root, f"{root}/", f"file:{root}", f"file://{root}", f"file://{root}/", f"file://{tmp_path}//tmp/store"):
+        assert [r.path for r in objects.list_objects(spark, given, "bkt").collect()] == ["chunks/u1/chunk_0"]
+
+
 def test_tables_round_trip(spark, tmp_path):
     for name, schema in s.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
