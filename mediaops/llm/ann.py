@@ -6,7 +6,8 @@ visited cells hold a set share of all rows; those rows are ranked again on the o
 
 The codebooks are fitted on a bounded sample, and on it the share is found that reaches the wanted recall against brute
 force. Every row is indexed. Cells are packed into bins of bounded size (a large cell is dealt over several), and queries
-meet a bin in bounded blocks.
+meet a bin in bounded blocks. Rows of the sample that a query visits tell a score that all its neighbours have at least, so
+that few rows of a bin need more than a matrix product.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ FIT_ROWS = 8192
 FIT_QUERIES = 400
 #: Recall that the visited share is chosen for, above the 0.9 that is promised.
 RECALL = 0.96
-#: Rows of a bin, and queries that meet a bin at once.
+#: Rows of a bin, and queries that meet a bin in one group.
 BIN_ROWS = 8192
 QUERY_ROWS = 2048
+#: Queries that are scored at once within a group.
+TILE = 64
+#: Of the product of two lengths: more than the error of an inner product of vectors that long.
+SLACK = 1e-9
 
 
 @dataclass
@@ -67,20 +72,23 @@ def traverse(first, second, counts, wanted: int) -> tuple[list[int], float]:
     ``first`` and ``second`` are the distances of the halves to their centroids, ``counts`` the rows per cell. The heap
     holds one open pair per rank of the first half at most.
     """
-    from heapq import heappop, heappush
+    from heapq import heappop, heappush, heapreplace
 
-    a, b, width = first.argsort(kind="stable").tolist(), second.argsort(kind="stable").tolist(), len(second)
-    heap, cells, have, last = [(float(first[a[0]] + second[b[0]]), 0, 0)], [], 0, float("-inf")
+    a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
+    x, y, starts, ends = first[a].tolist(), second[b].tolist(), (a * len(b)).tolist(), b.tolist()
+    heap, cells, have, last = [(x[0] + y[0], 0, 0)], [], 0, float("-inf")
     while heap and have < wanted:
-        last, i, j = heappop(heap)
-        cell = a[i] * width + b[j]
+        last, i, j = heap[0]
+        cell = starts[i] + ends[j]
         if counts[cell]:
             cells.append(cell)
             have += counts[cell]
-        if j + 1 < width:
-            heappush(heap, (float(first[a[i]] + second[b[j + 1]]), i, j + 1))
-        if not j and i + 1 < len(a):
-            heappush(heap, (float(first[a[i + 1]] + second[b[0]]), i + 1, 0))
+        if j + 1 < len(y):
+            heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+        else:
+            heappop(heap)
+        if not j and i + 1 < len(x):
+            heappush(heap, (x[i + 1] + y[0], i + 1, 0))
     return cells, last
 
 
@@ -136,8 +144,8 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    wide = F.col(f"`{vector}`").cast("array<double>")
-    named = df.select(F.col(f"`{key}`").alias("key"), wide.alias("v"), is_query.alias("asks")).where(F.col("key").isNotNull() & usable(F.col("v")))
+    narrow = df.schema[vector].dataType.simpleString() == "array<float>"  # half the bytes, widened where it is reckoned with
+    named = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<float>" if narrow else "array<double>").alias("v"), is_query.alias("asks")).where(F.col("key").isNotNull() & usable(F.col("v")))
     empty = spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, score double")
 
     n = named.count()
@@ -150,14 +158,15 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
 
     lengths = [len(r.v) for r in sample]
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
-    index = fit_index(np.array([r.v for r in sample if len(r.v) == width]), n, neighbours)
+    known, known_keys = np.array([r.v for r in sample if len(r.v) == width]), np.array([r.key for r in sample if len(r.v) == width])
+    index = fit_index(known, n, neighbours)
+    tasks = 4 * spark.sparkContext.defaultParallelism
     shared = spark.sparkContext.broadcast(index)  # two codebooks of 256 centroids at most
 
     def to_cells(vectors):
         import pyarrow as pa
 
-        flat = np.asarray(vectors.flatten()).reshape(-1, shared.value.width)
-        return [pa.array(shared.value.cells(flat), pa.int32())]
+        return [pa.array(shared.value.cells(doubles(vectors, shared.value.width)), pa.int32())]
 
     rows = materialise(add_columns(named.where(F.size("v") == width), ["v"], "cell int", to_cells), "cells")
     # one count per cell: 256 * 256 at most
@@ -174,6 +183,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         if parts[cell] > 1:
             bin_now, held = bin_now + int(parts[cell]) - 1, BIN_ROWS + 1
     plan = spark.sparkContext.broadcast((counts, bins, parts, int(np.ceil(index.share * counts.sum()))))
+    drawn = spark.sparkContext.broadcast((known, known_keys, index.cells(known)))  # FIT_ROWS vectors at most
 
     def to_bins(cells, draws):
         import pyarrow as pa
@@ -183,29 +193,31 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         return [pa.array(bins[at] + np.asarray(draws) % parts[at], pa.int64())]
 
     placed = add_columns(rows.select("key", "v", "cell", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("d")), ["cell", "d"], "bin long", to_bins)
-    asked = rows.where("asks").groupBy("key").agg(F.min("v").alias("v"))
+    asked = rows.where("asks").repartition(tasks, "key").groupBy("key").agg(F.min("v").alias("v"))
 
     def to_visits(batches):
         import pyarrow as pa
 
         counts, bins, parts, wanted = plan.value
-        counts = counts.tolist()
-        for batch in batches:
-            vectors = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+        listed = counts.tolist()
+        for batch in filter(len, batches):
+            vectors = doubles(batch.column("v"), shared.value.width)
             first, second = shared.value.distances(vectors)
-            at, where, last = [], [], []
-            for q in range(batch.num_rows):
-                cells, end = traverse(first[q], second[q], counts, wanted)
-                visited = {int(bins[c]) + k for c in cells for k in range(int(parts[c]))}
-                at += [q] * len(visited)
-                where += sorted(visited)
-                last += [end] * len(visited)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64())),
-                                              pa.array(where, pa.int64()), pa.array(last, pa.float64())], names=["query", "q", "bin", "last"])
-
-    visits = materialise(asked.mapInArrow(to_visits, f"query {kind}, q array<double>, bin long, last double"), "visits")
-    blocks = visits.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-    asking = visits.join(blocks, "bin").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
+            where, last = [], []
+            for q in range(len(vectors)):
+                cells, end = traverse(first[q], second[q], listed, wanted)
+                where.append(np.unique(np.repeat(bins[cells], parts[cells]) + steps(parts[cells])))
+                last.append(end)
+            ends = np.cumsum([0, *map(len, where)])
+            least = floor(vectors, np.asarray(batch.column("key")), first, second, np.array(last), *drawn.value, neighbours)
+            reached = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(where), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), reached, pa.array(last, pa.float64()), pa.array(least, pa.float64())],
+                                             names=["query", "q", "bins", "last", "least"])
+
+    visits = materialise(asked.mapInArrow(to_visits, f"query {kind}, q {rows.schema['v'].dataType.simpleString()}, bins array<long>, last double, least double"), "visits")
+    blocks = visits.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    asking = visits.select("query", "q", "last", "least", F.explode("bins").alias("bin")).join(blocks, "bin").withColumn(
+        "block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
     offered = placed.join(blocks, "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     schema = T.StructType.fromDDL(f"query {kind}, key {kind}, score double")
 
@@ -215,41 +227,87 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         found = [[], [], []]
         if asking.num_rows and offered.num_rows:
             found = rank(shared.value, asking, offered, neighbours)
-        return pa.table([pa.chunked_array([pa.array(found[0], asking["query"].type)]), pa.chunked_array([pa.array(found[1], asking["query"].type)]),
-                         pa.chunked_array([pa.array(found[2], pa.float64())])], names=["query", "key", "score"])
+        return pa.table([pa.array(found[0], asking["query"].type), pa.array(found[1], asking["query"].type), pa.array(found[2], pa.float64())],
+                        names=["query", "key", "score"])
 
-    near = asking.select("query", "q", "last", "bin", "block").groupBy("bin", "block").cogroup(
-        offered.select("key", "v", "cell", "bin", "block").groupBy("bin", "block")).applyInArrow(meet, schema)
+    # many tasks, as a group costs the same however few bytes it has
+    near = asking.select("query", "q", "last", "least", "bin", "block").repartition(tasks, "bin", "block").groupBy("bin", "block").cogroup(
+        offered.select("key", "v", "cell", "bin", "block").repartition(tasks, "bin", "block").groupBy("bin", "block")).applyInArrow(meet, schema)
     order = W.partitionBy("query").orderBy(F.desc("score"), "key")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select(
         F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score")
 
 
+def doubles(vectors, width: int):
+    """An Arrow column of vectors as a two-dimensional array of doubles."""
+    import numpy as np
+
+    return np.asarray(vectors.flatten()).astype(np.float64, copy=False).reshape(-1, width)
+
+
+def steps(parts):
+    """0, 1, .. below each of ``parts`` in turn."""
+    import numpy as np
+
+    return np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+
+
+def floor(q, queries, first, second, last, known, keys, cells, neighbours: int):
+    """A score that the last neighbour of each query has at least: that of its last neighbour among the known rows in the cells it visits."""
+    import numpy as np
+
+    least = np.full(len(q), -np.inf)
+    if len(known) < neighbours:
+        return least
+    for at in range(0, len(q), TILE):
+        part = slice(at, at + TILE)
+        scores = q[part] @ known.T
+        scores[(sums_of(first[part], second[part], cells) >= last[part, None]) | (keys == queries[part, None])] = -np.inf
+        least[part] = np.partition(scores, len(keys) - neighbours, axis=1)[:, -neighbours]
+    return least - SLACK * lengths(q) * lengths(known).max()
+
+
+def lengths(vectors):
+    return (vectors ** 2).sum(1) ** 0.5
+
+
+def sums_of(first, second, cells):
+    """The summed distance of each query to each of the cells."""
+    return first[:, cells // second.shape[1]] + second[:, cells % second.shape[1]]
+
+
 def rank(index: MultiIndex, asking, offered, neighbours: int):
-    """The best of one bin for each query, over the cells it visits: queries, keys, scores."""
+    """The best of one bin for each query, over the cells it visits: queries, keys, scores.
+
+    Some queries at a time are scored against the whole bin by one matrix product. Rows below what the last neighbour has
+    at least go, and those left are scored again, exactly.
+    """
     import numpy as np
 
-    width = index.width
-    q = np.asarray(asking["q"].combine_chunks().flatten()).reshape(-1, width)
-    v = np.asarray(offered["v"].combine_chunks().flatten()).reshape(-1, width)
+    q, v = doubles(asking["q"].combine_chunks(), index.width), doubles(offered["v"].combine_chunks(), index.width)
     queries, keys = np.asarray(asking["query"]), np.asarray(offered["key"])
-    cells, last = np.asarray(offered["cell"]), np.asarray(asking["last"])
+    last, least = np.asarray(asking["last"]), np.asarray(asking["least"])
+    cells, cell_of = np.unique(np.asarray(offered["cell"]), return_inverse=True)
     first, second = index.distances(q)
-    found = [[], [], []]
-    for at in range(len(q)):
-        sums = (first[at][:, None] + second[at][None, :]).ravel()[cells]
-        open_ = np.flatnonzero((sums <= last[at] + 1e-12 * (1 + abs(last[at]))) & (keys != queries[at]))
-        if not len(open_):
-            continue
-        rough = v[open_] @ q[at]
-        if len(open_) > neighbours:
-            least = -np.partition(-rough, neighbours - 1)[neighbours - 1]
-            open_ = open_[rough >= least - 1e-9 * (1 + abs(least))]
-        score = np.zeros(len(open_))
-        for d in range(width):  # one component after the other, so that equal vectors have equal scores everywhere
-            score += q[at, d] * v[open_, d]
-        best = np.lexsort((keys[open_], -score))[:neighbours]
-        found[0] += [queries[at]] * len(best)
-        found[1] += keys[open_][best].tolist()
-        found[2] += score[best].tolist()
-    return found
+    slack, columns = SLACK * lengths(q) * lengths(v).max(), np.ascontiguousarray(v.T)
+    found = []
+    for at in range(0, len(q), TILE):
+        part = slice(at, at + TILE)
+        visited = sums_of(first[part], second[part], cells) <= (last[part] + 1e-12 * (1 + abs(last[part])))[:, None]
+        rough = q[part] @ columns
+        kept = (rough >= least[part, None]) & visited[:, cell_of] & (keys != queries[part, None])
+        of, row = np.divmod(np.flatnonzero(kept), len(v))
+        many = np.flatnonzero(np.bincount(of) > 4 * neighbours)
+        if len(many):
+            scores = np.where(kept[many], rough[many], -np.inf)
+            enough = np.partition(scores, len(v) - neighbours, axis=1)[:, -neighbours] - slack[part][many]
+            kept[many] &= scores >= enough[:, None]
+            of, row = np.divmod(np.flatnonzero(kept), len(v))
+        score, asked = np.zeros(len(of)), np.ascontiguousarray(q[part].T)
+        for d in range(index.width):  # one component after the other, so that equal vectors have equal scores everywhere
+            score += asked[d].take(of) * columns[d].take(row)
+        order = np.lexsort((keys[row], -score, of))
+        of, row, score = of[order], row[order], score[order]
+        best = np.arange(len(of)) - np.searchsorted(of, of) < neighbours
+        found.append((queries[part][of[best]], keys[row[best]], score[best]))
+    return [np.concatenate(x) for x in zip(*found)]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,42 @@ def test_heap_visits_cells_by_growing_sum():
     sums = (first[:, None] + second[None, :]).ravel()
     order = [c for c in np.argsort(sums, kind="stable") if counts[c]]
     assert cells == order[:len(cells)] and counts[cells].sum() >= 10 and math.isclose(last, sums[cells[-1]])
+
+
+def test_a_bin_gives_the_best_of_its_visited_rows(spark):
+    """Against a loop over all rows: queries with a floor and without, own keys among the rows, more equal scores than neighbours."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 6))
+    v[200:300] = v[7]
+    keys = rng.permutation(600)
+    index = ann.fit_index(v[:200], 600, 5)
+    cells, q, queries = index.cells(v), np.concatenate([v[:90], v[200:201]]), np.concatenate([keys[:90], keys[200:201]])
+    first, second = index.distances(q)
+    sums = ann.sums_of(first, second, cells)
+    last = np.sort(sums, axis=1)[:, 400]
+    least = ann.floor(q, queries, first, second, last, v[:200], keys[:200], cells[:200], 5)
+    assert np.isfinite(least).all() and np.isneginf(ann.floor(q, queries, first, second, last, v[:4], keys[:4], cells[:4], 5)).all()
+    least[::3] = -np.inf
+    want = []
+    for at in range(len(q)):
+        score = np.zeros(600)
+        for d in range(6):
+            score += q[at, d] * v[:, d]
+        near = sorted((-score[i], keys[i]) for i in range(600) if sums[at, i] <= last[at] and keys[i] != queries[at])[:5]
+        assert -near[4][0] >= least[at]
+        want += [(queries[at], key, -score) for score, key in near]
+    asking = pa.table({"query": queries, "q": pa.array(q.tolist()), "last": last, "least": least})
+    offered = pa.table({"key": keys, "v": pa.array(v.tolist()), "cell": cells})
+    assert list(zip(*(x.tolist() for x in ann.rank(index, asking, offered, 5)))) == want
+
+
+def test_queries_are_stored_once_and_floats_stay_floats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    narrow = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = ann.search(narrow, F.col("vec_id") % 20 == 0)
+    plan = found._jdf.queryExecution().toString()
+    assert "q:array<float>,bins:array<bigint>" in plan and "array<double>" not in plan
+    assert plan.count("hashpartitioning(bin#") >= 2 and "REPARTITION_BY_NUM" in plan
+    wide = ann.search(narrow.withColumn("embedding", F.col("embedding").cast("array<double>")), F.col("vec_id") % 20 == 0)
+    assert sorted(found.collect()) == sorted(wide.collect())
