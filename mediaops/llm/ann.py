@@ -160,7 +160,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
     known, known_keys = np.array([r.v for r in sample if len(r.v) == width]), np.array([r.key for r in sample if len(r.v) == width])
     index = fit_index(known, n, neighbours)
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    tasks = min(4 * spark.sparkContext.defaultParallelism, 1 + n // 1000)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of 256 centroids at most
 
     def to_cells(vectors):
